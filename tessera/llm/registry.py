@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import simhash
+from . import language, ledger, simhash, substring
 
 
 def queries() -> dict[str, Callable]:
     return {
+        "op6_language_id": language.query,
+        "op7_rule_ledger": ledger.query,
+        "op8_substring_dedup": substring.query,
         "op9_simhash": simhash.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_rule_ledger": ledger.SQL}
