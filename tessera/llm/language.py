@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import small_batches, table
+from .base import fresh, small_batches, table
 
 BUCKETS = 1 << 14
 LENGTHS = (1, 2, 3)
@@ -148,8 +148,8 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     return Model(names, prior, np.ascontiguousarray(matrix.T))
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with a struct column ``lang_found`` of ``name`` and ``score``; no input column is changed or lost."""
+def predict(docs: DataFrame, model: Model, into: str = "lang_found") -> DataFrame:
+    """``docs`` with a struct column ``into`` of ``name`` and ``score``; no other column is changed or lost."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_LANGUAGES * BUCKETS floats
 
     @F.arrow_udf(T.StructType().add("name", T.StringType()).add("score", T.DoubleType()))
@@ -157,7 +157,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         names, scores = shared.value.predict(texts.to_pylist())
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["name", "score"])
 
-    return docs.withColumn("lang_found", found(F.col("text").cast("string")))
+    return docs.withColumn(into, found(F.col("text").cast("string")))
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -176,8 +176,9 @@ def identify(docs: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame, least: float = 0.4) -> DataFrame:
     """The documents whose language is found with at least this probability, all columns kept."""
     small_batches(docs.sparkSession)
-    scored = predict(docs, fit(docs.select("doc_id", "text", "lang")))
-    return scored.where((F.col("lang_found.name") != UNKNOWN) & (F.col("lang_found.score") >= least)).drop("lang_found")
+    into = fresh(docs, "lang_found")
+    scored = predict(docs, fit(docs.select("doc_id", "text", "lang")), into)
+    return scored.where((F.col(into)["name"] != UNKNOWN) & (F.col(into)["score"] >= least)).drop(into)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .base import materialize, table
+from .base import fresh, materialize, table
 
 SEED = 20240
 BUCKET_BITS = 12
@@ -102,6 +102,20 @@ def mix(docs: DataFrame, percent: int = BUDGET_PERCENT, max_epochs: int = MAX_EP
     )
 
 
+def selected(docs: DataFrame, percent: int = BUDGET_PERCENT, max_epochs: int = 1, seed: int = SEED) -> DataFrame:
+    """The rows of ``docs`` that the mixture takes of, all columns and texts whole, a row as often as it has passes.
+
+    Rows without an id can't be named by the mixture and are kept as they are.
+    """
+    doc, lang, source, passes, turn = (fresh(docs, f"taken_{x}") for x in ("id", "lang", "source", "passes", "pass"))
+    taken = mix(docs, percent, max_epochs, seed).select(F.col("doc_id").alias(doc), F.col("lang").alias(lang), F.col("source").alias(source), "epoch").distinct()
+    taken = taken.groupBy(doc, lang, source).agg(F.count("*").cast("int").alias(passes)).where(F.col(doc).isNotNull())
+    unknown = lambda c: F.coalesce(docs[c], F.lit("unknown"))
+    here = (docs["doc_id"] == F.col(doc)) & (unknown("lang") == F.col(lang)) & (unknown("source") == F.col(source))
+    joined = docs.join(taken, here, "left").where(F.col(passes).isNotNull() | docs["doc_id"].isNull())
+    return joined.withColumn(turn, F.explode(F.sequence(F.lit(1), F.coalesce(passes, F.lit(1))))).select(*[docs[c] for c in docs.columns])
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 

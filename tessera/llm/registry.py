@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
+
 from . import language, ledger, media, mixing, packing, pii, resharding, simhash, substring, urls
 
 
@@ -19,6 +21,7 @@ def queries() -> dict[str, Callable]:
         "op8_substring_dedup": substring.query,
         "op9_simhash": simhash.query,
         "op10_resharding": resharding.query,
+        "pipeline": corpus_pipeline.run,
     }
 
 
