@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import materialize, small_batches, utf8
+from .base import fresh, materialize, small_batches, utf8
 from .components import components
 
 SEED = 42
@@ -21,8 +21,8 @@ MOST_BITS = 4
 
 #: Members of a leaf, and children of an upper node, of the hierarchical index.
 FAN_OUT = 16
-#: Queries that descend the index together.
-WAVE = 1024
+#: Pairs of a query and a node that are compared at once.
+HELD = 1 << 18
 #: Queries of one group that one task answers; a larger group's queries are spread over slices.
 SLICE = 20_000
 
@@ -118,42 +118,60 @@ class GrayIndex:
         for k in range(1, len(self.levels)):
             self.factored |= np.repeat(self.levels[k][1], FAN_OUT ** (k + 1))[: len(sorted_fp)]
 
-    def links(self, queries: np.ndarray, label: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (query, later member) within ``most`` bits. Runs wholly in the query's own class are pruned too."""
-        n, top = len(self.fp), len(self.levels) - 1
-        low, high = [label], [label]
+    def classes(self, label: np.ndarray, wanted: np.ndarray, most: int) -> np.ndarray:
+        """Labels joined by all links of the wanted members to later ones within ``most`` bits.
+
+        Queries go down in waves. A run that lies wholly in the query's own class is pruned as well, so a
+        dense class costs little once it has formed; what waits on the stack never exceeds a few times
+        ``HELD`` pairs of a query and a node, however many members match.
+        """
+        chosen, at, wave = np.flatnonzero(wanted), 0, 64
+        while at < len(chosen):
+            label, visited = self._wave(chosen[at : at + wave], label, most)
+            at += wave
+            wave = max(16, wave // 2) if visited > 4 * HELD else min(4096, 2 * wave) if visited < HELD else wave
+        return label
+
+    def _wave(self, queries: np.ndarray, label: np.ndarray, most: int) -> tuple[np.ndarray, int]:
+        n, low, high, visited = len(self.fp), [label], [label], 0
         for _ in self.levels:
             cuts = np.arange(0, len(low[-1]), FAN_OUT)
             low.append(np.minimum.reduceat(low[-1], cuts))
             high.append(np.maximum.reduceat(high[-1], cuts))
-        q, node, far = queries, np.zeros(len(queries), np.int64), np.zeros(len(queries), np.int64)
-        for k in range(top, -1, -1):
+        none = np.zeros(len(queries), np.int64)
+        stack = [(len(self.levels) - 1, queries, none, none)]
+        while stack:
+            k, q, node, far = stack.pop()
+            if len(q) > HELD // FAN_OUT:
+                half = len(q) // 2
+                stack += [(k, q[half:], node[half:], far[half:]), (k, q[:half], node[:half], far[:half])]
+                continue
             pattern, mask = self.levels[k]
             far = far + np.bitwise_count((self.fp[q] ^ pattern[node]) & mask[node])
             own = (low[k + 1][node] == label[q]) & (high[k + 1][node] == label[q])
-            keep = (far <= most) & ~own & (np.minimum((node + 1) * FAN_OUT ** (k + 1), n) > q + 1)
-            q, node, far = q[keep], node[keep], far[keep]
-            below = n if k == 0 else len(self.levels[k - 1][0])
-            child = (node[:, None] * FAN_OUT + np.arange(FAN_OUT)).ravel()
-            q, far = np.repeat(q, FAN_OUT), np.repeat(far, FAN_OUT)
-            real = child < below
-            q, node, far = q[real], child[real], far[real]
-        far = far + np.bitwise_count((self.fp[q] ^ self.fp[node]) & ~self.factored[node])
-        hit = (far <= most) & (node > q)
-        return q[hit], node[hit]
-
-
-def _link_group(fp: np.ndarray, wanted: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+            keep = np.flatnonzero((far <= most) & ~own & (np.minimum((node + 1) * FAN_OUT ** (k + 1), n) > q + 1))
+            child = (node[keep, None] * FAN_OUT + np.arange(FAN_OUT)).ravel()
+            keep = np.repeat(keep, FAN_OUT)
+            real = child < (n if k == 0 else len(self.levels[k - 1][0]))
+            q, node, far = q[keep[real]], child[real], far[keep[real]]
+            visited += len(q)
+            if k:
+                stack.append((k - 1, q, node, far))
+                continue
+            later = (node > q) & (label[node] != label[q])
+            q, node, far = q[later], node[later], far[later]
+            hit = far + np.bitwise_count((self.fp[q] ^ self.fp[node]) & ~self.factored[node]) <= most
+            if hit.any():
+                label = _roots(n, q[hit], node[hit], label)
+        return label, visited
+
+
+def _link_group(fp: np.ndarray, wanted: np.ndarray, most: int) -> np.ndarray:
     """Class label of each member of one large group in Gray order, from the links of the wanted queries."""
-    index = GrayIndex(fp)
     at = np.arange(len(fp) - 1)
     near = np.bitwise_count(fp[1:] ^ fp[:-1]) <= most
     label = _roots(len(fp), at[near], at[near] + 1)
-    chosen = np.flatnonzero(wanted)
-    for i in range(0, len(chosen), WAVE):
-        a, b = index.links(chosen[i : i + WAVE], label, most)
-        label = _roots(len(fp), a, b, label)
-    return label
+    return GrayIndex(fp).classes(label, wanted, most)
 
 
 def link_groups(group: np.ndarray, fp: np.ndarray, wanted: np.ndarray, most: int = MOST_BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -264,9 +282,9 @@ def one_of_each(docs: DataFrame, most: int = MOST_BITS) -> DataFrame:
 
     Rows that repeat a kept id stay, as they are one document. Rows without an id stay.
     """
-    classes = near_duplicates(docs, most=most)
-    gone = classes.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("gone_id"), "left_anti")
+    classes, key = near_duplicates(docs, most=most), fresh(docs, "gone_id")
+    gone = classes.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(gone, docs["doc_id"] == F.col(key), "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
