@@ -2,20 +2,19 @@
 
 Every table here is keyed by document, so after one exchange by ``doc_id`` nothing moves again: a value meets its
 document's prefixes, its member's meaning and its children's summary in the partition where it is. The values with
-their meaning are kept (in memory or on disk, with that partitioning), as every table is read from them; a lost
-executor's part is worked out again.
+their meaning are written once, and every table reads from them the few columns and rows it needs.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import names
+from tessera.sources.shared import materialize
 
 _GRAPH = ["@graph", "@included"]
 
@@ -193,11 +192,10 @@ def project(values: DataFrame) -> Projection:
     spark = values.sparkSession
     # one exchange; every join and window below is by document and reuses it
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
-    values = values.repartition("doc_id").persist(StorageLevel.MEMORY_AND_DISK)
-    spaces = namespaces(values).persist(StorageLevel.MEMORY_AND_DISK)
-    wide = _wide(values, spaces)
-    owners = _nodes_of(wide).persist(StorageLevel.MEMORY_AND_DISK)
-    m = _reference(_members(wide, owners)).persist(StorageLevel.MEMORY_AND_DISK)
+    spaces = materialize(namespaces(values), "namespaces")
+    wide = materialize(_wide(values.repartition("doc_id"), spaces), "values")
+    owners = materialize(_nodes_of(wide), "owners")
+    m = materialize(_reference(_members(wide, owners)), "members")
     kind, level, meaning = F.col("kind"), F.col("level"), F.col("meaning")
 
     # literals
@@ -221,7 +219,7 @@ def project(values: DataFrame) -> Projection:
         F.col("kid_id").alias("target_spelling"), F.when(F.col("t_local") == "isOfDataType", _data_type(F.col("kid_id"), F.col("prefixes"))).alias("data_type"), *spot, "slot",
     )
     first = ids.groupBy("doc_id", F.col("id").alias("target_spelling")).agg(F.min("node").alias("target"))
-    edges = edges.join(first, ["doc_id", "target_spelling"], "left")
+    edges = materialize(edges.join(first, ["doc_id", "target_spelling"], "left"), "edges")
 
     # nodes
     classes = _class_of(types)
@@ -233,12 +231,12 @@ def project(values: DataFrame) -> Projection:
     form = F.when(whole.isNull(), "Missing").when(is_instance, "SpecInstance").otherwise("Other")
     now = F.col("fold.now")
     cls = F.coalesce(now["class"], F.when(F.col("type_spellings").isNull(), "WeakUntyped").otherwise("LibraryInstance"))
-    nodes = nodes.select(
+    nodes = materialize(nodes.select(
         "doc_id", "node", F.col("owner").alias("value_id"), "id", form.alias("id_form"), F.when(is_instance, F.substring_index("id", "#", 1)).alias("id_container"), F.when(is_instance, F.split(after, r"\.")).alias("id_steps"),
         cls.alias("class"), F.when(now["class"] == "Block", now["detail"]).alias("block_kind"), now["input"].alias("is_input"), F.when(now["class"] == "Connector", now["detail"]).alias("conn_type"),
         F.coalesce("type_spellings", F.array().cast("array<string>")).alias("type_spellings"), F.coalesce("fold.conflict", F.lit(False)).alias("has_conflict"), F.coalesce("is_again", F.lit(False)).alias("is_again"),
         F.col("d.target_spelling").alias("data_type_spelling"), F.col("d.data_type").alias("data_type"), "is_root", F.col("node_start").alias("tok_start"), F.col("node_end").alias("tok_end"),
-    )
+    ), "nodes")
 
     # properties
     is_literal = kind.isin("string", "number", "boolean")
@@ -259,6 +257,7 @@ def project(values: DataFrame) -> Projection:
     )
     in_node = Window.partitionBy("doc_id", "node").orderBy("value_id")
     properties = read.unionByName(units).withColumn("seq", F.row_number().over(in_node) - 1)
+    properties = materialize(properties, "properties")
 
     # extensions: whatever nothing above has read
     top = level == 1
@@ -275,7 +274,7 @@ def project(values: DataFrame) -> Projection:
     structural = F.col("name").isin("@context", *_GRAPH)
     shaped = (kind == "object") | (kind == "array") & ~F.coalesce("kid_other", F.lit(False))
     loose = m.where(F.col("node").isNull() & top & ~(structural & shaped)).select("doc_id", null("int").alias("node"), "value_id", F.col("name").alias("predicate"), "kind", *spot)
-    extensions = ext.unionByName(loose).withColumn("seq", F.row_number().over(in_node) - 1)
+    extensions = materialize(ext.unionByName(loose).withColumn("seq", F.row_number().over(in_node) - 1), "extensions")
 
     # findings, in order: each node's members, then its types, emptiness and id; unresolved references last
     finding = lambda code, phase, rank, node, at, context: (F.lit(code).alias("code"), F.lit(phase).alias("phase"), F.lit(rank).alias("rank"), node.alias("node"), at.alias("at"), context.alias("context"))
@@ -295,7 +294,7 @@ def project(values: DataFrame) -> Projection:
     for p in parts[1:]:
         findings = findings.unionByName(p)
     by_doc = Window.partitionBy("doc_id").orderBy("phase", F.when(F.col("phase") == 0, F.col("node")), "rank", "at")
-    findings = findings.withColumn("seq", F.row_number().over(by_doc) - 1).select("doc_id", "seq", "code", "node", "context", *spot)
+    findings = materialize(findings.withColumn("seq", F.row_number().over(by_doc) - 1).select("doc_id", "seq", "code", "node", "context", *spot), "findings")
 
     # metrics
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)

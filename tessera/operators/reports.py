@@ -63,7 +63,7 @@ def extracted(logs: DataFrame, text: str, pattern: str) -> DataFrame:
 def is_binary(content: Column) -> Column:
     """A NUL in the first 8,192 bytes, or invalid UTF-8."""
     head = F.substring(content, 1, 8192)
-    return (F.instr(F.hex(head), "00") > 0) & F.hex(head).rlike("^(?:..)*?00") | ~F.is_valid_utf8(content.cast("string"))
+    return (F.position(F.lit("\x00"), head.cast("string")) > 0) | ~F.is_valid_utf8(content.cast("string"))
 
 
 # Patterns of secrets, by name.
