@@ -9,13 +9,17 @@ sequence is full; the last tokens of a shard are cut into sequences whose length
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pyarrow as pa
 import public_tokenizers
+import pyarrow as pa
+import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -36,33 +40,77 @@ REMEMBERED = 48 << 20
 _READ: dict[str, Callable] = {}
 
 
-class Reader:
-    """Token ids of texts. Tokens never span ASCII white space, so words are looked up one by one."""
+# The split of the vocabulary's own file, and characters whose lower case is the same letter by letter everywhere
+# and which no normal form changes. Words of others go through the tokenizer as they are.
+_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_SIMPLE = re.compile("[\x21-\x7e\xa1-\xa7\xa9-\u012f\u0131-\u0148\u014a-\u017e]+")
+
+
+def byte_alphabet() -> dict[str, int]:
+    """Byte of each character of a byte-level vocabulary: printable ones stand for themselves, others follow 255."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
+def merge_table(vocabulary: str) -> tuple[tiktoken.Encoding, list[bytes]]:
+    """The same merges in tiktoken's engine, and the id of each of its ranks as two bytes.
+
+    A word's end is the byte 255, which no text has; it joins the last byte before any other merge. The engine merges
+    by rank of the result, which is the same as by pair where each token, taken alone, merges to itself (the tests hold
+    every token to that).
+    """
+    model = json.loads(vocabulary)["model"]
+    alphabet, ids, end = byte_alphabet(), model["vocab"], model["end_of_word_suffix"]
+    data = lambda t: bytes(alphabet[c] for c in t.removesuffix(end)) + (b"\xff" if t.endswith(end) and t != end else b"")
+    ranks, found = {}, []
+    pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    for token in [c + end for c in alphabet] + list(alphabet) + [a + b for a, b in pairs]:
+        if ranks.setdefault(data(token), len(found)) == len(found):
+            found.append(ids[token])
+    return tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={}), [i.to_bytes(2, "little") for i in found]
+
+
+class Reader(dict):
+    """Token ids of texts. Tokens never span ASCII white space, so this is a table of words and their ids as bytes.
+
+    A new word is cut and merged here; a word that isn't simple, or may hold a special token, is left to the tokenizer.
+    """
 
     def __init__(self, vocabulary: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(vocabulary)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids don't fit 16 bits")
-        self.known: dict[bytes, bytes] = {}
+        self.special = any(not t.content.startswith("<|") for t in self.tokenizer.get_added_tokens_decoder().values())
+        encoding, self.ids_of = merge_table(vocabulary)
+        self.merge = encoding._core_bpe.encode_single_piece
         self.held = 0
 
-    def _learn(self, words: set[bytes]) -> None:
-        new = sorted(words)
-        for word, found in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)):
-            self.known[word] = np.array(found.ids, "<u2").tobytes()
-            self.held += len(word) + 100
+    def __missing__(self, word: bytes) -> bytes:
+        if word.isalpha():
+            found = b"".join([self.ids_of[r] for r in self.merge(word.lower() + b"\xff")])
+        else:
+            text = word.decode()
+            if self.special or "<|" in text or not _SIMPLE.fullmatch(text):
+                found = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+            else:
+                text = text.lower()
+                pieces = (text,) if text.isalpha() else _PIECE.findall(text)
+                found = b"".join([self.ids_of[r] for p in pieces for r in self.merge(p.encode() + b"\xff")])
+        if self.held > REMEMBERED:
+            self.clear()
+            self.held = 0
+        self.held += len(word) + 100
+        self[word] = found
+        return found
 
     def ids(self, text: bytes) -> np.ndarray:
         """The ids of one text and the end id."""
-        words = text.split()
-        missing = set(words).difference(self.known)
-        if missing:
-            if self.held > REMEMBERED:
-                self.known.clear()
-                self.held, missing = 0, set(words)
-            self._learn(missing)
-        return np.frombuffer(b"".join(map(self.known.__getitem__, words)) + END.to_bytes(2, "little"), "<u2")
+        if b"<|" not in text:  # a special token is not itself in another case
+            text = text.lower()
+        return np.frombuffer(b"".join(map(self.__getitem__, text.split())) + END.to_bytes(2, "little"), "<u2")
 
 
 def reader(vocabulary: str) -> Reader:
