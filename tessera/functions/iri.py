@@ -10,7 +10,7 @@ _SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*")
 # Character ranges of RFC 3987: ucschar, and iprivate, which only a query may have.
 _UCS = "\xa0-\ud7ff\uf900-\ufdcf\ufdf0-\uffef" + "".join(f"{chr(p << 16)}-{chr((p << 16) + 0xFFFD)}" for p in range(1, 14)) + "\U000e1000-\U000efffd"
 _PRIVATE = "\ue000-\uf8ff\U000f0000-\U000ffffd\U00100000-\U0010fffd"
-_PLAIN = r"A-Za-z0-9._~!$&'()*+,;=-" + _UCS
+_PLAIN = r"A-Za-z0-9._~!$&'()*+,;=\-" + _UCS
 _ESCAPE = "%[0-9A-Fa-f]{2}"
 _USER = re.compile(f"(?:[{_PLAIN}:]|{_ESCAPE})*")
 _HOST = re.compile(f"(?:[{_PLAIN}]|{_ESCAPE})*")

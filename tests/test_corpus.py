@@ -27,7 +27,7 @@ CASES = {
         {"@id": "c", "@type": ["S231:Parameter", "S231:Constant"], "S231:value": 1, "S231:containsBlock": ["x", {"y": 1}, {"@id": "none-one"}]}, {"@id": "a", "@type": "S231:Block", "S231:hasInput": {"@id": "none-two"}},
     ),
     "rules": graph(
-        {"@id": "p", "@type": "S231:Parameter"}, {"@id": "t", "@type": "S231:Text", "S231:isOfDataType": {"@id": "S231:Real"}}, {"@id": "block", "@type": "S231:Block", "S231:isConnectedTo": {"@id": "block"}},
+        {"@id": "p", "@type": "S231:Parameter"}, {"@id": "t", "@type": "S231:String", "S231:isOfDataType": {"@id": "S231:Real"}}, {"@id": "block", "@type": "S231:Block", "S231:isConnectedTo": {"@id": "block"}},
         {"@id": "r", "@type": "S231:RealInput", "S231:connectedTo": {"@id": "i"}}, {"@id": "i", "@type": "S231:IntegerOutput", "S231:hasInput": {"@id": "r"}},
         {"@id": "g", "@type": "S231:InputConnector", "S231:isOfDataType": {"@id": "S231:Boolean"}, "S231:connectedTo": {"@id": "r"}}, {"@id": "u", "@type": "x:Library", "S231:connectedTo": {"@id": "r"}},
     ),
