@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import asdict
 
@@ -9,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.bulk import scan_many
 from tessera.functions.scanner import COLUMNS, scan
 from tessera.options import ReadOptions
 
@@ -48,24 +50,47 @@ def admitted(documents: DataFrame, options: ReadOptions) -> DataFrame:
     return documents.select("doc_id", F.when(fits, F.coalesce("content", F.lit(b""))).alias("content"), F.coalesce(iri, F.lit(options.document_iri).cast("string")).alias("document_iri"), F.coalesce(length, F.lit(0)).alias("length"), fits.alias("admitted"))
 
 
+#: Documents and bytes scanned at once.
+GROUP, GROUP_BYTES = 256, 2 << 20
+
+
+def _groups(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Cuts of a batch into (first, number) of at most ``GROUP`` documents and, but for single ones, ``GROUP_BYTES``."""
+    first = total = 0
+    for i, size in enumerate(sizes):
+        if i > first and (i - first >= GROUP or total + size > GROUP_BYTES):
+            yield first, i - first
+            first, total = i, 0
+        total += size
+    if first < len(sizes):
+        yield first, len(sizes) - first
+
+
+def _batch(ids: pa.Array, failures: list, places: list[list], metrics: list, counts: list[int], columns: list[pa.Array]) -> pa.RecordBatch:
+    values = pa.StructArray.from_arrays(columns, fields=list(_VALUE))
+    ends = pa.array([0, *itertools.accumulate(counts)], pa.int32())
+    return pa.RecordBatch.from_arrays(
+        [ids, pa.array(failures, pa.string()), *[pa.array(p, pa.int64()) for p in places], *[pa.array(m, pa.int64()) for m in metrics], pa.ListArray.from_arrays(ends, values)],
+        ["doc_id", "failure", "err_offset", "err_line", "err_column", *_METRICS, "found"],
+    )
+
+
 def _scanner(settings: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         options = ReadOptions(**settings)
         for batch in batches:
-            for start in range(0, batch.num_rows, 64):  # a document may have 65,536 values
-                part = batch.slice(start, 64)
-                done = [scan(c.as_py(), options) for c in part["content"]]
-                ends, columns = [0], [[] for _ in COLUMNS]
-                for d in done:
-                    ends.append(ends[-1] + len(d.rows))
-                    for column, cells in zip(columns, zip(*d.rows)):
-                        column.extend(cells)
-                values = pa.StructArray.from_arrays([pa.array(c, _ARROW[t]) for c, (_, t) in zip(columns, COLUMNS)], fields=list(_VALUE))
-                place = [d.position or (None, None, None) for d in done]
-                yield pa.RecordBatch.from_arrays(
-                    [part["doc_id"], pa.array([d.failure for d in done], pa.string()), *[pa.array([p[i] for p in place], pa.int64()) for i in range(3)], *[pa.array([None if d.failure else getattr(d, m) for d in done], pa.int64()) for m in _METRICS], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)],
-                    ["doc_id", "failure", "err_offset", "err_line", "err_column", *_METRICS, "found"],
-                )
+            contents = batch["content"].to_pylist()
+            for first, n in _groups([len(c) for c in contents]):
+                part, ids = contents[first : first + n], batch["doc_id"].slice(first, n)
+                bulk = scan_many(part, options)
+                if len(bulk.good):
+                    none = [None] * len(bulk.good)
+                    yield _batch(ids.take(pa.array(bulk.good)), none, [none] * 3, bulk.metrics, bulk.counts.tolist(), bulk.columns)
+                for i in sorted(set(range(n)) - set(bulk.good.tolist())):  # what isn't plainly good is looked at exactly
+                    done = scan(part[i], options)
+                    columns = [pa.array(c, _ARROW[t]) for c, (_, t) in zip(list(zip(*done.rows)) or [()] * len(COLUMNS), COLUMNS)]
+                    place = done.position or (None, None, None)
+                    yield _batch(ids.slice(i, 1), [done.failure], [[p] for p in place], [[None if done.failure else getattr(done, m)] for m in _METRICS], [len(done.rows)], columns)
 
     return run
 

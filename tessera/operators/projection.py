@@ -78,16 +78,23 @@ def namespaces(values: DataFrame) -> DataFrame:
     return last.select("doc_id", "prefix", "b.iri", known.alias("class"), "b.tok_start", "b.tok_end")
 
 
-def _wide(values: DataFrame, spaces: DataFrame) -> DataFrame:
-    """Each value of an owner with: its document's prefixes, its children's summary, its parent's id, its slot's meaning."""
+_PLACE = ["doc_id", "value_id", "parent_id", "parent_kind", "kind", "name", "text", "flag", "tok_start", "tok_end", "owner", "level", "slot", "objects", "post"]
+
+
+def _prefix_maps(spaces: DataFrame) -> DataFrame:
+    """One row for each document: its prefixes of vocabularies and of unit namespaces."""
     terms = F.col("class").isin([v for v, _ in names.VOCABULARIES])
     units = F.col("class").isin([c for c, _, _ in names.UNIT_NAMESPACES])
     entry = F.struct("prefix", "iri")
-    maps = spaces.groupBy("doc_id").agg(
+    return spaces.groupBy("doc_id").agg(
         F.map_from_entries(F.filter(F.collect_list(F.when(terms, entry)), lambda x: x.isNotNull())).alias("prefixes"),
         F.map_from_entries(F.filter(F.collect_list(F.when(units, entry)), lambda x: x.isNotNull())).alias("unit_prefixes"),
     )
-    own = values.where("owner IS NOT NULL").join(maps, "doc_id", "left")
+
+
+def _wide(values: DataFrame) -> DataFrame:
+    """Each value of an owner with its children's summary, and its parent's id."""
+    own = values.where("owner IS NOT NULL").select(*_PLACE)
     text_of = lambda name: F.max(F.when((F.col("name") == name) & (F.col("kind") == "string"), F.col("text")))
     is_payload = ~F.col("name").isin(_GRAPH)
     kids = values.where("parent_id IS NOT NULL").groupBy("doc_id", "parent_id").agg(
@@ -111,15 +118,15 @@ def _nodes_of(wide: DataFrame) -> DataFrame:
     payload = F.coalesce("kid_payload", F.lit(False)) | F.coalesce("has_malformed", F.lit(False))
     kept = objects.where(F.when(F.col("value_id") == 0, looks).otherwise(looks | ~nested | payload))
     order = Window.partitionBy("doc_id").orderBy("post")
-    return kept.select("doc_id", "owner", (F.row_number().over(order) - 1).alias("node"), (F.col("value_id") == 0).alias("is_root"), F.col("tok_start").alias("node_start"), F.col("tok_end").alias("node_end"), "prefixes")
+    return kept.select("doc_id", "owner", (F.row_number().over(order) - 1).alias("node"), (F.col("value_id") == 0).alias("is_root"), F.col("tok_start").alias("node_start"), F.col("tok_end").alias("node_end"))
 
 
-def _members(wide: DataFrame, owners: DataFrame) -> DataFrame:
+def _members(wide: DataFrame, owners: DataFrame, maps: DataFrame) -> DataFrame:
     """Every value below a node (or an anonymous root), with the node and the meaning of the member it lies in."""
-    below = wide.where("level >= 1").join(owners.drop("prefixes"), ["doc_id", "owner"], "left")
+    below = wide.where("level >= 1").join(owners, ["doc_id", "owner"], "left")
     below = below.where("node IS NOT NULL OR owner = 0")
-    slots = below.where("level = 1").select("doc_id", "slot", F.col("name").alias("slot_name"), F.col("kind").alias("slot_kind"), "prefixes")
-    slots = _look_up(slots, "slot_name").drop("prefixes")
+    slots = below.where("level = 1").select("doc_id", "slot", F.col("name").alias("slot_name"), F.col("kind").alias("slot_kind"))
+    slots = _look_up(slots.join(maps.select("doc_id", "prefixes"), "doc_id", "left"), "slot_name").drop("prefixes")
     name = F.col("slot_name")
     meaning = F.when(name == "@id", "id").when(name == "@type", "type").when(name.isin(_GRAPH), "graph").when(name.startswith("@"), "keyword").when(F.col("t_role").isNull(), "unknown").when(F.col("t_role") == "link", "link").when(F.col("t_payload") == "Unit", "unit").otherwise("literal")
     slots = slots.withColumn("meaning", meaning)
@@ -137,12 +144,12 @@ def _reference(m: DataFrame) -> DataFrame:
     return m.withColumns({"is_ref": F.coalesce(is_ref, F.lit(False)), "is_broken": F.coalesce(here & ~is_ref, F.lit(False)), "is_rest": F.coalesce(in_ref & (F.col("name") != "@id"), F.lit(False))})
 
 
-def _types(m: DataFrame) -> DataFrame:
+def _types(m: DataFrame, maps: DataFrame) -> DataFrame:
     """Spellings of types in order, with what each is registered as."""
     direct = (F.col("objects") == 0) & (F.col("kind") == "string")
     saved = (F.col("objects") == 1) & (F.col("parent_kind") == "object") & (F.col("name") == "@id") & (F.col("kind") == "string")
-    found = m.where((F.col("meaning") == "type") & (direct | saved)).select("doc_id", "node", "value_id", "text", "prefixes")
-    return _look_up(found.where("node IS NOT NULL"), "text")
+    found = m.where((F.col("meaning") == "type") & (direct | saved)).select("doc_id", "node", "value_id", "text")
+    return _look_up(found.where("node IS NOT NULL").join(maps.select("doc_id", "prefixes"), "doc_id", "left"), "text")
 
 
 def _class_of(types: DataFrame) -> DataFrame:
@@ -193,9 +200,10 @@ def project(values: DataFrame) -> Projection:
     # one exchange; every join and window below is by document and reuses it
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     spaces = materialize(namespaces(values), "namespaces")
-    wide = materialize(_wide(values.repartition("doc_id"), spaces), "values")
+    maps = materialize(_prefix_maps(spaces), "prefixes")
+    wide = materialize(_wide(values.repartition("doc_id")), "values")
     owners = materialize(_nodes_of(wide), "owners")
-    m = materialize(_reference(_members(wide, owners)), "members")
+    m = materialize(_reference(_members(wide, owners, maps)), "members")
     kind, level, meaning = F.col("kind"), F.col("level"), F.col("meaning")
 
     # literals
@@ -206,13 +214,13 @@ def project(values: DataFrame) -> Projection:
     reads = F.coalesce((payload == "Text") & (kind == "string") | (payload == "Boolean") & (kind == "boolean") | (payload == "Unsigned") & F.col("unsigned").isNotNull() | (payload == "Value"), F.lit(False))
     literal = literal.withColumn("reads", reads)
 
-    types = _types(m)
+    types = _types(m, maps)
     spot = ["tok_start", "tok_end"]
     null = lambda t: F.lit(None).cast(t)
 
     # edges and resolution
     ids = m.where((meaning == "id") & (level == 1) & (kind == "string") & F.col("node").isNotNull()).select("doc_id", "node", F.col("text").alias("id"))
-    links = m.where(F.col("is_ref") & (meaning == "link") & F.col("node").isNotNull())
+    links = m.where(F.col("is_ref") & (meaning == "link") & F.col("node").isNotNull()).join(maps, "doc_id", "left")
     order = Window.partitionBy("doc_id").orderBy("node", "value_id")
     edges = links.select(
         "doc_id", (F.row_number().over(order) - 1).alias("edge"), F.col("node").alias("subject"), F.col("t_edge").alias("kind"), F.col("t_ns").alias("pred_ns"), F.col("t_local").alias("pred_local"),
@@ -225,7 +233,7 @@ def project(values: DataFrame) -> Projection:
     classes = _class_of(types)
     typed = edges.where("kind = 'DataType'").groupBy("doc_id", F.col("subject").alias("node")).agg(F.min(F.struct("edge", "target_spelling", "data_type")).alias("d"))
     ident = ids.join(first.withColumnRenamed("target_spelling", "id"), ["doc_id", "id"]).withColumn("is_again", F.col("target") != F.col("node")).drop("target")
-    nodes = owners.drop("prefixes").join(ident, ["doc_id", "node"], "left").join(classes, ["doc_id", "node"], "left").join(typed, ["doc_id", "node"], "left")
+    nodes = owners.join(ident, ["doc_id", "node"], "left").join(classes, ["doc_id", "node"], "left").join(typed, ["doc_id", "node"], "left")
     whole, after = F.col("id"), F.substring_index("id", "#", -1)
     is_instance = whole.rlike(r"^[^:/\\ \t#]+#[^:/\\ \t#]+$") & ~F.array_contains(F.split(after, r"\."), "")
     form = F.when(whole.isNull(), "Missing").when(is_instance, "SpecInstance").otherwise("Other")
@@ -251,7 +259,7 @@ def project(values: DataFrame) -> Projection:
     role = F.lit(None).cast("string")
     for term, name in names.UNIT_ROLES.items():
         role = F.when(F.col("t_local") == term, name).otherwise(role)
-    units = m.where(F.col("is_ref") & (meaning == "unit") & F.col("node").isNotNull()).select(
+    units = m.where(F.col("is_ref") & (meaning == "unit") & F.col("node").isNotNull()).join(maps, "doc_id", "left").select(
         "doc_id", "node", "value_id", F.col("t_ns").alias("term_ns"), F.col("t_local").alias("term_local"), payload.alias("payload_kind"), F.col("kid_id").alias("text"), null("boolean").alias("flag"), null("decimal(20,0)").alias("unsigned"),
         null("string").alias("value_kind"), null("string").alias("value_text"), null("string").alias("value_type"), role.alias("unit_role"), _unit_class(F.col("kid_id"), F.col("prefixes"), F.col("unit_prefixes")).alias("unit_target_class"), *spot, "slot",
     )
