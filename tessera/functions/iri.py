@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ipaddress
 import re
+from functools import lru_cache
 
 _PARTS = re.compile(r"(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?", re.DOTALL)
 _SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*")
@@ -58,6 +59,7 @@ def is_iri_reference(iri: str) -> bool:
     return bool(_PATH.fullmatch(path)) and (query is None or bool(_QUERY.fullmatch(query))) and (fragment is None or bool(_FRAGMENT.fullmatch(fragment)))
 
 
+@lru_cache(maxsize=1 << 14)
 def is_absolute_iri(iri: str) -> bool:
     """An IRI with a scheme; any part after it is allowed as the grammar says."""
     return split(iri)[0] is not None and is_iri_reference(iri)

@@ -73,6 +73,7 @@ class Context:
     vocab: str | None = None
     language: str | None = None
     terms: dict[str, Definition | None] = field(default_factory=dict)
+    known: dict[tuple, str | None] = field(default_factory=dict)  # what names have expanded to, once the context is whole
 
     def copy(self) -> Context:
         return Context(self.base, self.original, self.vocab, self.language, dict(self.terms))
@@ -88,6 +89,16 @@ def _keyword_like(name: str) -> bool:
 
 
 def expand_iri(value: str, ctx: Context, relative: bool = False, vocab: bool = False, local: Members | None = None, done: dict | None = None) -> str | None:
+    """The IRI or keyword a name stands for; ``local`` is a context that is being made."""
+    if local is not None:
+        return _expand(value, ctx, relative, vocab, local, done)
+    key = (value, relative, vocab)
+    if key not in ctx.known:
+        ctx.known[key] = _expand(value, ctx, relative, vocab, None, None)
+    return ctx.known[key]
+
+
+def _expand(value: str, ctx: Context, relative: bool, vocab: bool, local: Members | None, done: dict | None) -> str | None:
     if value in KEYWORDS:
         return value
     if _keyword_like(value):
@@ -178,7 +189,7 @@ def define(ctx: Context, local: Members, term: str, done: dict) -> None:
         known = ctx.terms.get(prefix)
         made.iri = known.iri + suffix if known and known.iri else term
     elif "/" in term:
-        made.iri = expand_iri(term, ctx, vocab=True)
+        made.iri = _expand(term, ctx, False, True, None, None)
     elif term == "@type":
         made.iri = "@type"
     elif ctx.vocab is not None:
@@ -224,7 +235,7 @@ def process(active: Context, local: Any) -> Context:
             if name == "@vocab":
                 if value is not None and not is_text:
                     raise JsonLdError("invalid vocab mapping")
-                ctx.vocab = None if value is None else expand_iri(value, ctx, relative=True, vocab=True)
+                ctx.vocab = None if value is None else _expand(value, ctx, True, True, None, None)
             if name == "@language":
                 if value is not None and not is_text:
                     raise JsonLdError("invalid default language")
