@@ -26,4 +26,4 @@ def queries() -> dict[str, Callable]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.SQL, "op5_urls": urls.SQL, "op7_rule_ledger": ledger.SQL}
+    return {"op1_mixing": mixing.SQL, "op5_urls": urls.SQL, "op7_rule_ledger": ledger.SQL, "op8_substring_dedup": substring.SQL}
