@@ -60,10 +60,9 @@ def _share(nodes: DataFrame, parent: list[str], budget: Column) -> DataFrame:
 def targets(leaves: DataFrame, percent: int, max_epochs: int) -> DataFrame:
     """Tokens to take of each leaf of ``(domain, lang, source, supply)``: ``target, passes, rest``."""
     caps = leaves.withColumn("cap", F.col("supply") * max_epochs)
-    # One row each for the budget and the domains, so one partition there is no bottleneck.
-    budget = leaves.agg((F.coalesce(F.sum("supply"), F.lit(0)) * percent / 100).alias("budget"))
+    budget = F.lit(float((leaves.agg(F.sum("supply").alias("n")).first()["n"] or 0) * percent / 100))  # one number
     top = caps.groupBy("domain").agg(F.sum("cap").alias("cap")).withColumn("weight", _weight(F.col("domain"), DOMAIN_WEIGHTS))
-    top = _share(top.join(budget, F.lit(True)), [], F.col("budget")).select("domain", F.col("share").alias("domain_share"))
+    top = _share(top, [], budget).select("domain", F.col("share").alias("domain_share"))
     mid = caps.groupBy("domain", "lang").agg(F.sum("cap").alias("cap")).withColumn("weight", _weight(F.col("lang"), LANGUAGE_WEIGHTS))
     mid = _share(mid.join(top, "domain"), ["domain"], F.col("domain_share")).select("domain", "lang", F.col("share").alias("lang_share"))
     low = _share(caps.withColumn("weight", F.lit(1).cast("long")).join(mid, ["domain", "lang"]), ["domain", "lang"], F.col("lang_share"))
@@ -85,7 +84,8 @@ def mix(docs: DataFrame, percent: int = BUDGET_PERCENT, max_epochs: int = MAX_EP
         F.coalesce("source", F.lit("unknown")).alias("source"), words(F.col("text")).alias("tokens"),
     )
     own = materialize(own, "tokens")
-    leaves = materialize(targets(own.groupBy(*LEVELS).agg(F.sum("tokens").alias("supply")), percent, max_epochs), "targets")
+    supply = materialize(own.groupBy(*LEVELS).agg(F.sum("tokens").alias("supply")), "supply")
+    leaves = materialize(targets(supply, percent, max_epochs), "targets")
     # Leaves are few beside documents; Spark broadcasts them where their size is below its limit.
     key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("passes").cast("string"), F.col("doc_id").cast("string")).cast("binary")), 1, 15), 16, 10).cast("long")
     dealt = own.join(leaves.where("target > 0"), LEVELS).withColumn("key", key).withColumn("bucket", F.shiftright("key", 60 - BUCKET_BITS))

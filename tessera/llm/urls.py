@@ -105,12 +105,11 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]] = RU
     host, path = parts(F.col("url"))
     tree = templates(pages.select("page_id", host.alias("host"), path.alias("path")), labels)
     branch = merged(tree).withColumnsRenamed({"host": "branch_host", "template": "branch_template"})
-    # One row: all labelled pages and the bad ones.
-    whole = tree.agg(F.count("bad").alias("all_labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("all_bad"))
-    joined = tree.join(branch, (tree["host"] == F.col("branch_host")) & (tree["template"] == F.col("branch_template"))).join(F.broadcast(whole), F.lit(True))
+    whole = tree.agg(F.count("bad").alias("n"), F.sum("bad").alias("b")).first()  # two numbers: pages labelled, and bad
+    joined = tree.join(branch, (tree["host"] == F.col("branch_host")) & (tree["template"] == F.col("branch_template")))
     # 100 * (bad + SMOOTHING * share) >= REJECT_PERCENT * (labelled + SMOOTHING), in whole numbers
-    n, of = F.greatest("all_labelled", F.lit(1)).cast("decimal(19,0)"), F.col("n_labelled") + SMOOTHING
-    reject = 100 * (F.col("n_bad") * n + SMOOTHING * F.col("all_bad")) >= REJECT_PERCENT * of * n
+    n, of = F.lit(max(1, whole["n"])).cast("decimal(19,0)"), F.col("n_labelled") + SMOOTHING
+    reject = 100 * (F.col("n_bad") * n + SMOOTHING * (whole["b"] or 0)) >= REJECT_PERCENT * of * n
     rule = rule_of(F.col("host"), F.col("path"), rules)
     verdict = F.when(reject, "block").otherwise("allow")
     for name, said in rules:
