@@ -406,8 +406,14 @@ class Reader:
 
     def values(self, subject, predicate, definition, value, ctx, graph, back, usable) -> Iterator[Quad]:
         if isinstance(value, list) and not isinstance(value, Members):
+            plain = usable and not back and not (definition and definition.type == "@json")
             for each in value:
-                yield from self.values(subject, predicate, definition, each, ctx, graph, back, usable)
+                if plain and isinstance(each, (str, bool)):
+                    term = self.scalar(definition, each, ctx)
+                    if term is not None:
+                        yield Quad(subject, predicate, term, graph)
+                else:
+                    yield from self.values(subject, predicate, definition, each, ctx, graph, back, usable)
             return
         if isinstance(value, Members):
             inner, keys = self.keys(value, ctx, definition)
@@ -517,11 +523,17 @@ def _plain(value: Any) -> Any:
     return [_plain(v) for v in value] if isinstance(value, list) else value
 
 
+def _size(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode())
+
+
 def term_bytes(quad: Quad) -> int:
     """UTF-8 bytes of a quad's terms, as they would be kept."""
-    size = lambda t: len(t.encode())
-    literal = size(quad.object.datatype or "") + size(quad.object.language or "") if quad.object.kind == "literal" else 0
-    return size(quad.subject.value) + size(quad.predicate) + size(quad.object.value) + literal + (size(quad.graph.value) if quad.graph else 0)
+    subject, predicate, (kind, value, datatype, language), graph = quad
+    total = _size(subject.value) + _size(predicate) + _size(value)
+    if kind == "literal":
+        total += _size(datatype) + (_size(language) if language else 0)
+    return total + (_size(graph.value) if graph else 0)
 
 
 def to_quads(content: bytes, base: str, most_quads: int, most_bytes: int) -> tuple[str | None, int, int, list[Quad]]:

@@ -25,13 +25,11 @@ def _reader(settings: dict):
             for start in range(0, batch.num_rows, 64):
                 part = batch.slice(start, 64)
                 done = [to_quads(c.as_py(), i.as_py(), options.max_rdf_quads, options.max_retained_rdf_term_bytes) for c, i in zip(part["content"], part["document_iri"])]
-                ends, columns = [0], [[] for _ in range(10)]
+                ends, cells = [0], []
                 for *_, quads in done:
                     ends.append(ends[-1] + len(quads))
-                    for n, q in enumerate(quads):
-                        o, g = q.object, q.graph
-                        for column, cell in zip(columns, (n, q.subject.kind, q.subject.value, q.predicate, o.kind, o.value, o.datatype, o.language, g.kind if g else "default", g.value if g else None)):
-                            column.append(cell)
+                    cells += [(n, s[0], s[1], p, *o, "default", None) if g is None else (n, s[0], s[1], p, *o, g[0], g[1]) for n, (s, p, o, g) in enumerate(quads)]
+                columns = list(zip(*cells)) or [()] * 10
                 rows = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _QUAD)], fields=list(_QUAD))
                 yield pa.RecordBatch.from_arrays(
                     [part["doc_id"], *[pa.array([d[i] for d in done], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)],
