@@ -42,7 +42,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._written_at = target
+    return made
+
+
+def discard(made: DataFrame) -> None:
+    """Delete a table that ``materialize`` wrote, once nothing that is still to run reads it."""
+    target = made._written_at
+    target.getFileSystem(made.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def fresh(df: DataFrame, name: str) -> str:

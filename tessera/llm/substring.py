@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import MASK64, materialize, small_batches, table, utf8
+from .base import MASK64, discard, materialize, small_batches, table, utf8
 
 WINDOW = 35
 KMER = 6
@@ -163,6 +163,8 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         found.join(state, ["anchor", "context"]).select("doc_id", "text_key", "anchor", "first", "last", "repeated", (F.col("branches") & (~F.col("repeated") | F.col("of").eqNullSafe(F.col("doc_id")))).alias("verify")),
         "placed",
     )
+    discard(found)  # all that follows reads the placed spans
+    discard(contexts)
 
     # Source coordinates: the windows of branching edges, read from the text again. A repeated context needs
     # only its first document there, as a partner for others.
