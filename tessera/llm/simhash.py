@@ -19,6 +19,13 @@ SEED = 42
 SHINGLE = 4
 MOST_BITS = 4
 
+#: Near copies of the pipeline: words of a shingle, and the per cent of all shingles of two documents that both have.
+NEAR_SHINGLE, NEAR_PERCENT = 5, 80
+#: Min-hash bands, and least hashes in each. A pair with four fifths in common shares no band once in 14,000 times.
+BANDS, BAND_ROWS = 24, 5
+#: SimHashes of such a pair differ in 10 of 64 bits (12 for shortest texts), with deviation 3; more than this isn't tried.
+RADIUS = 26
+
 #: Members of a leaf, and children of an upper node, of the hierarchical index.
 FAN_OUT = 16
 #: Pairs of a query and a node that are compared at once.
@@ -54,6 +61,72 @@ def fingerprint(text: bytes) -> bytes:
     return np.packbits(2 * ones > n).tobytes()
 
 
+def shingle_set(text: bytes, shingle: int = NEAR_SHINGLE) -> np.ndarray:
+    """Distinct hashes of a text's shingles, ascending; words and short texts as in ``fingerprint``."""
+    words = text.lower().split()
+    digest = xxhash.xxh64_intdigest
+    found = {digest(b" ".join(words[i : i + shingle]), SEED) for i in range(max(1, len(words) - shingle + 1))} if words else ()
+    return np.sort(np.fromiter(found, np.uint64, len(found)))
+
+
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """The 64-bit SimHash of a set of shingles, as a signed number."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        part = hashes[at : at + (1 << 16)].astype(">u8").view(np.uint8)
+        ones += np.unpackbits(part.reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes)).view(">i8")[0])
+
+
+_DRAWN = np.random.default_rng(SEED).integers(0, 1 << 63, size=(3, BANDS * BAND_ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """One key for each min-hash band; keys of different bands differ."""
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 1 << 10):
+        least = np.minimum(least, ((hashes[at : at + (1 << 10), None] ^ _DRAWN[0]) * _DRAWN[1]).min(axis=0))
+    least ^= least >> np.uint64(29)
+    return (least * _DRAWN[2]).reshape(BANDS, BAND_ROWS).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def alike(a: np.ndarray, b: np.ndarray, percent: int = NEAR_PERCENT) -> bool:
+    """Whether two ascending sets have so many per cent of their union in common."""
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+_SKETCH = T.StructType().add("node", T.LongType()).add("fp", T.LongType()).add("bands", T.ArrayType(T.LongType())).add("shingles", T.BinaryType())
+
+
+def _sketch_udf(shingle: int):
+    @F.arrow_udf(_SKETCH)
+    def run(texts: pa.Array) -> pa.Array:
+        node, fp, keys, data = [], [], [], []
+        for t in texts:
+            hashes = shingle_set(t.as_py() or b"", shingle)
+            data.append(hashes.tobytes())
+            node.append(xxhash.xxh64_intdigest(data[-1], SEED) - (1 << 63))
+            fp.append(set_fingerprint(hashes))
+            keys.append(bands(hashes))
+        flat = pa.array(np.concatenate([np.zeros(0, np.int64), *keys]))
+        keys = pa.ListArray.from_arrays(pa.array(np.arange(len(node) + 1, dtype=np.int32) * BANDS), flat)
+        return pa.StructArray.from_arrays([pa.array(node, pa.int64()), pa.array(fp, pa.int64()), keys, pa.array(data, pa.binary())], _SKETCH.names)
+
+    return run
+
+
+def _alike_udf(percent: int):
+    @F.arrow_udf(T.BooleanType())
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        sets = lambda x: (np.frombuffer(v.as_py(), np.uint64) for v in x)
+        return pa.array([alike(u, v, percent) for u, v in zip(sets(a), sets(b))], pa.bool_())
+
+    return run
+
+
 @F.arrow_udf(T.LongType())
 def fingerprint_udf(texts: pa.Array) -> pa.Array:
     joined = b"".join(fingerprint(t.as_py() or b"") for t in texts)
@@ -277,12 +350,70 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(classes, prints["fp"] == classes["class_fp"]).select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, most: int = MOST_BITS) -> DataFrame:
-    """The documents of which ``doc_id`` is the smallest of its class, all columns kept.
+def _near(a: str, b: str):
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= RADIUS
+
+
+def _similar_edges(members: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
+    """Edges ``(u, v)`` that join all that are alike and share a group: ``members(grp, size, least, node, fp)``.
+
+    First each member is held against its group's least node, which leaves copies one class. Then, in groups that still
+    have several classes, a growing number of members are held against all later ones of other classes, until a group
+    is one class or all its pairs were tried. So a large group of copies costs its members, not their pairs.
+    """
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        a = shingles.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
+        b = shingles.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
+        return pairs.distinct().join(a, "u").join(b, "v").where(_alike_udf(percent)("a", "b")).select("u", "v")
+
+    first = members.where((F.col("node") != F.col("least.node")) & _near("fp", "least.fp"))
+    edges = materialize(checked(first.select(F.col("least.node").alias("u"), F.col("node").alias("v"))), "alike")
+    done, upto = 0, 16
+    while True:
+        root = components(edges).withColumnRenamed("node", "rooted")
+        now = members.join(root, members["node"] == F.col("rooted"), "left").select("grp", "size", "node", "fp", F.coalesce("root", "node").alias("label"))
+        several = now.groupBy("grp").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("grp")
+        now = materialize(now.join(several, "grp", "left_semi"), "unsettled")
+        largest = now.agg(F.max("size")).first()[0]
+        if largest is None or done >= largest:
+            return edges
+        place = (F.col("node") / F.lit(2.0**64) + 0.5) * F.col("size")  # nodes are hashes, so places are even
+        last = upto >= largest
+        asks = now.where((place >= done) & (F.lit(last) | (place < upto))).select("grp", F.col("node").alias("u"), F.col("fp").alias("u_fp"), F.col("label").alias("u_label"))
+        pairs = asks.join(now, "grp").where((F.col("node") > F.col("u")) & (F.col("label") != F.col("u_label")) & _near("fp", "u_fp"))
+        edges = materialize(edges.unionAll(checked(pairs.select("u", F.col("node").alias("v")))), "alike")
+        done, upto = (largest if last else upto), 16 * upto
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR_SHINGLE, percent: int = NEAR_PERCENT) -> DataFrame:
+    """``doc_id, component_id`` for each row: the smallest id reachable over pairs with ``percent`` of their shingles in common.
+
+    Candidates share a min-hash band and have SimHashes within ``RADIUS`` bits; each is decided by the shingles
+    themselves. Nulls, repeats and empty texts are as in ``near_duplicates``.
+    """
+    small_batches(docs.sparkSession)
+    read = docs.select(F.col(id_col).alias("doc_id"), _sketch_udf(shingle)(utf8(F.col(text_col))).alias("made")).select("doc_id", "made.*")
+    read = materialize(read, "sketches")
+    nodes = materialize(read.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "nodes")
+    each = nodes.select("node", "fp", F.explode("bands").alias("grp"))
+    group = each.groupBy("grp").agg(F.count("*").alias("size"), F.min(F.struct("node", "fp")).alias("least")).where("size > 1")
+    members = materialize(each.join(group, "grp"), "members")
+    shingles = read.select("node", "shingles").join(members.select("node").distinct(), "node", "left_semi")
+    shingles = materialize(shingles.groupBy("node").agg(F.first("shingles").alias("shingles")), "shingles")
+    root = components(_similar_edges(members, shingles, percent)).withColumnRenamed("node", "rooted")
+    labelled = nodes.select("node", "least_id").join(root, nodes["node"] == F.col("rooted"), "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
+    least = labelled.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    classes = labelled.join(least, "root").select(F.col("node").alias("class_node"), "component_id")
+    return read.select("doc_id", "node").join(classes, F.col("node") == F.col("class_node")).select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = NEAR_SHINGLE, percent: int = NEAR_PERCENT) -> DataFrame:
+    """The documents of which ``doc_id`` is the smallest of its class of ``similar`` ones, all columns kept.
 
     Rows that repeat a kept id stay, as they are one document. Rows without an id stay.
     """
-    classes, key = near_duplicates(docs, most=most), fresh(docs, "gone_id")
+    classes, key = similar(docs, shingle=shingle, percent=percent), fresh(docs, "gone_id")
     gone = classes.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct()
     return docs.join(gone, docs["doc_id"] == F.col(key), "left_anti")
 

@@ -1,6 +1,7 @@
 """SimHash classes and repeated spans against brute force."""
 
 import hashlib
+import random
 
 import numpy as np
 import pytest
@@ -105,7 +106,58 @@ def test_one_of_each_keeps_columns_and_clean_documents(spark):
     assert 62 not in ids and 0 in ids and ids.count(3) == 3 and None in ids
 
 
+def slow_similar(rows, percent=80):
+    """Class of each text by brute force over sets of 5 words."""
+    sets = []
+    for _, t, _ in rows:
+        w = (t or "").lower().encode().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    parent = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]) and parent[i] != parent[j]:
+                a, b = parent[i], parent[j]
+                parent = [b if p == a else p for p in parent]
+    return parent
+
+
+def near_rows(seed=9):
+    """Originals with copies in which single words are changed, so that Jaccard lies on both sides of 0.8."""
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(40):
+        words = [f"w{rng.randint(0, 3000)}" for _ in range(rng.randint(40, 400))]
+        rows.append(" ".join(words))
+        for _ in range(4):
+            other = list(words)
+            for _ in range(rng.randint(1, max(1, len(words) // 30))):
+                other[rng.randrange(len(other))] = f"new{rng.randint(0, 10**6)}"
+            rows.append(" ".join(other))
+    return [(i, t, "en") for i, t in enumerate(rows)]
+
+
+def test_stage_matches_jaccard(spark):
+    rows = near_rows()
+    classes = slow_similar(rows)
+    kept = {min(i for (i, _, _), c in zip(rows, classes) if c == k) for k in set(classes)}
+    assert 40 < len(kept) < 200  # some copies are near, some aren't
+    assert {r["doc_id"] for r in simhash.one_of_each(frame(spark, rows)).collect()} == kept
+    wide = {r["doc_id"] for r in simhash.near_duplicates(frame(spark, rows)).where("doc_id = component_id").collect()}
+    assert len(wide) > len(kept)  # op9's four bits don't reach these copies
+
+
+def test_similar_takes_odd_texts(spark):
+    rows = texts()
+    classes = slow_similar(rows)
+    least = {}
+    for (i, _, _), c in zip(rows, classes):
+        least[c] = min((x for x in (least.get(c), i) if x is not None), default=None)
+    got = simhash.similar(frame(spark)).collect()
+    assert sorted(((r["doc_id"], r["component_id"]) for r in got), key=str) == sorted(((i, least[c]) for (i, _, _), c in zip(rows, classes)), key=str)
+
+
 def test_empty_tables(spark):
+    assert simhash.similar(frame(spark, [])).count() == 0
     assert simhash.near_duplicates(frame(spark, [])).count() == 0
     assert substring.remove_repeats(frame(spark, [])).count() == 0
 
