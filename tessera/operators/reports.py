@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def corpus_report(outcomes: DataFrame, expected: DataFrame | None = None) -> DataFrame:
@@ -66,34 +70,81 @@ def is_binary(content: Column) -> Column:
     return (F.position(F.lit("\x00"), head.cast("string")) > 0) | ~F.is_valid_utf8(content.cast("string"))
 
 
-# Patterns of secrets, by name.
+# Patterns of secrets, by name; byte patterns, so classes and cases are ASCII's.
 SECRETS = {
-    "aws_key": "AKIA[0-9A-Z]{16}",
-    "github_token": "gh[pousr]_[A-Za-z0-9]{36,255}",
-    "private_key": "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----",
-    "slack_token": "xox[baprs]-[A-Za-z0-9-]{10,72}",
-    "bearer": "[Bb]earer [A-Za-z0-9._~+/-]{20,}",
-    "assigned": "(?:token|secret|password|api_key) ?[=:] ?[\"'][^\"'\\s]{8,}[\"']",
+    "private_key": rb"-----BEGIN (?:RSA |EC |OPENSSH |DSA )?PRIVATE KEY-----",
+    "aws_key": rb"(?<![A-Z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Z0-9])",
+    "github_token": rb"(?<![A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{36,255}",
+    "github_pat": rb"github_pat_[A-Za-z0-9_]{20,255}",
+    "slack_token": rb"xox[baprs]-[A-Za-z0-9-]{10,}",
+    "assigned": rb"(?i)(?:api[_-]?key|client[_-]?secret|access[_-]?token|auth[_-]?token|password|passwd)\s*[:=]\s*['\"]?[A-Za-z0-9_./+=-]{8,}",
+}
+#: Wider ones; a match counts where none of its name above overlaps it.
+MORE_SECRETS = {
+    "aws_key": rb"AKIA[0-9A-Z]{16}",
+    "github_token": rb"gh[pousr]_[A-Za-z0-9]{36,255}",
+    "private_key": rb"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----",
+    "bearer": rb"[Bb]earer [A-Za-z0-9._~+/-]{20,}",
+    "assigned": rb"(?:token|secret|password|api_key) ?[=:] ?[\"'][^\"'\s]{8,}[\"']",
 }
 MOST_SECRETS = 1000
 
 
-def secrets(rows: DataFrame, text: str = "text") -> DataFrame:
-    """``rows`` with ``kind`` and ``line`` of the first match of each pattern that occurs, lines counted from 1.
-
-    A document reports at most ``MOST_SECRETS`` findings, more than there are patterns.
+def find_secrets(data: bytes, most: int | None = None) -> tuple[list[tuple[str, int]], bool]:
+    """Name and line of every match by place, and whether there were more than ``most``; the first are kept by pattern."""
+    found, spans = [], {}
+    for name, pattern in SECRETS.items():
+        spans[name] = [m.span() for m in re.finditer(pattern, data)]
+        found += [(s, name) for s, _ in spans[name]]
+    for name, pattern in MORE_SECRETS.items():
+        taken, at = spans.get(name, []), 0
+        for m in re.finditer(pattern, data):
+            while at < len(taken) and taken[at][1] <= m.start():
+                at += 1
+            if at == len(taken) or taken[at][0] >= m.end():
+                found.append((m.start(), name))
+    cut = most is not None and len(found) > most
+    rows, line, before = [], 1, 0
+    for at, name in sorted(found[:most]):
+        line += data.count(b"\n", before, at)
+        before = at
+        rows.append((name, line))
+    return rows, cut
+
+
+@F.arrow_udf(T.BinaryType())
+def _redact(texts: pa.Array) -> pa.Array:
+    out = []
+    for t in texts:
+        data = t.as_py()
+        for pattern in [*SECRETS.values(), *MORE_SECRETS.values()] if data is not None else ():
+            data = re.sub(pattern, b"[redacted]", data)
+        out.append(data)
+    return pa.array(out, pa.binary())
+
+
+def secrets(rows: DataFrame, text: str = "text", most: int | None = MOST_SECRETS) -> DataFrame:
+    """``rows`` with ``kind`` and ``line`` of every match of each pattern, lines counted from 1.
+
+    A document reports at most ``most`` findings (None: all); ``truncated`` says whether it had more.
     """
-    found = F.array(*[F.struct(F.lit(k).alias("kind"), F.regexp_instr(text, F.lit(p)).alias("at")) for k, p in SECRETS.items()])
-    each = rows.withColumn("hit", F.explode(F.slice(F.filter(found, lambda x: x["at"] > 0), 1, MOST_SECRETS)))
-    before = F.substring(F.col(text), F.lit(1), F.col("hit.at") - 1)
-    return each.withColumn("kind", F.col("hit.kind")).withColumn("line", F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).drop("hit")
+    hits = T.ArrayType(T.StructType().add("kind", T.StringType()).add("line", T.LongType()).add("truncated", T.BooleanType()))
+
+    @F.arrow_udf(hits)
+    def scan(texts: pa.Array) -> pa.Array:
+        out = []
+        for t in texts:
+            found, cut = find_secrets(t.as_py() or b"", most)
+            out.append([{"kind": k, "line": n, "truncated": cut} for k, n in found])
+        return pa.array(out, pa.list_(pa.struct([("kind", pa.string()), ("line", pa.int64()), ("truncated", pa.bool_())])))
+
+    each = rows.withColumn("hit", F.explode(scan(F.col(text).cast("binary"))))
+    return each.withColumns({c: F.col(f"hit.{c}") for c in ("kind", "line", "truncated")}).drop("hit")
 
 
 def redacted(text: Column) -> Column:
     """The text with every secret replaced."""
-    for pattern in SECRETS.values():
-        text = F.regexp_replace(text, pattern, "[redacted]")
-    return text
+    return _redact(text.cast("binary")).cast("string")
 
 
 def pointer(values: DataFrame, path: str) -> DataFrame:

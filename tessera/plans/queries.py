@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.base import small_batches
 from tessera.operators import projection, quads, reports
 from tessera.options import ReadOptions
 from tessera.plans import workload
@@ -337,12 +338,24 @@ Q28 = "SELECT doc_id, sha256(text) AS sha256 FROM documents"
 
 
 def q29_secrets(spark, sf_dir):
-    return reports.secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "kind", F.col("line").cast("long").alias("line"))
+    small_batches(spark)
+    return reports.secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), most=None).select("doc_id", "kind", "line")
+
+
+#: What the SQL of q29 and q30 was written with: narrower than the queries, and only the first match of each (see the README).
+_SQL_SECRETS = {
+    "aws_key": "AKIA[0-9A-Z]{16}",
+    "github_token": "gh[pousr]_[A-Za-z0-9]{36,255}",
+    "private_key": "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----",
+    "slack_token": "xox[baprs]-[A-Za-z0-9-]{10,72}",
+    "bearer": "[Bb]earer [A-Za-z0-9._~+/-]{20,}",
+    "assigned": "(?:token|secret|password|api_key) ?[=:] ?[\"'][^\"'\\s]{8,}[\"']",
+}
 
 
 Q29 = (
     "WITH p AS (SELECT * FROM (VALUES "
-    + ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in reports.SECRETS.items())
+    + ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in _SQL_SECRETS.items())
     + """) t(kind, pattern)),
 h AS (SELECT doc_id, kind, text, regexp_extract(text, pattern) AS found FROM documents, p WHERE regexp_matches(text, pattern))
 SELECT doc_id, kind, CAST(1 + len(string_split(substr(text, 1, strpos(text, found) - 1), chr(10))) - 1 AS BIGINT) AS line FROM h
@@ -351,13 +364,14 @@ SELECT doc_id, kind, CAST(1 + len(string_split(substr(text, 1, strpos(text, foun
 
 
 def q30_redacted_texts(spark, sf_dir):
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", F.sha2(reports.redacted(F.col("text")).cast("binary"), 256).alias("sha256"))
 
 
 def _redacted_sql() -> str:
     text = "text"
-    for pattern in reports.SECRETS.values():
+    for pattern in _SQL_SECRETS.values():
         text = "regexp_replace({}, '{}', '[redacted]', 'g')".format(text, pattern.replace("'", "''"))
     return f"SELECT doc_id, sha256({text}) AS sha256 FROM documents"
 
