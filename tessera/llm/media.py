@@ -59,11 +59,13 @@ def from_wav(media: bytes) -> bytes:
 
 
 def peaks(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Frame and frequency bin of each spectral peak, by frame, then bin."""
+    """Frame and frequency bin of each spectral peak, by frame, then bin.
+
+    Silence follows the samples for the transform, so that a last frame covers their end. The stored payload has none of it.
+    """
     samples = np.frombuffer(payload, np.uint8)
-    n = max(1, 1 + (len(samples) - FRAME) // HOP)
-    if len(samples) < FRAME:
-        samples = np.concatenate([samples, np.full(FRAME - len(samples), 128, np.uint8)])
+    n = 1 + -(-max(0, len(samples) - FRAME) // HOP)
+    samples = np.concatenate([samples, np.full((n - 1) * HOP + FRAME - len(samples), 128, np.uint8)])
     frames = np.lib.stride_tricks.sliding_window_view(samples, FRAME)[::HOP]
     window = np.hanning(FRAME).astype(np.float32)
     times, bins = [], []

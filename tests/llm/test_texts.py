@@ -184,6 +184,21 @@ def test_payload_round_trip(size):
     assert (np.diff(times) >= 0).all() and len(times) == len(bins)
 
 
+@pytest.mark.parametrize("size", [576, 1152, 5760, 576 * 400])
+def test_the_last_bytes_reach_the_spectrum(size):
+    rng = np.random.default_rng(size)
+    quiet = (128 + rng.integers(-2, 3, size)).astype(np.uint8)
+    tone = (128 + 100 * np.sin(2 * np.pi * 30 / media.FRAME * np.arange(100))).astype(np.uint8)
+    loud = quiet.copy()
+    loud[-100:] = tone
+    same = [a.tolist() == b.tolist() for a, b in zip(media.peaks(quiet.tobytes()), media.peaks(loud.tobytes()))]
+    assert not all(same)
+    times, bins = media.peaks(loud.tobytes())
+    assert {29, 30, 31} & set(bins[times * media.HOP + media.FRAME > size - 100].tolist())
+    loud[:-16] = 128  # only the last bytes sound
+    assert len(media.peaks(loud.tobytes())[0])
+
+
 def test_fingerprints_of_a_tone():
     t = np.arange(576 * 40)
     tone = (128 + 100 * np.sin(2 * np.pi * 30 / media.FRAME * t)).astype(np.uint8).tobytes()
