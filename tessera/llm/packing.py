@@ -31,7 +31,7 @@ WINDOW = 4096
 END = 2
 #: Tokens of leftovers in a shard (a document counts 32 more), and cells of the min-hash that shards are made of.
 SHARD_TOKENS, CELLS = 4_000_000, 4096
-#: Terms of a seed that ask the index, and neighbours it returns at a time.
+#: Terms of a seed that ask the index at a time, its best first, and neighbours it returns at a time.
 ASK, RETURNED = 24, 64
 K1, B = 1.2, 0.75
 #: Bytes of words whose ids a worker remembers, at 100 more for each word.
@@ -175,8 +175,7 @@ class Index:
         for i, ids in enumerate(leftovers):
             term, tf = np.unique(ids, return_counts=True)
             weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / mean))
-            best = np.argsort(-weight, kind="stable")[:ASK]
-            self.ask.append(term[best])
+            self.ask.append(term[np.argsort(-weight, kind="stable")])
             terms.append(term)
             docs.append(np.full(len(term), i, np.int32))
             weights.append(weight.astype(np.float32))
@@ -188,18 +187,33 @@ class Index:
         self.first = np.searchsorted(term[order], np.arange((1 << 16) + 1))
         self.n = len(leftovers)
 
-    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share a term with the seed's, best first, at most ``RETURNED``."""
-        lists = [slice(self.first[t], self.first[t + 1]) for t in self.ask[seed].tolist()]
+    def _scores(self, terms: np.ndarray) -> np.ndarray:
+        lists = [slice(self.first[t], self.first[t + 1]) for t in terms.tolist()]
         if not lists:
-            return np.zeros(0, np.int64)
-        score = np.bincount(np.concatenate([self.docs[s] for s in lists]), np.concatenate([self.weights[s] for s in lists]), self.n)
-        score *= unused
-        found = np.flatnonzero(score > 0)
+            return np.zeros(self.n)
+        return np.bincount(np.concatenate([self.docs[s] for s in lists]), np.concatenate([self.weights[s] for s in lists]), self.n)
+
+    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
+        """Unused documents that share one of the seed's ``ASK`` best terms, best first, at most ``RETURNED``."""
+        return self._best(self._scores(self.ask[seed][:ASK]), unused)
+
+    def _best(self, score: np.ndarray, unused: np.ndarray) -> np.ndarray:
+        found = np.flatnonzero((score > 0) & unused)
         if len(found) > RETURNED:
             found = np.sort(found[np.argpartition(-score[found], RETURNED)[:RETURNED]])
         return found[np.argsort(-score[found], kind="stable")]
 
+    def all_neighbours(self, seed: int, unused: np.ndarray) -> Iterator[int]:
+        """All unused documents that share a term with the seed: ``RETURNED`` at a time, by its best terms, then the others.
+
+        ``unused`` is read as the iterator goes on, so who takes a document marks it there.
+        """
+        for at in range(0, len(self.ask[seed]), ASK):
+            score = self._scores(self.ask[seed][at : at + ASK])
+            while len(found := self._best(score, unused)):
+                yield from (int(i) for i in found)
+                score[found] = 0
+
 
 def pack_shard(sizes: np.ndarray, index: Index | None) -> list[list[tuple[int, int, int]]]:
     """Sequences of pieces (leftover, start in it, length): full windows, then powers of two."""
@@ -225,7 +239,7 @@ def pack_shard(sizes: np.ndarray, index: Index | None) -> list[list[tuple[int, i
             if not room:
                 break
             if waiting is None:
-                waiting = iter(index.neighbours(seed, unused).tolist() if index else ())
+                waiting = index.all_neighbours(seed, unused) if index else iter(())
             take = next(waiting, -1)
             if take < 0:  # no more neighbours: the next unused document
                 while scan < len(sizes) and not unused[scan]:

@@ -118,6 +118,26 @@ def test_neighbours_share_rare_terms():
     assert best == sorted([j for j in slow if slow[j] > 0], key=lambda j: (-round(slow[j], 3), j)) or set(best) == {j for j in slow if slow[j] > 0}
 
 
+def test_windows_take_neighbours_while_there_are_any():
+    """Hundreds of short leftovers of two topics, in turns: a window has one topic as long as that has documents left."""
+    rng = np.random.default_rng(1)
+    docs = [rng.integers(1000 * (i % 2 + 1), 1000 * (i % 2 + 1) + 30, size=20).astype(np.uint16) for i in range(800)]
+    index = packing.Index(docs, np.ones(1 << 16), 20.0)
+    sequences = packing.pack_shard(np.full(800, 20, np.int64), index)
+    assert sorted((i, a) for s in sequences for i, a, _ in s if a == 0) == [(i, 0) for i in range(800)]
+    topics = [{i % 2 for i, _, _ in s} for s in sequences if sum(p[2] for p in s) == packing.WINDOW]
+    assert topics[0] == {0} and sum(len(t) == 2 for t in topics) <= 1
+    unused = np.ones(800, bool)
+    unused[0] = False
+    assert len(list(index.all_neighbours(0, unused))) == 399
+
+
+def test_terms_past_the_first_are_asked():
+    seed = np.arange(200, dtype=np.uint16)
+    index = packing.Index([seed, np.array([5000] * 9, np.uint16), np.array([199] * 9, np.uint16)], np.r_[np.linspace(9, 1, 200), np.ones((1 << 16) - 200)], 70.0)
+    assert list(index.all_neighbours(0, np.array([False, True, True]))) == [2]
+
+
 def test_shards_are_bounded():
     rng = random.Random(2)
     cells = [(i, rng.randint(1, 400)) for i in range(100)] + [(100, 9000)]
