@@ -101,7 +101,7 @@ def candidates(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, i
     """Base spans, and the other candidates that overlap no base span nor an earlier candidate."""
     base, runs = base_spans(text)
     loose = [(ACCOUNT, *s) for s in runs]
-    if "at" in text and ("[" in text or "(" in text):
+    if "[" in text or "(" in text:
         loose += [(EMAIL, *m.span()) for m in _OTHER_AT.finditer(text)]
     loose += [(PHONE, *m.span()) for m in _OTHER_PHONE.finditer(text)]
     loose += [(SECRET, *m.span()) for m in _SECRET.finditer(text)]

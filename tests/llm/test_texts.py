@@ -184,6 +184,12 @@ def test_payload_round_trip(size):
     assert (np.diff(times) >= 0).all() and len(times) == len(bins)
 
 
+@pytest.mark.parametrize("text", ["JOHN [AT] HOST [DOT] COM", "JOHN(AT)HOST.COM", "john [at] host (dot) com"])
+def test_addresses_in_either_case_are_candidates(text):
+    base, other = pii.candidates(text)
+    assert base == [] and (pii.EMAIL, 0, len(text)) in other
+
+
 @pytest.mark.parametrize("size", [576, 1152, 5760, 576 * 400])
 def test_the_last_bytes_reach_the_spectrum(size):
     rng = np.random.default_rng(size)
