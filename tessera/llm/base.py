@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import discard, materialize
+
+__all__ = ["discard", "fresh", "join_salted", "materialize", "small_batches", "table", "utf8"]
+
 #: Bytes that separate words: space and the controls 9 to 13. ``bytes.split()`` cuts at exactly these.
 SPACES = " \t\n\x0b\x0c\r"
 
 MASK64 = (1 << 64) - 1
+#: Parts that the rows of a hot key are dealt to.
+SALTS = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,40 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one in tests where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="tessera-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet below the shared folder and read it back.
-
-    This cuts lineage: a lost executor costs the tasks it ran, never the work before the cut.
-    The files go when the application ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_root(spark)}/tessera/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    made = spark.read.schema(df.schema).parquet(path)
-    made._written_at = target
-    return made
-
-
-def discard(made: DataFrame) -> None:
-    """Delete a table that ``materialize`` wrote, once nothing that is still to run reads it."""
-    target = made._written_at
-    target.getFileSystem(made.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` doesn't have, for a helper column beside its own."""
     taken = {c.lower() for c in df.columns}
@@ -61,6 +30,22 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def join_salted(rows: DataFrame, keyed: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the other columns of ``keyed``, which has one row for each ``key`` and the number ``n`` of its rows.
+
+    A key with more than a thousandth of all rows has its row in ``keyed`` copied for each salt; there are fewer than a
+    thousand such keys, so telling them to all tasks is bounded.
+    """
+    total = keyed.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    hot = keyed.where(F.col("n") * 1000 > max(total, 1000)).select(F.col(key).alias("hot_key"))
+    salt = lambda of: F.when(F.col("hot_key").isNotNull(), of)
+    marked = lambda df: df.join(F.broadcast(hot), df[key] == F.col("hot_key"), "left")
+    left = marked(rows).withColumn("salt", F.coalesce(salt(F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")), F.lit(0))).drop("hot_key")
+    salts = F.coalesce(salt(F.sequence(F.lit(0), F.lit(SALTS - 1))), F.array(F.lit(0)))
+    right = marked(keyed.drop("n")).withColumn("salt", F.explode(salts)).drop("hot_key")
+    return left.join(right, [key, "salt"]).drop("salt")
+
+
 def utf8(text: Column) -> Column:
     """The UTF-8 bytes of a text; null counts as empty."""
     return F.coalesce(text, F.lit("")).cast("binary")

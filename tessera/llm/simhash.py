@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -12,27 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import fresh, materialize, small_batches, utf8
+from .base import join_salted, materialize, small_batches, table, utf8
 from .components import components
+from .gray import near_links
 
 SEED = 42
 SHINGLE = 4
 MOST_BITS = 4
 
-#: Near copies of the pipeline: words of a shingle, and the per cent of all shingles of two documents that both have.
-NEAR_SHINGLE, NEAR_PERCENT = 5, 80
-#: Min-hash bands, and least hashes in each. A pair with four fifths in common shares no band once in 14,000 times.
-BANDS, BAND_ROWS = 24, 5
-#: SimHashes of such a pair differ in 10 of 64 bits (12 for shortest texts), with deviation 3; more than this isn't tried.
-RADIUS = 26
-
-#: Members of a leaf, and children of an upper node, of the hierarchical index.
-FAN_OUT = 16
-#: Pairs of a query and a node that are compared at once.
-HELD = 1 << 18
-#: Queries of one group that one task answers; a larger group's queries are spread over slices.
-SLICE = 20_000
-
 
 def fingerprint(text: bytes) -> bytes:
     """The 64-bit SimHash of one text as 8 bytes, highest bit first.
@@ -61,273 +45,12 @@ def fingerprint(text: bytes) -> bytes:
     return np.packbits(2 * ones > n).tobytes()
 
 
-def shingle_set(text: bytes, shingle: int = NEAR_SHINGLE) -> np.ndarray:
-    """Distinct hashes of a text's shingles, ascending; words and short texts as in ``fingerprint``."""
-    words = text.lower().split()
-    digest = xxhash.xxh64_intdigest
-    found = {digest(b" ".join(words[i : i + shingle]), SEED) for i in range(max(1, len(words) - shingle + 1))} if words else ()
-    return np.sort(np.fromiter(found, np.uint64, len(found)))
-
-
-def set_fingerprint(hashes: np.ndarray) -> int:
-    """The 64-bit SimHash of a set of shingles, as a signed number."""
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        part = hashes[at : at + (1 << 16)].astype(">u8").view(np.uint8)
-        ones += np.unpackbits(part.reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes)).view(">i8")[0])
-
-
-_DRAWN = np.random.default_rng(SEED).integers(0, 1 << 63, size=(3, BANDS * BAND_ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """One key for each min-hash band; keys of different bands differ."""
-    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), 1 << 10):
-        least = np.minimum(least, ((hashes[at : at + (1 << 10), None] ^ _DRAWN[0]) * _DRAWN[1]).min(axis=0))
-    least ^= least >> np.uint64(29)
-    return (least * _DRAWN[2]).reshape(BANDS, BAND_ROWS).sum(axis=1, dtype=np.uint64).view(np.int64)
-
-
-def alike(a: np.ndarray, b: np.ndarray, percent: int = NEAR_PERCENT) -> bool:
-    """Whether two ascending sets have so many per cent of their union in common."""
-    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= percent * (len(a) + len(b) - both)
-
-
-_SKETCH = T.StructType().add("node", T.LongType()).add("fp", T.LongType()).add("bands", T.ArrayType(T.LongType())).add("shingles", T.BinaryType())
-
-
-def _sketch_udf(shingle: int):
-    @F.arrow_udf(_SKETCH)
-    def run(texts: pa.Array) -> pa.Array:
-        node, fp, keys, data = [], [], [], []
-        for t in texts:
-            hashes = shingle_set(t.as_py() or b"", shingle)
-            data.append(hashes.tobytes())
-            node.append(xxhash.xxh64_intdigest(data[-1], SEED) - (1 << 63))
-            fp.append(set_fingerprint(hashes))
-            keys.append(bands(hashes))
-        flat = pa.array(np.concatenate([np.zeros(0, np.int64), *keys]))
-        keys = pa.ListArray.from_arrays(pa.array(np.arange(len(node) + 1, dtype=np.int32) * BANDS), flat)
-        return pa.StructArray.from_arrays([pa.array(node, pa.int64()), pa.array(fp, pa.int64()), keys, pa.array(data, pa.binary())], _SKETCH.names)
-
-    return run
-
-
-def _alike_udf(percent: int):
-    @F.arrow_udf(T.BooleanType())
-    def run(a: pa.Array, b: pa.Array) -> pa.Array:
-        sets = lambda x: (np.frombuffer(v.as_py(), np.uint64) for v in x)
-        return pa.array([alike(u, v, percent) for u, v in zip(sets(a), sets(b))], pa.bool_())
-
-    return run
-
-
 @F.arrow_udf(T.LongType())
 def fingerprint_udf(texts: pa.Array) -> pa.Array:
     joined = b"".join(fingerprint(t.as_py() or b"") for t in texts)
     return pa.array(np.frombuffer(joined, ">i8").astype(np.int64))
 
 
-def block_masks(blocks: int = 6, equal: int = 2) -> list[int]:
-    """The root patterns of the index: every choice of ``equal`` of the ``blocks`` blocks of the 64 bits.
-
-    Two fingerprints that differ in at most ``blocks - equal`` bits agree on all bits of one mask at least.
-    """
-    cuts = [64 * i // blocks for i in range(blocks + 1)]
-    parts = [sum(1 << b for b in range(lo, hi)) for lo, hi in zip(cuts, cuts[1:])]
-    return [sum(chosen) for chosen in combinations(parts, equal)]
-
-
-def gray_rank(x: np.ndarray) -> np.ndarray:
-    """The place of each word in the reflected Gray sequence: neighbours there differ in few bits."""
-    x = x.copy()
-    for shift in (1, 2, 4, 8, 16, 32):
-        x ^= x >> np.uint64(shift)
-    return x
-
-
-def _roots(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
-    """Smallest index reachable over the pairs (a, b), beginning from ``label``."""
-    label = np.arange(n) if label is None else label.copy()
-    while len(a):
-        low = np.minimum(label[a], label[b])
-        np.minimum.at(label, label[a], low)
-        np.minimum.at(label, label[b], low)
-        while (label[label] != label).any():
-            label = label[label]
-        apart = label[a] != label[b]
-        a, b = a[apart], b[apart]
-    return label
-
-
-class GrayIndex:
-    """Fingerprints in Gray order under a hierarchy of shared masked bit patterns.
-
-    A node stands for a run of the order; its mask has the bits on which all of the run agree. Bits
-    already compared in an upper node are left out of the lower ones (they are factored upward), so
-    differences accumulate on the way down and a run is pruned as soon as they exceed the threshold.
-    """
-
-    def __init__(self, sorted_fp: np.ndarray):
-        self.fp = sorted_fp
-        both, some = sorted_fp, sorted_fp
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
-        while True:
-            cuts = np.arange(0, len(both), FAN_OUT)
-            both, some = np.bitwise_and.reduceat(both, cuts), np.bitwise_or.reduceat(some, cuts)
-            self.levels.append((both, ~(both ^ some)))
-            if len(both) == 1:
-                break
-        for k in range(len(self.levels) - 1):
-            pattern, mask = self.levels[k]
-            above = np.repeat(self.levels[k + 1][1], FAN_OUT)[: len(mask)]
-            self.levels[k] = (pattern, mask & ~above)
-        self.factored = np.repeat(self.levels[0][1], FAN_OUT)[: len(sorted_fp)]
-        for k in range(1, len(self.levels)):
-            self.factored |= np.repeat(self.levels[k][1], FAN_OUT ** (k + 1))[: len(sorted_fp)]
-
-    def classes(self, label: np.ndarray, wanted: np.ndarray, most: int) -> np.ndarray:
-        """Labels joined by all links of the wanted members to later ones within ``most`` bits.
-
-        Queries go down in waves. A run that lies wholly in the query's own class is pruned as well, so a
-        dense class costs little once it has formed; what waits on the stack never exceeds a few times
-        ``HELD`` pairs of a query and a node, however many members match.
-        """
-        chosen, at, wave = np.flatnonzero(wanted), 0, 64
-        while at < len(chosen):
-            label, visited = self._wave(chosen[at : at + wave], label, most)
-            at += wave
-            wave = max(16, wave // 2) if visited > 4 * HELD else min(4096, 2 * wave) if visited < HELD else wave
-        return label
-
-    def _wave(self, queries: np.ndarray, label: np.ndarray, most: int) -> tuple[np.ndarray, int]:
-        n, low, high, visited = len(self.fp), [label], [label], 0
-        for _ in self.levels:
-            cuts = np.arange(0, len(low[-1]), FAN_OUT)
-            low.append(np.minimum.reduceat(low[-1], cuts))
-            high.append(np.maximum.reduceat(high[-1], cuts))
-        none = np.zeros(len(queries), np.int64)
-        stack = [(len(self.levels) - 1, queries, none, none)]
-        while stack:
-            k, q, node, far = stack.pop()
-            if len(q) > HELD // FAN_OUT:
-                half = len(q) // 2
-                stack += [(k, q[half:], node[half:], far[half:]), (k, q[:half], node[:half], far[:half])]
-                continue
-            pattern, mask = self.levels[k]
-            far = far + np.bitwise_count((self.fp[q] ^ pattern[node]) & mask[node])
-            own = (low[k + 1][node] == label[q]) & (high[k + 1][node] == label[q])
-            keep = np.flatnonzero((far <= most) & ~own & (np.minimum((node + 1) * FAN_OUT ** (k + 1), n) > q + 1))
-            child = (node[keep, None] * FAN_OUT + np.arange(FAN_OUT)).ravel()
-            keep = np.repeat(keep, FAN_OUT)
-            real = child < (n if k == 0 else len(self.levels[k - 1][0]))
-            q, node, far = q[keep[real]], child[real], far[keep[real]]
-            visited += len(q)
-            if k:
-                stack.append((k - 1, q, node, far))
-                continue
-            later = (node > q) & (label[node] != label[q])
-            q, node, far = q[later], node[later], far[later]
-            hit = far + np.bitwise_count((self.fp[q] ^ self.fp[node]) & ~self.factored[node]) <= most
-            if hit.any():
-                label = _roots(n, q[hit], node[hit], label)
-        return label, visited
-
-
-def _link_group(fp: np.ndarray, wanted: np.ndarray, most: int) -> np.ndarray:
-    """Class label of each member of one large group in Gray order, from the links of the wanted queries."""
-    at = np.arange(len(fp) - 1)
-    near = np.bitwise_count(fp[1:] ^ fp[:-1]) <= most
-    label = _roots(len(fp), at[near], at[near] + 1)
-    return GrayIndex(fp).classes(label, wanted, most)
-
-
-def link_groups(group: np.ndarray, fp: np.ndarray, wanted: np.ndarray, most: int = MOST_BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join what is within ``most`` bits inside each group, as a star for each class found.
-
-    ``group`` is ascending; order inside a group doesn't matter. ``wanted`` marks the members whose
-    own links are asked for (all, but for a slice of a spread group); slices together find every link.
-    """
-    order = np.lexsort((gray_rank(fp), group))
-    group, fp, wanted = group[order], fp[order], wanted[order]
-    first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-    size = np.diff(np.r_[first, len(group)])
-    each = np.repeat(size, size)
-    pairs_a, pairs_b = [], []
-    for d in range(1, min(int(size.max(initial=0)), 2 * FAN_OUT)):  # small groups are one leaf: offsets within it
-        a = np.flatnonzero((group[d:] == group[:-d]) & (each[d:] <= 2 * FAN_OUT))
-        hit = np.bitwise_count(fp[a] ^ fp[a + d]) <= most
-        pairs_a.append(a[hit])
-        pairs_b.append(a[hit] + d)
-    none = np.zeros(0, np.int64)
-    label = _roots(len(fp), np.concatenate([none, *pairs_a]), np.concatenate([none, *pairs_b]))
-    for s, n in zip(first[size > 2 * FAN_OUT].tolist(), size[size > 2 * FAN_OUT].tolist()):
-        label[s : s + n] = s + _link_group(fp[s : s + n], wanted[s : s + n], most)
-    away = np.flatnonzero(label != np.arange(len(fp)))
-    return fp[away], fp[label[away]]
-
-
-def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Answer the groups of a sorted partition; a group that continues in the next batch is carried over."""
-
-    def answer(t: pa.Table) -> pa.RecordBatch:
-        key = np.stack([t[c].to_numpy().astype(np.int64) for c in ("combo", "slice", "masked")])
-        group = np.cumsum(np.r_[False, (key[:, 1:] != key[:, :-1]).any(axis=0)])
-        u, v = link_groups(group, t["fp"].to_numpy().view(np.uint64), t["wanted"].to_numpy(zero_copy_only=False))
-        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
-
-    held: list[pa.RecordBatch] = []
-    last = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        end = tuple(b[c][b.num_rows - 1].as_py() for c in ("combo", "slice", "masked"))
-        if held and end != last or not held:
-            cols = [b[c].to_numpy() for c in ("combo", "slice", "masked")]
-            same = (cols[0] == end[0]) & (cols[1] == end[1]) & (cols[2] == end[2])
-            cut = int(np.argmax(same))
-            ready = [*held, *([b.slice(0, cut)] if cut else [])]
-            if ready:
-                yield answer(pa.Table.from_batches(ready))
-            held = [b.slice(cut)]
-        else:
-            held.append(b)
-        last = end
-    if held:
-        yield answer(pa.Table.from_batches(held))
-
-
-def near_links(prints: DataFrame, most: int = MOST_BITS) -> DataFrame:
-    """Edges ``(u, v)`` between distinct fingerprints ``fp`` that join all within ``most`` bits.
-
-    Every fingerprint goes under each of the root masks; those that share a root's bits are one group
-    and searched there. A root with more than ``SLICE`` members has its queries spread over slices,
-    each with the whole group (8 bytes a member) as its index, so no task has more queries than that.
-    """
-    blocks = most + 2
-    masks = [m - (1 << 64) if m >> 63 else m for m in block_masks(blocks, 2)]
-    roots = prints.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("combo", "masked"))
-    size = roots.groupBy("combo", "masked").agg(F.count("*").alias("size")).where("size > 1")
-    slices = F.ceil(F.col("size") / F.lit(SLICE)).cast("int")
-    dealt = (
-        roots.join(size.select("combo", "masked", slices.alias("slices")), ["combo", "masked"])
-        .select("combo", "masked", "fp", F.pmod(F.xxhash64("fp"), F.col("slices")).alias("own"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
-        .select("combo", "slice", "masked", "fp", (F.col("own") == F.col("slice")).alias("wanted"))
-    )
-    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (
-        dealt.repartition(parts, "combo", "slice", "masked")
-        .sortWithinPartitions("combo", "slice", "masked")
-        .mapInArrow(_search, "u long, v long")
-        .distinct()
-    )
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_BITS) -> DataFrame:
     """One row per input row: ``doc_id, fp (long), component_id``, the smallest id reachable over links.
 
@@ -339,87 +62,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     small_batches(docs.sparkSession)
     prints = docs.select(F.col(id_col).alias("doc_id"), fingerprint_udf(utf8(F.col(text_col))).alias("fp"))
     prints = materialize(prints, "fingerprints")
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
-    root = components(near_links(distinct.select("fp"), most))
-    linked = distinct.join(root, distinct["fp"] == root["node"]).select("fp", "root", "least_id")
-    least = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    moved = linked.join(least, "root").select(F.col("fp").alias("linked_fp"), "component_id")
-    classes = distinct.join(moved, distinct["fp"] == moved["linked_fp"], "left").select(
-        F.col("fp").alias("class_fp"), F.when(F.col("linked_fp").isNull(), F.col("least_id")).otherwise(F.col("component_id")).alias("component_id")
-    )
-    return prints.join(classes, prints["fp"] == classes["class_fp"]).select("doc_id", "fp", "component_id")
-
-
-def _near(a: str, b: str):
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= RADIUS
-
-
-def _similar_edges(members: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
-    """Edges ``(u, v)`` that join all that are alike and share a group: ``members(grp, size, least, node, fp)``.
-
-    First each member is held against its group's least node, which leaves copies one class. Then, in groups that still
-    have several classes, a growing number of members are held against all later ones of other classes, until a group
-    is one class or all its pairs were tried. So a large group of copies costs its members, not their pairs.
-    """
-
-    def checked(pairs: DataFrame) -> DataFrame:
-        a = shingles.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
-        b = shingles.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
-        return pairs.distinct().join(a, "u").join(b, "v").where(_alike_udf(percent)("a", "b")).select("u", "v")
-
-    first = members.where((F.col("node") != F.col("least.node")) & _near("fp", "least.fp"))
-    edges = materialize(checked(first.select(F.col("least.node").alias("u"), F.col("node").alias("v"))), "alike")
-    done, upto = 0, 16
-    while True:
-        root = components(edges).withColumnRenamed("node", "rooted")
-        now = members.join(root, members["node"] == F.col("rooted"), "left").select("grp", "size", "node", "fp", F.coalesce("root", "node").alias("label"))
-        several = now.groupBy("grp").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("grp")
-        now = materialize(now.join(several, "grp", "left_semi"), "unsettled")
-        largest = now.agg(F.max("size")).first()[0]
-        if largest is None or done >= largest:
-            return edges
-        place = (F.col("node") / F.lit(2.0**64) + 0.5) * F.col("size")  # nodes are hashes, so places are even
-        last = upto >= largest
-        asks = now.where((place >= done) & (F.lit(last) | (place < upto))).select("grp", F.col("node").alias("u"), F.col("fp").alias("u_fp"), F.col("label").alias("u_label"))
-        pairs = asks.join(now, "grp").where((F.col("node") > F.col("u")) & (F.col("label") != F.col("u_label")) & _near("fp", "u_fp"))
-        edges = materialize(edges.unionAll(checked(pairs.select("u", F.col("node").alias("v")))), "alike")
-        done, upto = (largest if last else upto), 16 * upto
-
-
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR_SHINGLE, percent: int = NEAR_PERCENT) -> DataFrame:
-    """``doc_id, component_id`` for each row: the smallest id reachable over pairs with ``percent`` of their shingles in common.
-
-    Candidates share a min-hash band and have SimHashes within ``RADIUS`` bits; each is decided by the shingles
-    themselves. Nulls, repeats and empty texts are as in ``near_duplicates``.
-    """
-    small_batches(docs.sparkSession)
-    read = docs.select(F.col(id_col).alias("doc_id"), _sketch_udf(shingle)(utf8(F.col(text_col))).alias("made")).select("doc_id", "made.*")
-    read = materialize(read, "sketches")
-    nodes = materialize(read.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "nodes")
-    each = nodes.select("node", "fp", F.explode("bands").alias("grp"))
-    group = each.groupBy("grp").agg(F.count("*").alias("size"), F.min(F.struct("node", "fp")).alias("least")).where("size > 1")
-    members = materialize(each.join(group, "grp"), "members")
-    shingles = read.select("node", "shingles").join(members.select("node").distinct(), "node", "left_semi")
-    shingles = materialize(shingles.groupBy("node").agg(F.first("shingles").alias("shingles")), "shingles")
-    root = components(_similar_edges(members, shingles, percent)).withColumnRenamed("node", "rooted")
-    labelled = nodes.select("node", "least_id").join(root, nodes["node"] == F.col("rooted"), "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
-    least = labelled.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    classes = labelled.join(least, "root").select(F.col("node").alias("class_node"), "component_id")
-    return read.select("doc_id", "node").join(classes, F.col("node") == F.col("class_node")).select("doc_id", "component_id")
-
-
-def one_of_each(docs: DataFrame, shingle: int = NEAR_SHINGLE, percent: int = NEAR_PERCENT) -> DataFrame:
-    """The documents of which ``doc_id`` is the smallest of its class of ``similar`` ones, all columns kept.
-
-    Rows that repeat a kept id stay, as they are one document. Rows without an id stay.
-    """
-    classes, key = similar(docs, shingle=shingle, percent=percent), fresh(docs, "gone_id")
-    gone = classes.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col(key), "left_anti")
+    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")), "distinct")
+    root = components(near_links(distinct.select("fp"), most)).withColumnRenamed("node", "rooted")
+    labelled = distinct.join(root, distinct["fp"] == F.col("rooted"), "left").select("fp", "n", "least_id", F.coalesce("root", "fp").alias("root"))
+    least = labelled.groupBy("root").agg(F.min("least_id").alias("component_id"), F.sum("n").alias("members"))
+    classes = labelled.join(least, "root").select("fp", "n", "component_id")
+    return join_salted(prints, classes, "fp").select("doc_id", "fp", "component_id")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    from .base import table
-
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -9,7 +9,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessera.llm import components, simhash, substring
+from tessera.llm import base, components, gray, similar, simhash, substring
 
 from .cases import frame, texts
 
@@ -49,33 +49,63 @@ def near_prints(rng, n, groups, flips):
     for _ in range(flips):
         fp = fp ^ (np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64))
     fp = np.unique(fp)
-    return fp[np.argsort(simhash.gray_rank(fp))]
+    return fp[np.argsort(gray.gray_rank(fp))]
+
+
+def slow_links(fp, most=4):
+    return {(int(a), int(b)) for i, a in enumerate(fp) for b in fp[:i] if (int(a) ^ int(b)).bit_count() <= most}
 
 
 @pytest.mark.parametrize("seed", range(8))
-def test_index_finds_every_link(seed):
+def test_two_orders_find_every_link(seed):
+    """The members of one part, asked by all of them and by queries from elsewhere, in both orders."""
     rng = np.random.default_rng(seed)
     fp = near_prints(rng, int(rng.integers(2, 500)), int(rng.integers(1, 20)), seed % 6)
-    expected = slow_classes([int(x) for x in fp])
-    assert simhash._link_group(fp, np.ones(len(fp), bool), 4).tolist() == expected
-    half = rng.random(len(fp)) < 0.5  # slices of the queries find all links together
-    parts = [simhash._link_group(fp, w, 4) for w in (half, ~half)]
-    own = np.arange(len(fp))
-    assert simhash._roots(len(fp), np.r_[own, own], np.concatenate(parts)).tolist() == expected
-
-
-def test_masks_cover_all_pairs():
-    masks = simhash.block_masks()
+    away = near_prints(rng, 40, 3, 2) ^ np.uint64(1)
+    away = np.setdiff1d(np.r_[away, fp[:30] ^ np.uint64(5)], fp)
+    links = []
+    for order in range(2):
+        part = gray.Part(gray.turned(fp, order), 4, gray.leading_bits(4, order))
+        links += [(gray.turned(a, order), gray.turned(b, order)) for a, b in [part.neighbours(), *(part.links(gray.turned(q, order)) for q in (fp[::2], fp[1::2], away))]]
+    every = np.r_[fp, away]
+    index = {int(x): i for i, x in enumerate(every)}
+    pairs = [(index[int(a)], index[int(b)]) for u, v in links for a, b in zip(u, v)]
+    inside = slow_classes([int(x) for x in fp])
+    got = gray.roots(np.arange(len(every)), *(np.array(x, np.int64) for x in (zip(*pairs) if pairs else ((), ()))))
+    want = np.arange(len(every))
+    joined = [(i, inside[i]) for i in range(len(fp))] + [(j, i) for i, a in enumerate(fp) for j, b in enumerate(every) if j >= len(fp) and (int(a) ^ int(b)).bit_count() <= 4]
+    want = gray.roots(want, *(np.array(x, np.int64) for x in zip(*joined)))
+    assert got.tolist() == want.tolist()
+
+
+def test_each_pair_is_near_in_one_order():
     rng = np.random.default_rng(1)
     for _ in range(500):
         flip = sum(1 << int(b) for b in rng.choice(64, 4, replace=False))
-        assert any(not flip & m for m in masks)
+        assert any((int(gray.turned(np.uint64(flip), o)) >> 32).bit_count() <= gray.leading_bits(4, o) for o in range(2))
 
 
-def test_groups_are_kept_apart():
-    fp = np.array([0, 1, 0, 1, 1 << 40], np.uint64)
-    u, v = simhash.link_groups(np.array([0, 0, 1, 1, 2]), fp, np.ones(5, bool))
-    assert len(u) == 2 and set(np.bitwise_count(u ^ v).tolist()) == {1}
+def test_upper_masks_are_factored_out():
+    fp = near_prints(np.random.default_rng(3), 600, 30, 3)
+    tree = gray.Tree(fp, fp)
+    for i in range(len(fp)):
+        seen = [int(tree.mask[k][i // gray.FAN_OUT**k]) for k in range(len(tree.mask))]
+        assert sum(seen) == (1 << 64) - 1 and sum(x.bit_count() for x in seen) == 64  # each bit once
+        for k in range(len(tree.mask)):
+            assert not (int(tree.pattern[k][i // gray.FAN_OUT**k]) ^ int(fp[i])) & seen[k]
+
+
+@pytest.mark.parametrize("part_rows,queries", [(1 << 14, 1 << 16), (50, 40), (7, 13)])
+def test_links_over_many_parts(spark, monkeypatch, part_rows, queries):
+    monkeypatch.setattr(gray, "PART_ROWS", part_rows)
+    monkeypatch.setattr(gray, "QUERIES", queries)
+    fp = near_prints(np.random.default_rng(part_rows), 400, 25, 4)
+    prints = spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp long")
+    links = gray.near_links(prints, 4).collect()
+    index = {int(x): i for i, x in enumerate(fp.view(np.int64))}
+    pairs = np.array([(index[r["u"]], index[r["v"]]) for r in links], np.int64).reshape(-1, 2)
+    assert gray.roots(np.arange(len(fp)), pairs[:, 0], pairs[:, 1]).tolist() == slow_classes([int(x) for x in fp])
+    assert len(slow_links(fp)) > 50
 
 
 def test_classes_match_brute_force(spark):
@@ -92,15 +122,28 @@ def test_classes_match_brute_force(spark):
     assert sorted(((none(a), int(b) & (1 << 64) - 1, none(c)) for a, b, c in zip(got["doc_id"], got["fp"], got["component_id"])), key=str) == expected
 
 
-def test_spread_groups_give_the_same(spark, monkeypatch):
-    whole = simhash.near_duplicates(frame(spark)).orderBy("doc_id", "fp").collect()
-    monkeypatch.setattr(simhash, "SLICE", 2)
-    assert simhash.near_duplicates(frame(spark)).orderBy("doc_id", "fp").collect() == whole
+def test_query_is_brute_force_at_sf001(spark):
+    """The registered query, and every link out of the index, on a table of a thousand documents."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    prints = [slow_fingerprint(r["text"]) for r in docs]
+    root = slow_classes(prints)
+    least = {}
+    for r, k in zip(docs, root):
+        least[k] = min(least.get(k, r["doc_id"]), r["doc_id"])
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash.query(spark, "/root/testdata/sf0.01").collect()}
+    assert got == {r["doc_id"]: (f"{p:016x}", least[k]) for r, p, k in zip(docs, prints, root)}
+
+
+def test_hot_keys_are_salted(spark):
+    rows = spark.range(3000).selectExpr("id AS doc_id", "if(id < 2900, 7L, id) AS fp")
+    keyed = rows.groupBy("fp").count().withColumnRenamed("count", "n").selectExpr("fp", "n", "fp + 1 AS of")
+    got = base.join_salted(rows, keyed, "fp")
+    assert got.count() == 3000 and got.where("of <> fp + 1").count() == 0
 
 
 def test_one_of_each_keeps_columns_and_clean_documents(spark):
     docs = frame(spark)
-    kept = simhash.one_of_each(docs)
+    kept = similar.one_of_each(docs)
     assert kept.dtypes == docs.dtypes
     ids = [r["doc_id"] for r in kept.collect()]
     assert 62 not in ids and 0 in ids and ids.count(3) == 3 and None in ids
@@ -141,23 +184,42 @@ def test_stage_matches_jaccard(spark):
     classes = slow_similar(rows)
     kept = {min(i for (i, _, _), c in zip(rows, classes) if c == k) for k in set(classes)}
     assert 40 < len(kept) < 200  # some copies are near, some aren't
-    assert {r["doc_id"] for r in simhash.one_of_each(frame(spark, rows)).collect()} == kept
+    assert {r["doc_id"] for r in similar.one_of_each(frame(spark, rows)).collect()} == kept
     wide = {r["doc_id"] for r in simhash.near_duplicates(frame(spark, rows)).where("doc_id = component_id").collect()}
     assert len(wide) > len(kept)  # op9's four bits don't reach these copies
 
 
+@pytest.mark.parametrize("ask_bytes", [2000, 1 << 25])
+def test_groups_without_a_pivot_are_settled(spark, monkeypatch, ask_bytes):
+    """Chains of copies: neighbours are alike, ends aren't, so no pivot reaches all."""
+    monkeypatch.setattr(similar, "ASK_BYTES", ask_bytes)
+    rng = random.Random(4)
+    rows = []
+    for c in range(6):
+        words = [f"{c}w{rng.randint(0, 3000)}" for _ in range(200)]
+        for _ in range(25):
+            rows.append((len(rows), " ".join(words), "en"))
+            at = rng.randrange(190)
+            words = words[:at] + [f"x{rng.random()}", f"y{rng.random()}"] + words[at + 2 :]
+    classes = slow_similar(rows)
+    got = {r["doc_id"]: r["component_id"] for r in similar.similar(frame(spark, rows)).collect()}
+    least = {k: min(i for i, x in enumerate(classes) if x == k) for k in set(classes)}
+    assert len(least) < 60
+    assert got == {i: least[k] for i, k in enumerate(classes)}
+
+
 def test_similar_takes_odd_texts(spark):
     rows = texts()
     classes = slow_similar(rows)
     least = {}
     for (i, _, _), c in zip(rows, classes):
         least[c] = min((x for x in (least.get(c), i) if x is not None), default=None)
-    got = simhash.similar(frame(spark)).collect()
+    got = similar.similar(frame(spark)).collect()
     assert sorted(((r["doc_id"], r["component_id"]) for r in got), key=str) == sorted(((i, least[c]) for (i, _, _), c in zip(rows, classes)), key=str)
 
 
 def test_empty_tables(spark):
-    assert simhash.similar(frame(spark, [])).count() == 0
+    assert similar.similar(frame(spark, [])).count() == 0
     assert simhash.near_duplicates(frame(spark, [])).count() == 0
     assert substring.remove_repeats(frame(spark, [])).count() == 0
 
