@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import language, mixing, packing, pii, simhash
+from tessera.llm import language, mixing, packing, pii, similar
 from tessera.llm.base import materialize, table
 
 #: Share of all tokens that the mixture may take, once each: passes over a source come with training, not here.
@@ -22,7 +22,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class."""
-    return simhash.one_of_each(docs)
+    return similar.one_of_each(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
