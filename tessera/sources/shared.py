@@ -39,6 +39,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(made: DataFrame) -> None:
-    """Delete a table that ``materialize`` wrote, once nothing that is still to run reads it."""
+    """Delete a table that ``materialize`` wrote, once nothing that is still to run reads it.
+
+    The shuffles it was made from go as well: Spark deletes those whose plans the driver has forgotten.
+    """
     target = made._written_at
     target.getFileSystem(made.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    made.sparkSession.sparkContext._jvm.System.gc()
