@@ -1,16 +1,19 @@
-"""Removal of repeated word spans, found in a de Bruijn graph of token k-mers.
-
-The graph is sparse: of the k-mers of a document only those are edges that are the least (by a mixed
-hash, leftmost on ties) of some window. Every window of ``WINDOW`` words has exactly one such k-mer, its
-anchor, and equal windows have equal anchors at equal offsets, so nothing that repeats is missed.
-
-* An anchor with the words of all its windows is an *edge in context*. Where a context occurs twice, every
-  window in it repeats: such edges don't branch, and those that follow each other in a document compact
-  into one span.
-* Where an anchor has several contexts, its path branches. There the source coordinates are taken back to
-  the text and the windows compared one by one.
-
-What is shuffled is one row for each anchor (about one for 15 words) rather than one for each window.
+"""Removal of repeated word spans, found by compacting a de Bruijn graph of token k-mers.
+
+An edge of the graph is a window of ``WINDOW`` words, a node the ``WINDOW - 1`` words that two following windows share. Only
+edges that occur at least twice are in the graph. They are found as follows, so that not every window is shuffled:
+
+* Each window has an anchor, the least (by a mixed hash, leftmost on ties) of its ``KMER``-word k-mers. A run of windows
+  with one anchor is a segment. Equal windows have equal anchors at equal offsets, so nothing that repeats is missed.
+* A segment that occurs twice as a whole is a path of repeated edges, kept as one arc. Where an anchor has several
+  segments, the path branches, and the windows of those that occur once are arcs of their own.
+* Arcs are read again at their source coordinates, where their words get a second hash; only arcs whose words agree in
+  both hashes (64 bits each, of unlike kinds) count as repeated.
+
+Then ``paths`` compacts: a node with one arc in and one arc out doesn't branch, and its two arcs are one path. Arcs that
+follow each other at their first source coordinates are joined at once; what crosses documents is joined by doubling
+pointers, a Spark join each round. At last the occurrences of a path's arcs in a document become long spans, whose
+coordinates have to be without a gap.
 """
 
 from __future__ import annotations
@@ -23,11 +26,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .base import MASK64, discard, materialize, small_batches, table, utf8
+from .base import MASK64, discard, join_salted, materialize, small_batches, table, utf8
 
 WINDOW = 35
-KMER = 6
+KMER = 10
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -106,24 +110,96 @@ def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         )
 
 
-def _find_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every window of the spans to be verified, by anchor and the hash of its words."""
+def read_edges(hasher: Hasher, words: list[bytes], asked: list[tuple[int, int, int, bool, bool]]) -> list[np.ndarray]:
+    """Arcs of a document, read at its coordinates: (anchor, hash of the words, first, size, source node, end node, own).
+
+    ``asked`` are segments (anchor, first, last, repeated, verify). A repeated one is an arc; the windows of others are. With
+    ``verify``, the windows of a repeated one are read too, as partners of others' windows (``own`` is false).
+    """
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts, ends = np.r_[0, ends[:-1]], ends - 1
+    sums = hasher.sums(words)
+    anchor, first, size, own = [], [], [], []
+    for key, lo, hi, repeated, verify in asked:
+        if repeated:
+            anchor.append(key), first.append(lo), size.append(hi - lo + 1), own.append(True)
+        if verify or not repeated:
+            n = hi - lo + 1
+            anchor += [key] * n
+            first += range(lo, hi + 1)
+            size += [1] * n
+            own += [not repeated] * n
+    first, size = np.array(first, np.int64), np.array(size, np.int64)
+    until = first + size + WINDOW - 1
+    digest = xxhash.xxh3_64_intdigest
+    of = np.array([digest(joined[s:e]) for s, e in zip(starts[first].tolist(), ends[until - 1].tolist())], np.uint64)
+    nodes = (hasher.spans(sums, at, at + WINDOW - 1).view(np.int64) for at in (first, first + size))
+    return [np.array(anchor, np.int64), of.view(np.int64), first, size, *nodes, np.array(own, bool)]
+
+
+_EDGES = {"anchor": pa.int64(), "words": pa.int64(), "first": pa.int32(), "size": pa.int32(), "source_node": pa.int64(), "end_node": pa.int64(), "own": pa.bool_()}
+
+
+def _find_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hasher = Hasher()
     for b in batches:
         for i in range(b.num_rows):
-            words = (b["text"][i].as_py() or b"").split()
-            spans = {(s["anchor"], s["first"], s["last"]) for s in b["spans"][i].as_py()}
-            if not spans:
-                continue
-            sums = hasher.sums(words)
-            anchor, first, last = (np.array(x, np.int64) for x in zip(*sorted(spans)))
-            size = last - first + 1
-            start = np.repeat(first, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            n = len(start)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([b["doc_id"][i].as_py()] * n, pa.int64()), pa.array([b["text_key"][i].as_py()] * n, pa.int64()), pa.array(np.repeat(anchor, size)), pa.array(hasher.spans(sums, start, start + WINDOW).view(np.int64)), pa.array(start.astype(np.int32))],
-                ["doc_id", "text_key", "anchor", "window", "start"],
-            )
+            asked = sorted({tuple(s.values()) for s in b["spans"][i].as_py()})
+            found = read_edges(hasher, (b["text"][i].as_py() or b"").split(), asked)
+            columns = [pa.array(x, kind) for x, kind in zip(found, _EDGES.values())]
+            of = [pa.array([b[c][i].as_py()] * len(found[0]), pa.int64()) for c in ("doc_id", "text_key")]
+            yield pa.RecordBatch.from_arrays([*of, *columns], ["doc_id", "text_key", *_EDGES])
+
+
+def _doubled(links: DataFrame) -> DataFrame:
+    """``run, top, far``: where the chain of ``links(run, up, dist)`` that each run is on begins, and how far before it.
+
+    Each round doubles the reach of a run's pointer, by one join; a run whose pointer has come to a top is done. What isn't
+    done when the pointers reach further than there are runs is on a cycle, which is cut at its least run.
+    """
+    tops = links.select(F.col("up").alias("run")).join(links.select("run"), "run", "left_anti").distinct()
+    state = links.select("run", F.col("up").alias("top"), F.col("dist").alias("far"), F.least("run", "up").alias("low"), F.lit(False).alias("done"))
+    state = materialize(state.unionAll(tops.select("run", F.col("run").alias("top"), F.lit(0).cast("long").alias("far"), F.col("run").alias("low"), F.lit(True).alias("done"))), "pointers")
+    waiting, rounds = state.where("NOT done").count(), 0
+    most = waiting.bit_length() + 1
+    while waiting and rounds < most:
+        to = state.select(F.col("run").alias("to"), F.col("top").alias("to_top"), F.col("far").alias("to_far"), F.col("low").alias("to_low"), F.col("done").alias("to_done"))
+        ahead = state.where("NOT done").join(to, F.col("top") == F.col("to"))
+        ahead = ahead.select("run", F.col("to_top").alias("top"), (F.col("far") + F.col("to_far")).alias("far"), F.least("low", "to_low").alias("low"), F.col("to_done").alias("done"))
+        state = materialize(state.where("done").unionAll(ahead), "pointers")
+        waiting, rounds = state.where("NOT done").count(), rounds + 1
+    found = state.where("done").select("run", "top", "far")
+    if not waiting:
+        return found
+    cycles = links.join(state.where("NOT done").select("run", "low"), "run").where("run <> low").select("run", "up", "dist")
+    return found.unionAll(_doubled(materialize(cycles, "cycles")))
+
+
+def paths(arcs: DataFrame) -> DataFrame:
+    """``id, path, at`` for each of ``arcs(id, source_node, end_node, size, doc_id, text_key, first)``.
+
+    A path is a longest chain of arcs over nodes that don't branch, named by its first arc; ``at`` is the number of edges
+    before the arc in it. A closed chain begins at one of its arcs.
+    """
+    none = F.lit(None).cast("long")
+    ends = arcs.select(F.col("source_node").alias("node"), none.alias("comes"), F.col("id").alias("goes"))
+    ends = ends.unionAll(arcs.select(F.col("end_node").alias("node"), F.col("id").alias("comes"), none.alias("goes")))
+    plain = ends.groupBy("node").agg(F.count("comes").alias("ins"), F.count("goes").alias("outs"), F.min("comes").alias("up"), F.min("goes").alias("next"))
+    plain = plain.where("ins = 1 AND outs = 1 AND up <> next").select("up", "next")
+
+    linked = arcs.join(plain, arcs["id"] == F.col("next"), "left").drop("next")
+    order = Window.partitionBy("doc_id", "text_key").orderBy("first", "size", "id")
+    follows = (F.lag("id").over(order) == F.col("up")) & (F.lag(F.col("first") + F.col("size")).over(order) == F.col("first"))
+    linked = linked.withColumn("begins", ~F.coalesce(follows, F.lit(False)))
+    head = lambda c: F.last(F.when(F.col("begins"), F.col(c)), ignorenulls=True).over(order)
+    runs = linked.select("id", "size", "up", "begins", head("id").alias("run"), (F.col("first") - head("first")).cast("long").alias("inside"))
+    runs = materialize(runs, "runs")
+
+    before = runs.select(F.col("id").alias("up"), F.col("run").alias("up_run"), (F.col("inside") + F.col("size")).alias("dist"))
+    links = runs.where("begins AND up IS NOT NULL").select("run", "up").join(before, "up").select("run", F.col("up_run").alias("up"), "dist")
+    tops = _doubled(materialize(links, "links"))
+    return runs.join(tops, "run", "left").select("id", F.coalesce("top", "run").alias("path"), (F.col("inside") + F.coalesce("far", F.lit(0))).alias("at"))
 
 
 def remove_spans(text: bytes, spans: list[tuple[int, int]], window: int = WINDOW) -> tuple[int, int, bytes]:
@@ -153,32 +229,42 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), utf8(F.col("text")).alias("text"))
     found = materialize(rows.mapInArrow(_find_anchors, "doc_id long, text_key long, anchor long, context long, first int, last int"), "anchors")
 
-    # One row for each edge in context, then for each edge: both are summed before they are dealt out.
-    contexts = found.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min("doc_id").alias("of"))
-    contexts = materialize(contexts, "contexts")
+    # One row for each segment, then for each anchor: both are summed before they are dealt out.
+    contexts = materialize(found.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min("doc_id").alias("of")), "contexts")
     branching = contexts.groupBy("anchor").agg(F.count("*").alias("contexts")).where("contexts > 1").select("anchor", F.lit(True).alias("branches"))
     state = contexts.join(branching, "anchor", "left").where("n > 1 OR branches")
     state = state.select("anchor", "context", (F.col("n") > 1).alias("repeated"), "of", F.coalesce("branches", F.lit(False)).alias("branches"))
-    placed = materialize(
-        found.join(state, ["anchor", "context"]).select("doc_id", "text_key", "anchor", "first", "last", "repeated", (F.col("branches") & (~F.col("repeated") | F.col("of").eqNullSafe(F.col("doc_id")))).alias("verify")),
-        "placed",
-    )
-    discard(found)  # all that follows reads the placed spans
+    # A repeated segment needs the windows of its first document only, as partners for others.
+    verify = F.col("branches") & (~F.col("repeated") | F.col("of").eqNullSafe(F.col("doc_id")))
+    placed = found.join(state, ["anchor", "context"]).select("doc_id", "text_key", "anchor", "first", "last", "repeated", verify.alias("verify"))
+    placed = materialize(placed, "placed")
+    discard(found)  # all that follows reads the placed segments
     discard(contexts)
 
-    # Source coordinates: the windows of branching edges, read from the text again. A repeated context needs
-    # only its first document there, as a partner for others.
-    ask = placed.where("verify").groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("anchor", "first", "last")).alias("spans"))
+    # Source coordinates: the arcs, read from the text again.
+    ask = placed.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("anchor", "first", "last", "repeated", "verify")).alias("spans"))
     ask = ask.select(F.col("doc_id").alias("ask_id"), F.col("text_key").alias("ask_key"), "spans")
     asked = rows.join(ask, rows["doc_id"].eqNullSafe(F.col("ask_id")) & (rows["text_key"] == F.col("ask_key")))
-    windows = materialize(
-        asked.select("doc_id", "text_key", "text", "spans").mapInArrow(_find_windows, "doc_id long, text_key long, anchor long, window long, start int"), "windows"
+    kinds = "doc_id long, text_key long, anchor long, words long, first int, size int, source_node long, end_node long, own boolean"
+    edges = materialize(asked.select("doc_id", "text_key", "text", "spans").mapInArrow(_find_edges, kinds), "edges")
+    discard(placed)
+    source = F.min(F.struct("doc_id", "text_key", "first")).alias("source")
+    arcs = edges.groupBy("anchor", "words", "size").agg(F.count("*").alias("n"), F.max("own").alias("own"), F.min("source_node").alias("source_node"), F.min("end_node").alias("end_node"), source)
+    identity = F.xxhash64("anchor", "words", "size").alias("id")
+    arcs = arcs.where("n > 1 AND own").select(identity, "n", "size", "source_node", "end_node", "source.*")
+    arcs = materialize(arcs, "arcs")
+
+    keyed = materialize(paths(arcs).join(arcs.select("id", "n"), "id"), "paths")
+    here = join_salted(edges.where("own").select("doc_id", "text_key", "first", "size", identity), keyed, "id")
+    here = here.groupBy("doc_id", "text_key", "path", (F.col("first") - F.col("at")).alias("origin")).agg(
+        F.collect_set(F.struct("first", (F.col("first") + F.col("size") - 1).alias("last"))).alias("parts")
     )
-    twice = windows.groupBy("anchor", "window").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "window")
-    verified = windows.join(twice, ["anchor", "window"]).select("doc_id", "text_key", F.col("start").alias("first"), F.col("start").alias("last"))
-
-    spans = placed.where("repeated").select("doc_id", "text_key", "first", "last").unionAll(verified)
-    spans = spans.groupBy(F.col("doc_id").alias("span_id"), F.col("text_key").alias("span_key")).agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    low, high = F.array_min("parts")["first"], F.array_max("parts")["last"]
+    length = F.aggregate("parts", F.lit(0).cast("long"), lambda n, x: n + x["last"] - x["first"] + 1)
+    long = F.when(length == high - low + 1, F.array(F.struct(low.alias("first"), high.alias("last")))).otherwise(F.col("parts"))
+    spans = here.groupBy(F.col("doc_id").alias("span_id"), F.col("text_key").alias("span_key")).agg(F.flatten(F.collect_list(long)).alias("spans"))
+    spans = materialize(spans, "spans")
+    discard(edges)
     return rows, spans
 
 

@@ -273,6 +273,77 @@ def test_every_window_has_one_anchor(words, window):
     assert starts == list(range(max(0, len(words) - window + 1)))
 
 
+def slow_paths(arcs):
+    """(id, path, edges before it) by walking, for arcs (id, source, end, size); of a cycle, only which arcs are together."""
+    ins, outs = {}, {}
+    for i, a, b, _ in arcs:
+        outs.setdefault(a, []).append(i)
+        ins.setdefault(b, []).append(i)
+    up = {outs[n][0]: ins[n][0] for n in ins if n in outs and len(ins[n]) == len(outs[n]) == 1 and ins[n] != outs[n]}
+    size, found = {i: n for i, _, _, n in arcs}, {}
+    for i, *_ in arcs:
+        seen, at = [i], 0
+        while seen[-1] in up and up[seen[-1]] != i:
+            seen.append(up[seen[-1]])
+            at += size[seen[-1]]
+        found[i] = ("cycle", frozenset(seen)) if up.get(seen[-1]) == i else (seen[-1], at)
+    return found
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_paths_are_compacted(spark, seed):
+    """Random graphs with chains, branches and cycles; sources that agree with chains, and sources that don't."""
+    rng = random.Random(seed)
+    arcs, at = [], 0
+    for _ in range(rng.randint(1, 8)):
+        n = rng.randint(1, 30)
+        nodes = [at + k for k in range(n + 1)]
+        at += n + 1
+        if rng.random() < 0.3:
+            nodes[-1] = nodes[0]
+        elif rng.random() < 0.5:
+            nodes[-1] = rng.randrange(at)  # runs into another chain, or into itself
+        doc, first = rng.randrange(5), 0
+        for a, b in zip(nodes, nodes[1:]):
+            size = rng.randint(1, 9)
+            if rng.random() < 0.2:
+                doc, first = rng.randrange(5), rng.randint(1000, 9000)
+            arcs.append((len(arcs) * 7919 % 10007, a, b, size, doc, 0, first))
+            first += size
+    rng.shuffle(arcs)
+    table = spark.createDataFrame(arcs, "id long, source_node long, end_node long, size int, doc_id long, text_key long, first int")
+    got = {r["id"]: (r["path"], r["at"]) for r in substring.paths(table).collect()}
+    want = slow_paths([a[:4] for a in arcs])
+    size = {a[0]: a[3] for a in arcs}
+    assert got.keys() == want.keys()
+    for i, (path, at) in want.items():
+        if path != "cycle":
+            assert got[i] == (path, at)
+    for cycle in {c for p, c in want.values() if p == "cycle"}:
+        assert {got[i][0] for i in cycle} <= cycle and len({got[i][0] for i in cycle}) == 1
+        places = sorted((got[i][1], size[i]) for i in cycle)
+        assert [p for p, _ in places] == [sum(n for _, n in places[:k]) for k in range(len(places))]
+
+
+def test_spans_of_copies_are_whole(spark):
+    """Two documents with one passage get one span each, whatever number of arcs it was found in."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randint(0, 10**6)}"
+    passage = [word() for _ in range(400)]
+    rows = [(i, " ".join([word() for _ in range(50)] + passage + [word() for _ in range(50)]), "en") for i in range(2)]
+    _, spans = substring.repeated_spans(frame(spark, rows))
+    assert [[tuple(x) for x in r["spans"]] for r in spans.collect()] == [[(50, 415)]] * 2
+
+
+def test_words_decide():
+    """Segments whose first hash agrees by accident aren't repeated: the words are read."""
+    hasher = substring.Hasher()
+    a, b = ([f"{c}{i}".encode() for i in range(40)] for c in "xy")
+    asked = [(7, 0, 5, True, False)]
+    one, two, again = (substring.read_edges(hasher, w, asked) for w in (a, b, list(a)))
+    assert one[1].tolist() == again[1].tolist() != two[1].tolist() and one[3].tolist() == [6]
+
+
 def test_removing_spans():
     assert substring.remove_spans(b"a b c d", [(0, 0), (1, 1)], 2) == (4, 3, b"d")
     assert substring.sha256_hex(b"") == hashlib.sha256(b"").hexdigest()
