@@ -30,20 +30,19 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def join_salted(rows: DataFrame, keyed: DataFrame, key: str) -> DataFrame:
-    """``rows`` with the other columns of ``keyed``, which has one row for each ``key`` and the number ``n`` of its rows.
+def join_salted(rows: DataFrame, keyed: DataFrame, key: list[str]) -> DataFrame:
+    """``rows`` with the other columns of ``keyed``, which has one row for each ``key`` (not null) and the number ``n`` of its rows.
 
     A key with more than a thousandth of all rows has its row in ``keyed`` copied for each salt; there are fewer than a
     thousand such keys, so telling them to all tasks is bounded.
     """
     total = keyed.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    hot = keyed.where(F.col("n") * 1000 > max(total, 1000)).select(F.col(key).alias("hot_key"))
-    salt = lambda of: F.when(F.col("hot_key").isNotNull(), of)
-    marked = lambda df: df.join(F.broadcast(hot), df[key] == F.col("hot_key"), "left")
-    left = marked(rows).withColumn("salt", F.coalesce(salt(F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")), F.lit(0))).drop("hot_key")
-    salts = F.coalesce(salt(F.sequence(F.lit(0), F.lit(SALTS - 1))), F.array(F.lit(0)))
-    right = marked(keyed.drop("n")).withColumn("salt", F.explode(salts)).drop("hot_key")
-    return left.join(right, [key, "salt"]).drop("salt")
+    hot = F.broadcast(keyed.where(F.col("n") * 1000 > max(total, 1000)).select(*key, F.lit(True).alias("hot")))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    left = rows.join(hot, key, "left").withColumn("salt", salt).drop("hot")
+    right = keyed.drop("n").join(hot, key, "left").withColumn("salt", F.explode(salts)).drop("hot")
+    return left.join(right, [*key, "salt"]).drop("salt")
 
 
 def utf8(text: Column) -> Column:

@@ -67,7 +67,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labelled = distinct.join(root, distinct["fp"] == F.col("rooted"), "left").select("fp", "n", "least_id", F.coalesce("root", "fp").alias("root"))
     least = labelled.groupBy("root").agg(F.min("least_id").alias("component_id"), F.sum("n").alias("members"))
     classes = labelled.join(least, "root").select("fp", "n", "component_id")
-    return join_salted(prints, classes, "fp").select("doc_id", "fp", "component_id")
+    return join_salted(prints, classes, ["fp"]).select("doc_id", "fp", "component_id")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

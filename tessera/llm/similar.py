@@ -250,7 +250,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     labelled = nodes.select("node", "n", "least_id").join(root, nodes["node"] == F.col("rooted"), "left").select("node", "n", "least_id", F.coalesce("root", "node").alias("root"))
     least = labelled.groupBy("root").agg(F.min("least_id").alias("component_id"))
     classes = labelled.join(least, "root").select("node", "n", "component_id")
-    return join_salted(read.select("doc_id", "node"), classes, "node").select("doc_id", "component_id")
+    return join_salted(read.select("doc_id", "node"), classes, ["node"]).select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

@@ -110,32 +110,29 @@ def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         )
 
 
-def read_edges(hasher: Hasher, words: list[bytes], asked: list[tuple[int, int, int, bool, bool]]) -> list[np.ndarray]:
-    """Arcs of a document, read at its coordinates: (anchor, hash of the words, first, size, source node, end node, own).
+def read_edges(hasher: Hasher, words: list[bytes], asked: list[np.ndarray]) -> list[np.ndarray]:
+    """Arcs of a document, read at its coordinates: anchor, hash of the words, first, size, source node, end node, own.
 
-    ``asked`` are segments (anchor, first, last, repeated, verify). A repeated one is an arc; the windows of others are. With
+    ``asked`` are segments: anchor, first, last, repeated, verify. A repeated one is an arc; the windows of others are. With
     ``verify``, the windows of a repeated one are read too, as partners of others' windows (``own`` is false).
     """
+    once = np.unique(asked[1], return_index=True)[1]  # a row that is there twice asks twice
+    anchor, first, last, repeated, verify = (x[once] for x in asked)
+    count = np.where(verify | ~repeated, last - first + 1, 0)
+    each = np.repeat(np.arange(len(first)), count)
+    inside = np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)
+    size = np.r_[(last - first + 1)[repeated], np.ones(len(each), np.int64)]
+    at = np.r_[first[repeated], first[each] + inside]
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts, ends = np.r_[0, ends[:-1]], ends - 1
-    sums = hasher.sums(words)
-    anchor, first, size, own = [], [], [], []
-    for key, lo, hi, repeated, verify in asked:
-        if repeated:
-            anchor.append(key), first.append(lo), size.append(hi - lo + 1), own.append(True)
-        if verify or not repeated:
-            n = hi - lo + 1
-            anchor += [key] * n
-            first += range(lo, hi + 1)
-            size += [1] * n
-            own += [not repeated] * n
-    first, size = np.array(first, np.int64), np.array(size, np.int64)
-    until = first + size + WINDOW - 1
+    starts = np.r_[0, ends[:-1]][at].tolist()
+    ends = (ends - 1)[at + size + WINDOW - 2].tolist()
     digest = xxhash.xxh3_64_intdigest
-    of = np.array([digest(joined[s:e]) for s, e in zip(starts[first].tolist(), ends[until - 1].tolist())], np.uint64)
-    nodes = (hasher.spans(sums, at, at + WINDOW - 1).view(np.int64) for at in (first, first + size))
-    return [np.array(anchor, np.int64), of.view(np.int64), first, size, *nodes, np.array(own, bool)]
+    of = np.fromiter([digest(joined[s:e]) for s, e in zip(starts, ends)], np.uint64, len(at))
+    sums = hasher.sums(words)
+    nodes = (hasher.spans(sums, x, x + WINDOW - 1).view(np.int64) for x in (at, at + size))
+    own = np.r_[np.ones(int(repeated.sum()), bool), ~repeated[each]]
+    return [np.r_[anchor[repeated], anchor[each]], of.view(np.int64), at, size, *nodes, own]
 
 
 _EDGES = {"anchor": pa.int64(), "words": pa.int64(), "first": pa.int32(), "size": pa.int32(), "source_node": pa.int64(), "end_node": pa.int64(), "own": pa.bool_()}
@@ -144,9 +141,11 @@ _EDGES = {"anchor": pa.int64(), "words": pa.int64(), "first": pa.int32(), "size"
 def _find_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hasher = Hasher()
     for b in batches:
+        cuts, asked = b["spans"].offsets.to_numpy(), b["spans"].values
+        fields = [asked.field(i).to_numpy(zero_copy_only=False) for i in range(5)]
         for i in range(b.num_rows):
-            asked = sorted({tuple(s.values()) for s in b["spans"][i].as_py()})
-            found = read_edges(hasher, (b["text"][i].as_py() or b"").split(), asked)
+            part = [x[cuts[i] : cuts[i + 1]] for x in fields]
+            found = read_edges(hasher, (b["text"][i].as_py() or b"").split(), [part[0], *(x.astype(np.int64) for x in part[1:3]), *part[3:]])
             columns = [pa.array(x, kind) for x, kind in zip(found, _EDGES.values())]
             of = [pa.array([b[c][i].as_py()] * len(found[0]), pa.int64()) for c in ("doc_id", "text_key")]
             yield pa.RecordBatch.from_arrays([*of, *columns], ["doc_id", "text_key", *_EDGES])
@@ -177,7 +176,7 @@ def _doubled(links: DataFrame) -> DataFrame:
 
 
 def paths(arcs: DataFrame) -> DataFrame:
-    """``id, path, at`` for each of ``arcs(id, source_node, end_node, size, doc_id, text_key, first)``.
+    """``id, path, at`` for each of ``arcs(id, source_node, end_node, size, doc, first)``.
 
     A path is a longest chain of arcs over nodes that don't branch, named by its first arc; ``at`` is the number of edges
     before the arc in it. A closed chain begins at one of its arcs.
@@ -189,7 +188,7 @@ def paths(arcs: DataFrame) -> DataFrame:
     plain = plain.where("ins = 1 AND outs = 1 AND up <> next").select("up", "next")
 
     linked = arcs.join(plain, arcs["id"] == F.col("next"), "left").drop("next")
-    order = Window.partitionBy("doc_id", "text_key").orderBy("first", "size", "id")
+    order = Window.partitionBy("doc").orderBy("first", "size", "id")
     follows = (F.lag("id").over(order) == F.col("up")) & (F.lag(F.col("first") + F.col("size")).over(order) == F.col("first"))
     linked = linked.withColumn("begins", ~F.coalesce(follows, F.lit(False)))
     head = lambda c: F.last(F.when(F.col("begins"), F.col(c)), ignorenulls=True).over(order)
@@ -242,29 +241,33 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     discard(contexts)
 
     # Source coordinates: the arcs, read from the text again.
-    ask = placed.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("anchor", "first", "last", "repeated", "verify")).alias("spans"))
+    ask = placed.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("anchor", "first", "last", "repeated", "verify")).alias("spans"))
     ask = ask.select(F.col("doc_id").alias("ask_id"), F.col("text_key").alias("ask_key"), "spans")
     asked = rows.join(ask, rows["doc_id"].eqNullSafe(F.col("ask_id")) & (rows["text_key"] == F.col("ask_key")))
     kinds = "doc_id long, text_key long, anchor long, words long, first int, size int, source_node long, end_node long, own boolean"
     edges = materialize(asked.select("doc_id", "text_key", "text", "spans").mapInArrow(_find_edges, kinds), "edges")
     discard(placed)
-    source = F.min(F.struct("doc_id", "text_key", "first")).alias("source")
-    arcs = edges.groupBy("anchor", "words", "size").agg(F.count("*").alias("n"), F.max("own").alias("own"), F.min("source_node").alias("source_node"), F.min("end_node").alias("end_node"), source)
-    identity = F.xxhash64("anchor", "words", "size").alias("id")
-    arcs = arcs.where("n > 1 AND own").select(identity, "n", "size", "source_node", "end_node", "source.*")
-    arcs = materialize(arcs, "arcs")
-
-    keyed = materialize(paths(arcs).join(arcs.select("id", "n"), "id"), "paths")
-    here = join_salted(edges.where("own").select("doc_id", "text_key", "first", "size", identity), keyed, "id")
-    here = here.groupBy("doc_id", "text_key", "path", (F.col("first") - F.col("at")).alias("origin")).agg(
-        F.collect_set(F.struct("first", (F.col("first") + F.col("size") - 1).alias("last"))).alias("parts")
-    )
-    low, high = F.array_min("parts")["first"], F.array_max("parts")["last"]
-    length = F.aggregate("parts", F.lit(0).cast("long"), lambda n, x: n + x["last"] - x["first"] + 1)
-    long = F.when(length == high - low + 1, F.array(F.struct(low.alias("first"), high.alias("last")))).otherwise(F.col("parts"))
-    spans = here.groupBy(F.col("doc_id").alias("span_id"), F.col("text_key").alias("span_key")).agg(F.flatten(F.collect_list(long)).alias("spans"))
-    spans = materialize(spans, "spans")
+    # A first source coordinate as one number, so that the sums stay in a hash table: 40 bits for the document, 24 for the place.
+    source = F.shiftleft(F.xxhash64("doc_id", "text_key"), 24).bitwiseOR(F.col("first").cast("long"))
+    same = ["anchor", "words", "size"]
+    arcs = edges.groupBy(*same).agg(F.count("*").alias("n"), F.max("own").alias("own"), F.min("source_node").alias("source_node"), F.min("end_node").alias("end_node"), F.min(source).alias("source"))
+    place = (F.shiftright("source", 24).alias("doc"), F.col("source").bitwiseAND(F.lit((1 << 24) - 1)).cast("int").alias("first"))
+    arcs = materialize(arcs.where("n > 1 AND own").select(F.xxhash64(*same).alias("id"), *same, "n", "source_node", "end_node", *place), "arcs")
+
+    keyed = materialize(arcs.select("id", *same, "n").join(paths(arcs), "id").drop("id"), "paths")
+    here = join_salted(edges.where("own").select("doc_id", "text_key", "first", *same), keyed, same)
+    here = here.select("doc_id", "text_key", "path", (F.col("first") - F.col("at")).alias("origin"), "first", (F.col("first") + F.col("size") - 1).alias("last"))
+    here = materialize(here, "here")
     discard(edges)
+    key = ["doc_id", "text_key", "path", "origin"]
+    whole = here.groupBy(*key).agg(F.min("first").alias("low"), F.max("last").alias("high"), F.sum(F.col("last") - F.col("first") + 1).alias("n"))
+    whole = materialize(whole, "whole")
+    no_gap = F.col("n") == F.col("high") - F.col("low") + 1
+    spans = whole.where(no_gap).select("doc_id", "text_key", F.col("low").alias("first"), F.col("high").alias("last"))
+    # Parts with a gap between them, or of a row that is there twice, stay as they are.
+    apart = whole.where(~no_gap).select(*(F.col(c).alias(f"apart_{c}") for c in key))
+    parts = here.join(apart, F.expr(" AND ".join(f"{c} <=> apart_{c}" for c in key)), "left_semi").select("doc_id", "text_key", "first", "last")
+    spans = spans.unionAll(parts.distinct()).groupBy(F.col("doc_id").alias("span_id"), F.col("text_key").alias("span_key")).agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     return rows, spans
 
 

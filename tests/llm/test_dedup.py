@@ -137,7 +137,7 @@ def test_query_is_brute_force_at_sf001(spark):
 def test_hot_keys_are_salted(spark):
     rows = spark.range(3000).selectExpr("id AS doc_id", "if(id < 2900, 7L, id) AS fp")
     keyed = rows.groupBy("fp").count().withColumnRenamed("count", "n").selectExpr("fp", "n", "fp + 1 AS of")
-    got = base.join_salted(rows, keyed, "fp")
+    got = base.join_salted(rows, keyed, ["fp"])
     assert got.count() == 3000 and got.where("of <> fp + 1").count() == 0
 
 
@@ -308,10 +308,10 @@ def test_paths_are_compacted(spark, seed):
             size = rng.randint(1, 9)
             if rng.random() < 0.2:
                 doc, first = rng.randrange(5), rng.randint(1000, 9000)
-            arcs.append((len(arcs) * 7919 % 10007, a, b, size, doc, 0, first))
+            arcs.append((len(arcs) * 7919 % 10007, a, b, size, doc, first))
             first += size
     rng.shuffle(arcs)
-    table = spark.createDataFrame(arcs, "id long, source_node long, end_node long, size int, doc_id long, text_key long, first int")
+    table = spark.createDataFrame(arcs, "id long, source_node long, end_node long, size int, doc long, first int")
     got = {r["id"]: (r["path"], r["at"]) for r in substring.paths(table).collect()}
     want = slow_paths([a[:4] for a in arcs])
     size = {a[0]: a[3] for a in arcs}
@@ -339,7 +339,7 @@ def test_words_decide():
     """Segments whose first hash agrees by accident aren't repeated: the words are read."""
     hasher = substring.Hasher()
     a, b = ([f"{c}{i}".encode() for i in range(40)] for c in "xy")
-    asked = [(7, 0, 5, True, False)]
+    asked = [np.array([7]), np.array([0]), np.array([5]), np.array([True]), np.array([False])]
     one, two, again = (substring.read_edges(hasher, w, asked) for w in (a, b, list(a)))
     assert one[1].tolist() == again[1].tolist() != two[1].tolist() and one[3].tolist() == [6]
 
