@@ -7,13 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.base import small_batches
 from tessera.operators import projection, quads, reports
 from tessera.options import ReadOptions
 from tessera.plans import workload
 from tessera.plans.corpus import Corpus
 from tessera.sources.documents import from_text, stress_documents
-from tessera.sources.shared import materialize
+from tessera.sources.shared import materialize, small_batches
 
 _KEPT: dict[tuple[str, str], Corpus] = {}
 
