@@ -81,18 +81,18 @@ def _plain(content: bytes) -> bool:
     return True
 
 
-def scan_many(contents: list[bytes], limits: ReadOptions) -> Bulk:
-    """All documents that are plainly good. Those left out of ``good`` are for the exact scanner."""
+def scan_many(contents: list[bytes], limits: ReadOptions, with_values: bool = True) -> Bulk:
+    """All documents that are plainly good, without their values if only metrics are asked for. Others are for the exact scanner."""
     chosen = np.array([i for i, c in enumerate(contents) if _plain(c)], np.int64)
     while True:
-        found, bad = _scan([contents[i] for i in chosen], limits)
+        found, bad = _scan([contents[i] for i in chosen], limits, with_values)
         if not bad.any():
             found.good = chosen
             return found
         chosen = chosen[~bad]
 
 
-def _scan(docs: list[bytes], limits: ReadOptions) -> tuple[Bulk, np.ndarray]:
+def _scan(docs: list[bytes], limits: ReadOptions, with_values: bool) -> tuple[Bulk, np.ndarray]:
     """The scan of some documents, or (with it empty) which of them aren't plainly good."""
     nothing = Bulk(np.zeros(0, np.int64), [], np.zeros(0, np.int64), [])
     n_docs, bad = len(docs), np.zeros(len(docs), bool)
@@ -204,6 +204,9 @@ def _scan(docs: list[bytes], limits: ReadOptions) -> tuple[Bulk, np.ndarray]:
     if bad.any():
         return nothing, bad
 
+    if not with_values:
+        return Bulk(np.zeros(0, np.int64), [depth, most, counts, name_bytes], counts, []), bad
+
     # rows: a value's number in its document, its parent's, its place among siblings
     number = np.full(n, -1, np.int64)
     first_value = np.cumsum(counts) - counts

@@ -6,22 +6,20 @@ import itertools
 from collections.abc import Iterator
 from dataclasses import asdict
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.bulk import scan_many
+from tessera.functions.places import SUMMARY, summaries
 from tessera.functions.scanner import COLUMNS, scan
 from tessera.options import ReadOptions
 
 _ARROW = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
-_VALUE = pa.struct([(n, _ARROW[t]) for n, t in COLUMNS])
 _METRICS = ["max_nesting_depth", "max_object_members", "total_values", "decoded_member_name_bytes"]
-SCAN_SCHEMA = (
-    "doc_id long, failure string, err_offset long, err_line long, err_column long, "
-    + ", ".join(f"{m} long" for m in _METRICS)
-    + ", found array<struct<" + ", ".join(f"{n}: {t}" for n, t in COLUMNS) + ">>"
-)
+SCAN_SCHEMA = "doc_id long, failure string, err_offset long, err_line long, err_column long, " + ", ".join(f"{m} long" for m in _METRICS)
+VALUE_SCHEMA = "doc_id long, " + ", ".join(f"{n} {t}" for n, t in [*COLUMNS, *SUMMARY])
 
 #: Messages of the failures; fixed texts.
 MESSAGES = {
@@ -66,43 +64,52 @@ def _groups(sizes: list[int]) -> Iterator[tuple[int, int]]:
         yield first, len(sizes) - first
 
 
-def _batch(ids: pa.Array, failures: list, places: list[list], metrics: list, counts: list[int], columns: list[pa.Array]) -> pa.RecordBatch:
-    values = pa.StructArray.from_arrays(columns, fields=list(_VALUE))
-    ends = pa.array([0, *itertools.accumulate(counts)], pa.int32())
-    return pa.RecordBatch.from_arrays(
-        [ids, pa.array(failures, pa.string()), *[pa.array(p, pa.int64()) for p in places], *[pa.array(m, pa.int64()) for m in metrics], pa.ListArray.from_arrays(ends, values)],
-        ["doc_id", "failure", "err_offset", "err_line", "err_column", *_METRICS, "found"],
-    )
+def _scan_batch(ids: pa.Array, failures: list, places: list[list], metrics: list) -> pa.RecordBatch:
+    told = [ids, pa.array(failures, pa.string()), *[pa.array(p, pa.int64()) for p in places], *[pa.array(m, pa.int64()) for m in metrics]]
+    return pa.RecordBatch.from_arrays(told, ["doc_id", "failure", "err_offset", "err_line", "err_column", *_METRICS])
 
 
-def _scanner(settings: dict):
+def _value_batch(ids: pa.Array, counts: np.ndarray, columns: list[pa.Array]) -> pa.RecordBatch:
+    of = ids.take(pa.array(np.repeat(np.arange(len(counts)), counts)))
+    return pa.RecordBatch.from_arrays([of, *columns, *summaries(columns, counts)], ["doc_id", *(n for n, _ in [*COLUMNS, *SUMMARY])])
+
+
+def _scanner(settings: dict, with_values: bool):
+    """Rows of the documents' scans, or (``with_values``) of the values of those that scanned well."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         options = ReadOptions(**settings)
         for batch in batches:
             contents = batch["content"].to_pylist()
             for first, n in _groups([len(c) for c in contents]):
                 part, ids = contents[first : first + n], batch["doc_id"].slice(first, n)
-                bulk = scan_many(part, options)
+                bulk = scan_many(part, options, with_values)
                 if len(bulk.good):
-                    none = [None] * len(bulk.good)
-                    yield _batch(ids.take(pa.array(bulk.good)), none, [none] * 3, bulk.metrics, bulk.counts.tolist(), bulk.columns)
+                    good, none = ids.take(pa.array(bulk.good)), [None] * len(bulk.good)
+                    yield _value_batch(good, bulk.counts, bulk.columns) if with_values else _scan_batch(good, none, [none] * 3, bulk.metrics)
                 for i in sorted(set(range(n)) - set(bulk.good.tolist())):  # what isn't plainly good is looked at exactly
                     done = scan(part[i], options)
-                    columns = [pa.array(c, _ARROW[t]) for c, (_, t) in zip(list(zip(*done.rows)) or [()] * len(COLUMNS), COLUMNS)]
-                    place = done.position or (None, None, None)
-                    yield _batch(ids.slice(i, 1), [done.failure], [[p] for p in place], [[None if done.failure else getattr(done, m)] for m in _METRICS], [len(done.rows)], columns)
+                    if not with_values:
+                        yield _scan_batch(ids.slice(i, 1), [done.failure], [[p] for p in done.position or (None, None, None)], [[None if done.failure else getattr(done, m)] for m in _METRICS])
+                    elif not done.failure:
+                        columns = [pa.array(c, _ARROW[t]) for c, (_, t) in zip(list(zip(*done.rows)), COLUMNS)]
+                        yield _value_batch(ids.slice(i, 1), np.array([len(done.rows)]), columns)
 
     return run
 
 
+def _ready(taken: DataFrame) -> DataFrame:
+    return taken.where("admitted").select(F.col("doc_id").cast("long").alias("doc_id"), "content")
+
+
 def scanned(taken: DataFrame, options: ReadOptions) -> DataFrame:
-    """One row for each admitted document: its failure and place, or its metrics and all values as one array."""
-    return taken.where("admitted").select(F.col("doc_id").cast("long").alias("doc_id"), "content").mapInArrow(_scanner(asdict(options)), SCAN_SCHEMA)
+    """One row for each admitted document: its failure and place, or its metrics."""
+    return _ready(taken).mapInArrow(_scanner(asdict(options), False), SCAN_SCHEMA)
 
 
-def json_values(scans: DataFrame) -> DataFrame:
-    """One row for each JSON value of the documents that scanned well, in pre-order by ``value_id``."""
-    return scans.where("failure IS NULL").select("doc_id", F.explode("found").alias("v")).select("doc_id", "v.*")
+def json_values(taken: DataFrame, options: ReadOptions) -> DataFrame:
+    """One row for each JSON value of the documents that scan well, in pre-order by ``value_id``."""
+    return _ready(taken).mapInArrow(_scanner(asdict(options), True), VALUE_SCHEMA)
 
 
 def outcomes(taken: DataFrame, scans: DataFrame, semantic: DataFrame | None = None) -> DataFrame:

@@ -1,15 +1,16 @@
-"""Projection of JSON values to typed nodes, edges, properties, extensions and findings, as joins and windows.
+"""Projection of JSON values to typed nodes, edges, properties, extensions and findings.
 
-Every table here is keyed by document, so after one exchange by ``doc_id`` nothing moves again: a value meets its
-document's prefixes, its member's meaning and its children's summary in the partition where it is. The values with
-their meaning are written once, and every table reads from them the few columns and rows it needs.
+A value comes with what its neighbours and its document's context say of it (``functions/places.py``), the number of the
+registered term of its member among that, so no value is joined with another one. Tables of nodes
+and edges are then sums and windows by document. Each table is worked out when it is asked for; the members of nodes,
+which most tables are made from, and tables that others read again are written once.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -17,23 +18,14 @@ from tessera.functions import names
 from tessera.sources.shared import materialize
 
 _GRAPH = ["@graph", "@included"]
+_SPOT = ["tok_start", "tok_end"]
 
 
-@dataclass
-class Projection:
-    """The tables of a projection; all but ``metrics`` have ``doc_id``, places in bytes, and an ordinal."""
-
-    namespaces: DataFrame
-    nodes: DataFrame
-    edges: DataFrame
-    properties: DataFrame
-    extensions: DataFrame
-    findings: DataFrame
-    metrics: DataFrame
-
-
-def _terms(spark: SparkSession) -> DataFrame:
-    return F.broadcast(spark.createDataFrame(names.term_rows(), names.TERM_SCHEMA))  # 155 rows
+def _look_up(rows: DataFrame, term: str) -> DataFrame:
+    """``rows`` with the columns of the registered term of this number (null for none)."""
+    numbered = [(i, *row) for i, row in enumerate(names.term_rows())]
+    terms = F.broadcast(rows.sparkSession.createDataFrame(numbered, "t_number int, " + names.TERM_SCHEMA))  # 155 rows
+    return rows.join(terms, F.col(term) == F.col("t_number"), "left").drop("t_number")
 
 
 def _full(spelling: Column, vocabularies: list[str]) -> Column:
@@ -53,21 +45,6 @@ def _local(spelling: Column) -> Column:
     return F.when(F.instr(spelling, ":") > 0, F.substring(spelling, F.instr(spelling, ":") + 1, F.length(spelling)))
 
 
-def _named(spelling: Column, prefixes: Column) -> tuple[Column, Column]:
-    """Namespace and local name a spelling stands for: a full IRI first, else by the document's own prefixes."""
-    full, prefix, local = _full(spelling, [v for v, _ in names.VOCABULARIES]), _prefix(spelling), _local(spelling)
-    short = F.when((prefix != "") & (local != ""), F.element_at(prefixes, prefix))
-    return F.coalesce(full, short), F.when(full.isNotNull(), F.substring(spelling, F.length(full) + 1, F.length(spelling))).otherwise(local)
-
-
-def _look_up(rows: DataFrame, spelling: str) -> DataFrame:
-    """``rows`` with the columns of the registered term its spelling stands for (null where it is none)."""
-    ns, local = _named(F.col(spelling), F.col("prefixes"))
-    keyed = rows.withColumn("ns", ns).withColumn("local", local)
-    terms = _terms(rows.sparkSession)
-    return keyed.join(terms, (F.col("ns") == F.col("t_ns")) & (F.col("local") == F.col("t_local")), "left").drop("ns", "local")
-
-
 def namespaces(values: DataFrame) -> DataFrame:
     """The binding of each prefix that holds in a document (the last one written), with its class."""
     bound = values.where((F.col("binding")) & (F.col("kind") == "string") & ~F.col("name").startswith("@"))
@@ -78,88 +55,12 @@ def namespaces(values: DataFrame) -> DataFrame:
     return last.select("doc_id", "prefix", "b.iri", known.alias("class"), "b.tok_start", "b.tok_end")
 
 
-_PLACE = ["doc_id", "value_id", "parent_id", "parent_kind", "kind", "name", "text", "flag", "tok_start", "tok_end", "owner", "level", "slot", "objects", "post"]
-
-
-def _prefix_maps(spaces: DataFrame) -> DataFrame:
-    """One row for each document: its prefixes of vocabularies and of unit namespaces."""
-    terms = F.col("class").isin([v for v, _ in names.VOCABULARIES])
-    units = F.col("class").isin([c for c, _, _ in names.UNIT_NAMESPACES])
-    entry = F.struct("prefix", "iri")
-    return spaces.groupBy("doc_id").agg(
-        F.map_from_entries(F.filter(F.collect_list(F.when(terms, entry)), lambda x: x.isNotNull())).alias("prefixes"),
-        F.map_from_entries(F.filter(F.collect_list(F.when(units, entry)), lambda x: x.isNotNull())).alias("unit_prefixes"),
-    )
-
-
-def _wide(values: DataFrame) -> DataFrame:
-    """Each value of an owner with its children's summary, and its parent's id."""
-    own = values.where("owner IS NOT NULL").select(*_PLACE)
-    text_of = lambda name: F.max(F.when((F.col("name") == name) & (F.col("kind") == "string"), F.col("text")))
-    is_payload = ~F.col("name").isin(_GRAPH)
-    kids = values.where("parent_id IS NOT NULL").groupBy("doc_id", "parent_id").agg(
-        text_of("@id").alias("kid_id"), text_of("@value").alias("kid_value"), text_of("@type").alias("kid_type"), F.coalesce(F.bool_or(F.col("name") == "@value"), F.lit(False)).alias("kid_has_value"),
-        F.bool_or(F.col("kind") != "object").alias("kid_other"), F.coalesce(F.bool_or(F.col("name").isin("@id", "@type")), F.lit(False)).alias("kid_looks"),
-        F.coalesce(F.bool_or(F.col("name").isin(_GRAPH)), F.lit(False)).alias("kid_graph"), F.coalesce(F.bool_or(is_payload), F.lit(False)).alias("kid_payload"),
-    ).withColumnRenamed("parent_id", "value_id")
-    own = own.join(kids, ["doc_id", "value_id"], "left")
-    # a structural member that is no object and no list of objects
-    malformed = F.col("name").isin(_GRAPH) & ~((F.col("kind") == "object") | (F.col("kind") == "array") & ~F.coalesce("kid_other", F.lit(False)))
-    own = own.withColumn("malformed", (F.col("level") == 1) & malformed)
-    parent = kids.select("doc_id", F.col("value_id").alias("parent_id"), F.col("kid_id").alias("up_kid_id"))
-    return own.join(parent, ["doc_id", "parent_id"], "left")
-
-
-def _nodes_of(wide: DataFrame) -> DataFrame:
-    """Owners that are nodes, numbered with inner ones first; the root goes last."""
-    bad = wide.where("malformed").groupBy("doc_id", "owner").agg(F.lit(True).alias("has_malformed"))
-    objects = wide.where("post IS NOT NULL").join(bad, ["doc_id", "owner"], "left")
-    looks, nested = F.coalesce("kid_looks", F.lit(False)), F.coalesce("kid_graph", F.lit(False))
-    payload = F.coalesce("kid_payload", F.lit(False)) | F.coalesce("has_malformed", F.lit(False))
-    kept = objects.where(F.when(F.col("value_id") == 0, looks).otherwise(looks | ~nested | payload))
-    order = Window.partitionBy("doc_id").orderBy("post")
-    return kept.select("doc_id", "owner", (F.row_number().over(order) - 1).alias("node"), (F.col("value_id") == 0).alias("is_root"), F.col("tok_start").alias("node_start"), F.col("tok_end").alias("node_end"))
-
-
-def _members(wide: DataFrame, owners: DataFrame, maps: DataFrame) -> DataFrame:
-    """Every value below a node (or an anonymous root), with the node and the meaning of the member it lies in."""
-    below = wide.where("level >= 1").join(owners, ["doc_id", "owner"], "left")
-    below = below.where("node IS NOT NULL OR owner = 0")
-    slots = below.where("level = 1").select("doc_id", "slot", F.col("name").alias("slot_name"), F.col("kind").alias("slot_kind"))
-    slots = _look_up(slots.join(maps.select("doc_id", "prefixes"), "doc_id", "left"), "slot_name").drop("prefixes")
-    name = F.col("slot_name")
-    meaning = F.when(name == "@id", "id").when(name == "@type", "type").when(name.isin(_GRAPH), "graph").when(name.startswith("@"), "keyword").when(F.col("t_role").isNull(), "unknown").when(F.col("t_role") == "link", "link").when(F.col("t_payload") == "Unit", "unit").otherwise("literal")
-    slots = slots.withColumn("meaning", meaning)
-    return below.join(slots, ["doc_id", "slot"])
-
-
-def _reference(m: DataFrame) -> DataFrame:
-    """Marks of references: ``is_ref`` (a target object), ``is_broken`` (something else where one should be), ``is_rest``
-    (what a target object has besides its id)."""
-    kind, level = F.col("kind"), F.col("level")
-    here = F.col("meaning").isin("link", "unit") & ((level == 1) & (F.col("slot_kind") != "array") | (level == 2) & (F.col("slot_kind") == "array") & (F.col("objects") == 0))
-    is_ref = here & (kind == "object") & F.col("kid_id").isNotNull()
-    in_ref = F.col("meaning").isin("link", "unit") & (F.col("parent_kind") == "object") & (F.col("objects") == 1) & F.col("up_kid_id").isNotNull()
-    in_ref &= (level == 2) & (F.col("slot_kind") == "object") | (level == 3) & (F.col("slot_kind") == "array")
-    return m.withColumns({"is_ref": F.coalesce(is_ref, F.lit(False)), "is_broken": F.coalesce(here & ~is_ref, F.lit(False)), "is_rest": F.coalesce(in_ref & (F.col("name") != "@id"), F.lit(False))})
-
-
-def _types(m: DataFrame, maps: DataFrame) -> DataFrame:
-    """Spellings of types in order, with what each is registered as."""
-    direct = (F.col("objects") == 0) & (F.col("kind") == "string")
-    saved = (F.col("objects") == 1) & (F.col("parent_kind") == "object") & (F.col("name") == "@id") & (F.col("kind") == "string")
-    found = m.where((F.col("meaning") == "type") & (direct | saved)).select("doc_id", "node", "value_id", "text")
-    return _look_up(found.where("node IS NOT NULL").join(maps.select("doc_id", "prefixes"), "doc_id", "left"), "text")
-
-
-def _class_of(types: DataFrame) -> DataFrame:
-    """The class of each node: a fold of its registered types in authored order.
+def _fold(types: Column) -> Column:
+    """The class of a node: a fold of its registered types in authored order, as ``now`` and ``conflict``.
 
     Types of a family merge to the more specific; what can't merge leaves the first and is a conflict.
     """
-    one = F.struct(*[F.col(f"t_{c}").alias(c) for c in ("class", "detail", "input", "family", "rank")])
-    listed = types.groupBy("doc_id", "node").agg(F.sort_array(F.collect_list(F.struct("value_id", "text", F.when(F.col("t_role") == "class", one).alias("as")))).alias("all"))
-    kept = F.transform(F.filter("all", lambda x: x["as"].isNotNull()), lambda x: x["as"])
+    kept = F.transform(F.filter(types, lambda x: x["as"].isNotNull()), lambda x: x["as"])
     start = F.struct(F.lit(None).cast("struct<class:string,detail:string,input:boolean,family:int,rank:int>").alias("now"), F.lit(False).alias("conflict"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -168,155 +69,234 @@ def _class_of(types: DataFrame) -> DataFrame:
         better = F.when(acc["now"].isNull() | merges & (x["rank"] > acc["now"]["rank"]), x).otherwise(acc["now"])
         return F.struct(better.alias("now"), (acc["conflict"] | acc["now"].isNotNull() & ~same & ~merges).alias("conflict"))
 
-    return listed.select("doc_id", "node", F.transform("all", lambda x: x["text"]).alias("type_spellings"), F.aggregate(kept, start, step).alias("fold"))
+    return F.aggregate(kept, start, step)
 
 
-def _data_type(spelling: Column, prefixes: Column) -> Column:
-    full, by_prefix = _full(spelling, names.GENERATIONS), F.element_at(prefixes, _prefix(spelling))
+def _data_type(spelling: Column, bound: Column) -> Column:
+    """The type an id stands for; ``bound`` is what its prefix is bound to."""
+    full = _full(spelling, names.GENERATIONS)
     generations = [iri for v, iri in names.VOCABULARIES if v in names.GENERATIONS]
-    local = F.when(full.isNotNull(), F.substring(spelling, F.length(full) + 1, F.length(spelling))).when(by_prefix.isin(generations), _local(spelling))
+    local = F.when(full.isNotNull(), F.substring(spelling, F.length(full) + 1, F.length(spelling))).when(bound.isin(generations), _local(spelling))
     found = F.lit(None).cast("string")
     for name, kind in names.DATA_TYPES.items():
         found = F.when(local == name, kind).otherwise(found)
     return found
 
 
-def _unit_class(spelling: Column, prefixes: Column, unit_prefixes: Column) -> Column:
-    prefix, local = _prefix(spelling), _local(spelling)
+def _unit_class(spelling: Column, bound: Column) -> Column:
+    """The class of what a unit's id stands for."""
     generations = [iri for v, iri in names.VOCABULARIES if v in names.GENERATIONS]
     found = F.when(_full(spelling, names.GENERATIONS).isNotNull(), "S231Fallback")
+    by_prefix = F.when(bound.isin(generations), "S231Fallback")
     for _, iri, target in names.UNIT_NAMESPACES:
         found = F.when(spelling.startswith(iri), target).otherwise(found)
-    by_unit = F.lit(None).cast("string")
-    for _, iri, target in names.UNIT_NAMESPACES:
-        by_unit = F.when(F.element_at(unit_prefixes, prefix) == iri, target).otherwise(by_unit)
-    short = F.when(local != "", F.coalesce(by_unit, F.when(F.element_at(prefixes, prefix).isin(generations), "S231Fallback")))
-    return F.coalesce(found, short, F.lit("Other"))
-
+        by_prefix = F.when(bound == iri, target).otherwise(by_prefix)
+    return F.coalesce(found, F.when(_local(spelling) != "", by_prefix), F.lit("Other"))
+
+
+def _members(values: DataFrame) -> DataFrame:
+    """Nodes (``meaning`` is ``node``), and every value below one or below an anonymous root, with what the member it lies in means."""
+    own = values.where("owner IS NOT NULL AND (node IS NOT NULL OR owner = 0)").drop("parent_id", "ordinal", "depth", "name_start", "name_end", "binding", "post")
+    own = _look_up(own, "slot_term").drop("slot_term")
+    name, payload = F.col("slot_name"), F.col("t_payload")
+    meaning = F.when(F.col("level") == 0, "node").when(name == "@id", "id").when(name == "@type", "type").when(name.isin(_GRAPH), "graph")
+    meaning = meaning.when(name.startswith("@"), "keyword").when(F.col("t_role").isNull(), "unknown").when(F.col("t_role") == "link", "link")
+    own = own.withColumn("meaning", meaning.when(payload == "Unit", "unit").otherwise("literal"))
+
+    # references: a target object, something else where one should be, and what a target object has besides its id
+    kind, level, refers = F.col("kind"), F.col("level"), F.col("meaning").isin("link", "unit")
+    here = refers & ((level == 1) & (F.col("slot_kind") != "array") | (level == 2) & (F.col("slot_kind") == "array") & (F.col("objects") == 0))
+    is_ref = here & (kind == "object") & F.col("kid_id").isNotNull()
+    in_ref = refers & (F.col("parent_kind") == "object") & (F.col("objects") == 1) & F.col("up_kid_id").isNotNull()
+    in_ref &= (level == 2) & (F.col("slot_kind") == "object") | (level == 3) & (F.col("slot_kind") == "array")
 
-def project(values: DataFrame) -> Projection:
-    """The projection of all documents of a table of JSON values. It never fails; what it can't read it keeps and reports."""
-    spark = values.sparkSession
-    # one exchange; every join and window below is by document and reuses it
-    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
-    spaces = materialize(namespaces(values), "namespaces")
-    maps = materialize(_prefix_maps(spaces), "prefixes")
-    wide = materialize(_wide(values.repartition("doc_id")), "values")
-    owners = materialize(_nodes_of(wide), "owners")
-    m = materialize(_reference(_members(wide, owners, maps)), "members")
-    kind, level, meaning = F.col("kind"), F.col("level"), F.col("meaning")
-
-    # literals
+    # literals that read as their term's payload
     unsigned = F.when((kind == "number") & F.col("text").rlike("^[0-9]+$"), F.col("text").try_cast("decimal(38,0)"))
     unsigned = F.when(unsigned <= F.lit("18446744073709551615").cast("decimal(38,0)"), unsigned.cast("decimal(20,0)"))
-    payload = F.col("t_payload")
-    literal = m.where((meaning == "literal") & (level == 1) & F.col("node").isNotNull()).withColumn("unsigned", unsigned)
-    reads = F.coalesce((payload == "Text") & (kind == "string") | (payload == "Boolean") & (kind == "boolean") | (payload == "Unsigned") & F.col("unsigned").isNotNull() | (payload == "Value"), F.lit(False))
-    literal = literal.withColumn("reads", reads)
-
-    types = _types(m, maps)
-    spot = ["tok_start", "tok_end"]
-    null = lambda t: F.lit(None).cast(t)
-
-    # edges and resolution
-    ids = m.where((meaning == "id") & (level == 1) & (kind == "string") & F.col("node").isNotNull()).select("doc_id", "node", F.col("text").alias("id"))
-    links = m.where(F.col("is_ref") & (meaning == "link") & F.col("node").isNotNull()).join(maps, "doc_id", "left")
-    order = Window.partitionBy("doc_id").orderBy("node", "value_id")
-    edges = links.select(
-        "doc_id", (F.row_number().over(order) - 1).alias("edge"), F.col("node").alias("subject"), F.col("t_edge").alias("kind"), F.col("t_ns").alias("pred_ns"), F.col("t_local").alias("pred_local"),
-        F.col("kid_id").alias("target_spelling"), F.when(F.col("t_local") == "isOfDataType", _data_type(F.col("kid_id"), F.col("prefixes"))).alias("data_type"), *spot, "slot",
-    )
-    first = ids.groupBy("doc_id", F.col("id").alias("target_spelling")).agg(F.min("node").alias("target"))
-    edges = materialize(edges.join(first, ["doc_id", "target_spelling"], "left"), "edges")
-
-    # nodes
-    classes = _class_of(types)
-    typed = edges.where("kind = 'DataType'").groupBy("doc_id", F.col("subject").alias("node")).agg(F.min(F.struct("edge", "target_spelling", "data_type")).alias("d"))
-    ident = ids.join(first.withColumnRenamed("target_spelling", "id"), ["doc_id", "id"]).withColumn("is_again", F.col("target") != F.col("node")).drop("target")
-    nodes = owners.join(ident, ["doc_id", "node"], "left").join(classes, ["doc_id", "node"], "left").join(typed, ["doc_id", "node"], "left")
-    whole, after = F.col("id"), F.substring_index("id", "#", -1)
-    is_instance = whole.rlike(r"^[^:/\\ \t#]+#[^:/\\ \t#]+$") & ~F.array_contains(F.split(after, r"\."), "")
-    form = F.when(whole.isNull(), "Missing").when(is_instance, "SpecInstance").otherwise("Other")
-    now = F.col("fold.now")
-    cls = F.coalesce(now["class"], F.when(F.col("type_spellings").isNull(), "WeakUntyped").otherwise("LibraryInstance"))
-    nodes = materialize(nodes.select(
-        "doc_id", "node", F.col("owner").alias("value_id"), "id", form.alias("id_form"), F.when(is_instance, F.substring_index("id", "#", 1)).alias("id_container"), F.when(is_instance, F.split(after, r"\.")).alias("id_steps"),
-        cls.alias("class"), F.when(now["class"] == "Block", now["detail"]).alias("block_kind"), now["input"].alias("is_input"), F.when(now["class"] == "Connector", now["detail"]).alias("conn_type"),
-        F.coalesce("type_spellings", F.array().cast("array<string>")).alias("type_spellings"), F.coalesce("fold.conflict", F.lit(False)).alias("has_conflict"), F.coalesce("is_again", F.lit(False)).alias("is_again"),
-        F.col("d.target_spelling").alias("data_type_spelling"), F.col("d.data_type").alias("data_type"), "is_root", F.col("node_start").alias("tok_start"), F.col("node_end").alias("tok_end"),
-    ), "nodes")
-
-    # properties
-    is_literal = kind.isin("string", "number", "boolean")
-    value_kind = F.when(is_literal, "Literal").when(kind == "null", "Null").when(kind == "array", "Array").when(F.coalesce("kid_has_value", F.lit(False)), "TypedObject").otherwise("OtherObject")
-    held = F.when(payload == "Value", value_kind)
-    read = literal.where("reads").select(
-        "doc_id", "node", "value_id", F.col("t_ns").alias("term_ns"), F.col("t_local").alias("term_local"), payload.alias("payload_kind"),
-        F.when(payload == "Text", F.col("text")).alias("text"), F.when(payload == "Boolean", F.col("flag")).alias("flag"), F.when(payload == "Unsigned", F.col("unsigned")).alias("unsigned"), held.alias("value_kind"),
-        F.when((held == "Literal") & (kind == "string"), F.col("text")).when(held == "TypedObject", F.col("kid_value")).alias("value_text"), F.when(held == "TypedObject", F.col("kid_type")).alias("value_type"),
-        null("string").alias("unit_role"), null("string").alias("unit_target_class"), *spot, "slot",
-    )
-    role = F.lit(None).cast("string")
-    for term, name in names.UNIT_ROLES.items():
-        role = F.when(F.col("t_local") == term, name).otherwise(role)
-    units = m.where(F.col("is_ref") & (meaning == "unit") & F.col("node").isNotNull()).join(maps, "doc_id", "left").select(
-        "doc_id", "node", "value_id", F.col("t_ns").alias("term_ns"), F.col("t_local").alias("term_local"), payload.alias("payload_kind"), F.col("kid_id").alias("text"), null("boolean").alias("flag"), null("decimal(20,0)").alias("unsigned"),
-        null("string").alias("value_kind"), null("string").alias("value_text"), null("string").alias("value_type"), role.alias("unit_role"), _unit_class(F.col("kid_id"), F.col("prefixes"), F.col("unit_prefixes")).alias("unit_target_class"), *spot, "slot",
-    )
-    in_node = Window.partitionBy("doc_id", "node").orderBy("value_id")
-    properties = read.unionByName(units).withColumn("seq", F.row_number().over(in_node) - 1)
-    properties = materialize(properties, "properties")
-
-    # extensions: whatever nothing above has read
-    top = level == 1
-    on_root = F.coalesce(F.col("is_root"), F.lit(False))
-    in_type = (meaning == "type") & ((F.col("objects") == 0) & ~kind.isin("string", "array", "object") | (F.col("objects") == 1) & (F.col("parent_kind") == "object") & ~((F.col("name") == "@id") & (kind == "string")))
-    kept = (
-        top & (meaning == "id") & (kind != "string") | in_type | F.col("malformed") | top & (meaning == "keyword") & ~(on_root & (F.col("slot_name") == "@context")) | top & (meaning == "unknown") | F.col("is_broken") | F.col("is_rest")
-    )
-    predicate = F.when(F.col("is_rest") | in_type & (F.col("objects") == 1), F.col("name")).otherwise(F.col("slot_name"))
-    ext_cols = ["doc_id", "node", "value_id"]
-    ext = m.where(F.col("node").isNotNull() & F.coalesce(kept, F.lit(False))).select(*ext_cols, predicate.alias("predicate"), "kind", *spot)
-    ext = ext.unionByName(literal.where("NOT reads").select(*ext_cols, F.col("slot_name").alias("predicate"), "kind", *spot))
-    # an anonymous root keeps its members as they are, but for well-formed structure
-    structural = F.col("name").isin("@context", *_GRAPH)
-    shaped = (kind == "object") | (kind == "array") & ~F.coalesce("kid_other", F.lit(False))
-    loose = m.where(F.col("node").isNull() & top & ~(structural & shaped)).select("doc_id", null("int").alias("node"), "value_id", F.col("name").alias("predicate"), "kind", *spot)
-    extensions = materialize(ext.unionByName(loose).withColumn("seq", F.row_number().over(in_node) - 1), "extensions")
-
-    # findings, in order: each node's members, then its types, emptiness and id; unresolved references last
-    finding = lambda code, phase, rank, node, at, context: (F.lit(code).alias("code"), F.lit(phase).alias("phase"), F.lit(rank).alias("rank"), node.alias("node"), at.alias("at"), context.alias("context"))
-    none, at, node = null("string"), F.col("value_id"), F.col("node")
-    lost = F.when(kind == "string", F.col("text")).when(F.coalesce("kid_has_value", F.lit(False)), F.col("kid_value"))
-    roots = values.where("value_id = 0 AND kind <> 'object'")
-    parts = [
-        roots.select("doc_id", *finding("CXF-P-000", 0, 0, null("int"), at, none), *spot),
-        literal.where((payload == "Value") & (lost == names.LOST_VALUE)).select("doc_id", *finding("CXF-P-003", 0, 0, node, at, none), *spot),
-        m.where(F.col("is_broken") & node.isNotNull()).select("doc_id", *finding("CXF-P-004", 0, 0, node, at, F.col("slot_name")), *spot),
-        nodes.where("has_conflict").select("doc_id", *finding("CXF-P-002", 0, 1, node, F.lit(0), none), *spot),
-        nodes.where("class = 'WeakUntyped'").select("doc_id", *finding("CXF-P-001", 0, 2, node, F.lit(0), none), *spot),
-        nodes.where("is_again").select("doc_id", *finding("CXF-P-006", 0, 3, node, F.lit(0), none), *spot),
-        edges.where("target IS NULL AND kind <> 'DataType'").select("doc_id", *finding("CXF-P-005", 1, 0, F.col("subject"), F.col("edge"), F.col("target_spelling")), *spot),
-    ]
-    findings = parts[0]
-    for p in parts[1:]:
-        findings = findings.unionByName(p)
-    by_doc = Window.partitionBy("doc_id").orderBy("phase", F.when(F.col("phase") == 0, F.col("node")), "rank", "at")
-    findings = materialize(findings.withColumn("seq", F.row_number().over(by_doc) - 1).select("doc_id", "seq", "code", "node", "context", *spot), "findings")
-
-    # metrics
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    docs = values.where("value_id = 0").select("doc_id")
-    count = lambda rows, name, what=None: rows.groupBy("doc_id").agg((F.count("*") if what is None else what).alias(name))
-    seen = read.select("doc_id", "slot").unionByName(units.select("doc_id", "slot").distinct()).unionByName(edges.select("doc_id", "slot").distinct())
-    metrics = docs
-    for t in (
-        count(nodes, "nodes"), edges.groupBy("doc_id").agg(F.count("*").alias("edges"), F.count("target").alias("resolved_edges")), count(seen, "recognized_members"), count(extensions, "extension_members"), count(findings, "diagnostics"),
-    ):
-        metrics = metrics.join(t, "doc_id", "left")
-    metrics = metrics.select("doc_id", *[zero(c) for c in ("nodes", "edges", "resolved_edges", "recognized_members", "extension_members", "diagnostics")])
-
-    return Projection(spaces, nodes.drop("has_conflict", "is_again"), edges.drop("slot"), properties.drop("slot", "value_id"), extensions.drop("value_id"), findings, metrics)
+    literal = (F.col("meaning") == "literal") & (level == 1) & F.col("node").isNotNull()
+    reads = (payload == "Text") & (kind == "string") | (payload == "Boolean") & (kind == "boolean") | (payload == "Unsigned") & unsigned.isNotNull() | (payload == "Value")
+    false = lambda c: F.coalesce(c, F.lit(False))
+    return own.withColumns({
+        "is_ref": false(is_ref), "is_broken": false(here & ~is_ref), "is_rest": false(in_ref & (F.col("name") != "@id")),
+        "is_literal": literal, "reads": literal & false(reads), "unsigned": F.when(literal & (payload == "Unsigned"), unsigned),
+    })
+
+
+class Projection:
+    """The tables of a projection of JSON values; all but ``metrics`` have ``doc_id``, places in bytes, and an ordinal.
+
+    It never fails; what it can't read it keeps and reports.
+    """
+
+    def __init__(self, values: DataFrame):
+        self.values = values
+
+    @cached_property
+    def namespaces(self) -> DataFrame:
+        return namespaces(self.values)
+
+    @cached_property
+    def _m(self) -> DataFrame:
+        return materialize(_members(self.values), "members")
+
+    @property
+    def _ids(self) -> DataFrame:
+        return self._m.where("meaning = 'id' AND level = 1 AND kind = 'string' AND node IS NOT NULL").select("doc_id", "node", F.col("text").alias("id"))
+
+    @property
+    def _links(self) -> DataFrame:
+        data_type = F.when(F.col("t_local") == "isOfDataType", _data_type(F.col("kid_id"), F.col("kid_ns")))
+        return self._m.where("is_ref AND meaning = 'link' AND node IS NOT NULL").withColumn("data_type", data_type)
+
+    @cached_property
+    def _edges(self) -> DataFrame:
+        order = Window.partitionBy("doc_id").orderBy("node", "value_id")
+        edges = self._links.select(
+            "doc_id", (F.row_number().over(order) - 1).alias("edge"), F.col("node").alias("subject"), F.col("t_edge").alias("kind"), F.col("t_ns").alias("pred_ns"), F.col("t_local").alias("pred_local"),
+            F.col("kid_id").alias("target_spelling"), "data_type", *_SPOT, "slot",
+        )
+        first = self._ids.groupBy("doc_id", F.col("id").alias("target_spelling")).agg(F.min("node").alias("target"))
+        return materialize(edges.join(first, ["doc_id", "target_spelling"], "left"), "edges")
+
+    @property
+    def edges(self) -> DataFrame:
+        return self._edges.drop("slot")
+
+    @cached_property
+    def _nodes(self) -> DataFrame:
+        """One aggregation over what makes a node: its own value, its id, its types in order and its first data type."""
+        m, meaning, kind = self._m, F.col("meaning"), F.col("kind")
+        is_id = (meaning == "id") & (F.col("level") == 1) & (kind == "string")
+        direct = (F.col("objects") == 0) & (kind == "string")
+        saved = (F.col("objects") == 1) & (F.col("parent_kind") == "object") & (F.col("name") == "@id") & (kind == "string")
+        is_type, is_own = (meaning == "type") & (direct | saved), meaning == "node"
+        is_data_type = F.col("is_ref") & (meaning == "link") & (F.col("t_edge") == "DataType")
+        columns = ["doc_id", "node", "owner", "value_id", "meaning", "level", "kind", "objects", "parent_kind", "name", "text", "text_term", "is_ref", "t_edge", "t_local", "kid_id", "kid_ns", *_SPOT]
+        parts = m.where(F.col("node").isNotNull() & (is_own | is_id | is_type | is_data_type)).select(*columns)
+        parts = parts.withColumns({"data_type": F.when(is_data_type, _data_type(F.col("kid_id"), F.col("kid_ns"))), "term": F.when(is_type, F.col("text_term")), "marks": F.struct(is_own.alias("own"), is_id.alias("id"), is_type.alias("type"), is_data_type.alias("typed"))})
+        parts = _look_up(parts.drop("t_edge", "t_local"), "term")
+        one = F.struct(*[F.col(f"t_{c}").alias(c) for c in ("class", "detail", "input", "family", "rank")])
+        listed = F.collect_list(F.when(F.col("marks.type"), F.struct("value_id", "text", F.when(F.col("t_role") == "class", one).alias("as"))))
+        own = F.min(F.when(F.col("marks.own"), F.struct("owner", *_SPOT)))
+        typed = F.min(F.when(F.col("marks.typed"), F.struct("value_id", "kid_id", "data_type")))
+        nodes = parts.groupBy("doc_id", "node").agg(own.alias("own"), F.max(F.when(F.col("marks.id"), F.col("text"))).alias("id"), F.sort_array(listed).alias("all"), typed.alias("d"))
+        nodes = nodes.withColumn("fold", _fold(F.col("all"))).withColumn("type_spellings", F.transform("all", lambda x: x["text"]))
+        again = F.col("id").isNotNull() & (F.min("node").over(Window.partitionBy("doc_id", "id")) < F.col("node"))
+
+        whole, after = F.col("id"), F.substring_index("id", "#", -1)
+        is_instance = whole.rlike(r"^[^:/\\ \t#]+#[^:/\\ \t#]+$") & ~F.array_contains(F.split(after, r"\."), "")
+        form = F.when(whole.isNull(), "Missing").when(is_instance, "SpecInstance").otherwise("Other")
+        now = F.col("fold.now")
+        cls = F.coalesce(now["class"], F.when(F.size("type_spellings") == 0, "WeakUntyped").otherwise("LibraryInstance"))
+        return materialize(nodes.select(
+            "doc_id", "node", F.col("own.owner").alias("value_id"), "id", form.alias("id_form"), F.when(is_instance, F.substring_index("id", "#", 1)).alias("id_container"), F.when(is_instance, F.split(after, r"\.")).alias("id_steps"),
+            cls.alias("class"), F.when(now["class"] == "Block", now["detail"]).alias("block_kind"), now["input"].alias("is_input"), F.when(now["class"] == "Connector", now["detail"]).alias("conn_type"),
+            "type_spellings", F.col("fold.conflict").alias("has_conflict"), again.alias("is_again"), F.col("d.kid_id").alias("data_type_spelling"), F.col("d.data_type").alias("data_type"),
+            (F.col("own.owner") == 0).alias("is_root"), "own.tok_start", "own.tok_end",
+        ), "nodes")
+
+    @property
+    def nodes(self) -> DataFrame:
+        return self._nodes.drop("has_conflict", "is_again")
+
+    @cached_property
+    def _properties(self) -> DataFrame:
+        """Literals that read as their term's payload, then units; not numbered yet."""
+        m, kind, payload, null = self._m, F.col("kind"), F.col("t_payload"), lambda t: F.lit(None).cast(t)
+        is_plain = kind.isin("string", "number", "boolean")
+        value_kind = F.when(is_plain, "Literal").when(kind == "null", "Null").when(kind == "array", "Array").when(F.col("kid_has_value"), "TypedObject").otherwise("OtherObject")
+        held = F.when(payload == "Value", value_kind)
+        term = ["doc_id", "node", "value_id", F.col("t_ns").alias("term_ns"), F.col("t_local").alias("term_local"), payload.alias("payload_kind")]
+        read = m.where("reads").select(
+            *term, F.when(payload == "Text", F.col("text")).alias("text"), F.when(payload == "Boolean", F.col("flag")).alias("flag"), "unsigned", held.alias("value_kind"),
+            F.when((held == "Literal") & (kind == "string"), F.col("text")).when(held == "TypedObject", F.col("kid_value")).alias("value_text"), F.when(held == "TypedObject", F.col("kid_type")).alias("value_type"),
+            null("string").alias("unit_role"), null("string").alias("unit_target_class"), *_SPOT, "slot",
+        )
+        role = null("string")
+        for local, name in names.UNIT_ROLES.items():
+            role = F.when(F.col("t_local") == local, name).otherwise(role)
+        units = m.where("is_ref AND meaning = 'unit' AND node IS NOT NULL").select(
+            *term, F.col("kid_id").alias("text"), null("boolean").alias("flag"), null("decimal(20,0)").alias("unsigned"), null("string").alias("value_kind"), null("string").alias("value_text"), null("string").alias("value_type"),
+            role.alias("unit_role"), _unit_class(F.col("kid_id"), F.col("kid_ns")).alias("unit_target_class"), *_SPOT, "slot",
+        )
+        return read.unionByName(units)
+
+    @cached_property
+    def properties(self) -> DataFrame:
+        in_node = Window.partitionBy("doc_id", "node").orderBy("value_id")
+        return self._properties.withColumn("seq", F.row_number().over(in_node) - 1).drop("slot", "value_id")
+
+    @cached_property
+    def _extensions(self) -> DataFrame:
+        """Whatever nothing above has read; an anonymous root keeps its members as they are, but for well-formed structure."""
+        m, kind, meaning, top = self._m, F.col("kind"), F.col("meaning"), F.col("level") == 1
+        in_object = (F.col("objects") == 1) & (F.col("parent_kind") == "object")
+        in_type = (meaning == "type") & ((F.col("objects") == 0) & ~kind.isin("string", "array", "object") | in_object & ~((F.col("name") == "@id") & (kind == "string")))
+        context = (F.col("owner") == 0) & (F.col("slot_name") == "@context")
+        kept = top & (meaning == "id") & (kind != "string") | in_type | F.col("malformed") | top & (meaning == "keyword") & ~context | top & (meaning == "unknown")
+        kept |= F.col("is_broken") | F.col("is_rest") | F.col("is_literal") & ~F.col("reads")
+        predicate = F.when(F.col("is_rest") | in_type & (F.col("objects") == 1), F.col("name")).otherwise(F.col("slot_name"))
+        shaped = (kind == "object") | (kind == "array") & ~F.col("kid_other")
+        loose = top & ~(F.col("name").isin("@context", *_GRAPH) & shaped)
+        found = m.where(F.when(F.col("node").isNull(), loose).otherwise((F.col("level") > 0) & F.coalesce(kept, F.lit(False))))
+        return found.select("doc_id", "node", "value_id", F.when(F.col("node").isNull(), F.col("name")).otherwise(predicate).alias("predicate"), "kind", *_SPOT)
+
+    @cached_property
+    def extensions(self) -> DataFrame:
+        in_node = Window.partitionBy("doc_id", "node").orderBy("value_id")
+        return self._extensions.withColumn("seq", F.row_number().over(in_node) - 1).drop("value_id")
+
+    @cached_property
+    def _findings(self) -> DataFrame:
+        """Findings with what orders them; the unresolved references last."""
+        m, none, kind = self._m, F.lit(None).cast("string"), F.col("kind")
+
+        def finding(rows: DataFrame, code: str, phase: int, rank: int, node: Column, at: Column, context: Column) -> DataFrame:
+            return rows.select("doc_id", F.lit(code).alias("code"), F.lit(phase).alias("phase"), F.lit(rank).alias("rank"), node.alias("node"), at.alias("at"), context.alias("context"), *_SPOT)
+
+        at, node = F.col("value_id"), F.col("node")
+        lost = F.when(kind == "string", F.col("text")).when(F.col("kid_has_value"), F.col("kid_value"))
+        found = finding(self.values.where("value_id = 0 AND kind <> 'object'"), "CXF-P-000", 0, 0, F.lit(None).cast("int"), at, none)
+        for part in (
+            finding(m.where(F.col("is_literal") & (F.col("t_payload") == "Value") & (lost == names.LOST_VALUE)), "CXF-P-003", 0, 0, node, at, none),
+            finding(m.where("is_broken AND node IS NOT NULL"), "CXF-P-004", 0, 0, node, at, F.col("slot_name")),
+            finding(self._nodes.where("has_conflict"), "CXF-P-002", 0, 1, node, F.lit(0), none),
+            finding(self._nodes.where("class = 'WeakUntyped'"), "CXF-P-001", 0, 2, node, F.lit(0), none),
+            finding(self._nodes.where("is_again"), "CXF-P-006", 0, 3, node, F.lit(0), none),
+            finding(self._edges.where("target IS NULL AND kind <> 'DataType'"), "CXF-P-005", 1, 0, F.col("subject"), F.col("edge"), F.col("target_spelling")),
+        ):
+            found = found.unionByName(part)
+        return found
+
+    @cached_property
+    def findings(self) -> DataFrame:
+        """In order: each node's members, then its types, emptiness and id; unresolved references last."""
+        by_doc = Window.partitionBy("doc_id").orderBy("phase", F.when(F.col("phase") == 0, F.col("node")), "rank", "at")
+        return self._findings.withColumn("seq", F.row_number().over(by_doc) - 1).select("doc_id", "seq", "code", "node", "context", *_SPOT)
+
+    @cached_property
+    def metrics(self) -> DataFrame:
+        """Counts of each document's rows, added up in one aggregation over all tables."""
+        counted = ["nodes", "edges", "resolved_edges", "recognized_members", "extension_members", "diagnostics"]
+
+        def count(rows: DataFrame, **what: Column) -> DataFrame:
+            return rows.groupBy("doc_id").agg(*[(F.sum(what[c].cast("long")) if c in what else F.lit(0).cast("long")).alias(c) for c in counted])
+
+        one = F.lit(1)
+        is_unit = F.col("unit_role").isNotNull()
+        slots = self._properties.where(is_unit).select("doc_id", "slot").unionByName(self._edges.select("doc_id", "slot")).distinct()  # each member once
+        total = count(self.values.where("value_id = 0").select("doc_id"))
+        for part in (
+            count(self._m.where("meaning = 'node' AND node IS NOT NULL"), nodes=one), count(self._edges, edges=one, resolved_edges=F.col("target").isNotNull().cast("int")),
+            count(self._properties.where(~is_unit), recognized_members=one), count(slots, recognized_members=one), count(self._extensions, extension_members=one), count(self._findings, diagnostics=one),
+        ):
+            total = total.unionByName(part)
+        return total.groupBy("doc_id").agg(*[F.sum(c).cast("long").alias(c) for c in counted])
+
+
+def project(values: DataFrame) -> Projection:
+    """The projection of all documents of a table of JSON values."""
+    return Projection(values)
 
 
 def adjacency(projection: Projection) -> DataFrame:

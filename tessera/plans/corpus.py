@@ -1,4 +1,7 @@
-"""A corpus of documents and the tables that can be asked of it. Nothing runs before a table is used."""
+"""A corpus of documents and the tables that can be asked of it.
+
+Nothing runs before a table is asked for. What several tables are made from (scans, quads, members of nodes) is written once.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import ingest, projection, quads, validation
 from tessera.options import ReadOptions
+from tessera.sources.shared import materialize
 
 _TABLES = ["outcomes", "json_values", "namespaces", "nodes", "edges", "properties", "extensions", "projection_findings", "findings", "metrics", "adjacency"]
 _SEMANTIC = ["quads", "composed_outcomes", "composed_nodes", "composed_edges", "composed_findings"]
@@ -30,7 +34,7 @@ class Corpus:
 
     @cached_property
     def scans(self) -> DataFrame:
-        return ingest.scanned(self.admitted, self.options)
+        return materialize(ingest.scanned(self.admitted, self.options), "scans")
 
     @cached_property
     def outcomes(self) -> DataFrame:
@@ -38,7 +42,7 @@ class Corpus:
 
     @cached_property
     def json_values(self) -> DataFrame:
-        return ingest.json_values(self.scans)
+        return materialize(ingest.json_values(self.admitted, self.options), "values")
 
     @cached_property
     def projection(self) -> projection.Projection:
@@ -70,7 +74,7 @@ class Corpus:
 
     @cached_property
     def semantic(self) -> DataFrame:
-        return quads.semantic(self.admitted, self.scans, self.options)
+        return materialize(quads.semantic(self.admitted, self.scans, self.options), "semantic")
 
     @cached_property
     def quads(self) -> DataFrame:

@@ -12,18 +12,16 @@ from tessera.options import ReadOptions
 from tessera.plans import workload
 from tessera.plans.corpus import Corpus
 from tessera.sources.documents import from_text, stress_documents
-from tessera.sources.shared import materialize, small_batches
+from tessera.sources.shared import small_batches
 
 _KEPT: dict[tuple[str, str], Corpus] = {}
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
-    """The workload's corpus; one is kept for each session and folder, with its scans written."""
+    """The workload's corpus; one is kept for each session and folder."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _KEPT:
-        made = Corpus(workload.documents(spark, sf_dir))
-        made.scans = materialize(made.scans, "scans")
-        _KEPT[key] = made
+        _KEPT[key] = Corpus(workload.documents(spark, sf_dir))
     return _KEPT[key]
 
 

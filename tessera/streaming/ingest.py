@@ -22,7 +22,7 @@ def stream_outcomes(documents: DataFrame, options: ReadOptions | None = None) ->
     """A stream of each document's failure or structure. One that isn't admitted fails as ``Admission``."""
     options = options or ReadOptions()
     taken = ingest.admitted(documents, options)
-    admitted = ingest.scanned(taken, options).drop("found").withColumn("outcome", F.coalesce("failure", F.lit("Success")))
+    admitted = ingest.scanned(taken, options).withColumn("outcome", F.coalesce("failure", F.lit("Success")))
     kept = ["doc_id", "outcome", "err_offset", "max_nesting_depth", "max_object_members", "total_values", "decoded_member_name_bytes"]
     null = lambda c: F.lit(None).cast("long").alias(c)
     refused = taken.where("NOT admitted").select("doc_id", F.lit("Admission").alias("outcome"), *[null(c) for c in kept[2:]])
