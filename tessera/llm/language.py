@@ -16,14 +16,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import fresh, small_batches, table
+from .base import fresh, materialize, small_batches, table
 
 BUCKETS = 1 << 14
 LENGTHS = (1, 2, 3)
 #: Documents the model is fitted on at most (about; a hashed share of the labelled ones). Prediction has no bound.
 FIT_ROWS = 20_000
-#: A label column with more values than this isn't a language column.
-MOST_LANGUAGES = 256
+#: Languages of a model at most: those with most documents. Further label values aren't learned, as a model is told to all tasks.
+MOST_LANGUAGES = 512
+#: Languages whose counts a task holds at a time.
+COUNTED = 256
 UNKNOWN = "und"
 #: Characters handled at once; longer texts go in pieces that overlap by the longest n-gram less one.
 PIECE = 1 << 20
@@ -57,21 +59,26 @@ def grams(text: str) -> Iterator[np.ndarray]:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     totals: dict[str, np.ndarray] = {}
+
+    def told() -> Iterator[pa.RecordBatch]:
+        for lang, row in totals.items():
+            used = np.flatnonzero(row)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(used.astype(np.int32)), pa.array(row[used])], ["lang", "bucket", "n"])
+        totals.clear()
+
     for b in batches:
         for text, lang in zip(b["text"].to_pylist(), b["lang"].to_pylist()):
             if not text or not _LETTER.search(text):
                 continue
             if lang not in totals:
-                if len(totals) >= MOST_LANGUAGES:
-                    raise ValueError(f"more than {MOST_LANGUAGES} label values")
+                if len(totals) >= COUNTED:
+                    yield from told()
                 totals[lang] = np.zeros(BUCKETS + 1, np.int64)
             row = totals[lang]
             row[BUCKETS] += 1
             for g in grams(prepared(text)):
                 row[:BUCKETS] += np.bincount(g, minlength=BUCKETS)
-    for lang, row in totals.items():
-        used = np.flatnonzero(row)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(used.astype(np.int32)), pa.array(row[used])], ["lang", "bucket", "n"])
+    yield from told()
 
 
 class Model:
@@ -135,10 +142,10 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     share = min(1.0, fit_rows / max(1, usable.count()))
     chosen = usable.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 20)) < int(share * (1 << 20)))
     counted = chosen.select(F.col("text").cast("string"), F.col("lang").cast("string")).mapInArrow(_count, "lang string, bucket int, n long")
-    rows = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).orderBy("lang", "bucket").toArrow()
+    counted = materialize(counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "counts")
+    kept = counted.where(F.col("bucket") == BUCKETS).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).select("lang")
+    rows = counted.join(F.broadcast(kept), "lang").orderBy("lang", "bucket").toArrow()  # at most MOST_LANGUAGES * (BUCKETS + 1)
     names = sorted(set(rows["lang"].to_pylist()))
-    if len(names) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} label values")
     table_ = np.zeros((len(names), BUCKETS + 1))
     if len(names):
         table_[np.searchsorted(names, rows["lang"].to_pylist()), rows["bucket"].to_numpy()] = rows["n"].to_numpy()

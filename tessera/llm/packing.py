@@ -321,7 +321,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
         shared = spark.sparkContext.broadcast(f.read())  # a vocabulary file, of fixed size
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8(F.col("text")).alias("text"))
     read = own.mapInArrow(_tokens(shared), "doc_id long, doc_tokens long, whole array<long>, left binary, more binary, cell int")
-    read = materialize(read, "tokens")
+    read = materialize(read.withColumn("row", F.monotonically_increasing_id()), "tokens")  # parts equal rows that share a cell
 
     total = read.agg(F.count("*").alias("n"), F.sum(F.octet_length("left") / 2).alias("tokens")).first()
     counted = read.select("left", "more").mapInArrow(_frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # at most 65,536
@@ -335,7 +335,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     cells = [(r["cell"], r["size"]) for r in read.groupBy("cell").agg(F.sum(size).alias("size")).collect()]  # at most CELLS
     plan = shards(cells)
     places = F.broadcast(spark.createDataFrame(plan, "cell int, first int, parts int"))
-    dealt = read.drop("more").join(places, "cell").withColumn("shard", (F.col("first") + F.pmod(F.xxhash64("doc_id", "doc_tokens"), F.col("parts"))).cast("long"))
+    dealt = read.drop("more").join(places, "cell").withColumn("shard", (F.col("first") + F.pmod(F.xxhash64("doc_id", "doc_tokens", "row"), F.col("parts"))).cast("long"))
     kinds = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     grouped = dealt.select("shard", "doc_id", "doc_tokens", "whole", "left").groupBy("shard")
     return grouped.applyInArrow(_pack(frequencies), kinds)

@@ -200,6 +200,22 @@ def test_mixture_takes_prefixes(spark):
     assert kept.dtypes == docs.dtypes and 0 < kept.count() <= docs.count()
 
 
+@pytest.mark.parametrize("percent,epochs", [(90, 1), (35, 1), (60, 2)])
+def test_selection_keeps_to_the_budget(spark, percent, epochs):
+    """Null ids and rows that repeat count like all others: the words kept of a leaf are its target."""
+    rows = [(i, f"w{i} " * (i % 9), "en") for i in range(60)] + [(None, "no name here", "en")] * 20 + [(None, f"n{i} x", "en") for i in range(15)] + [(7, "again and again", "en")] * 25
+    docs = frame(spark, rows)
+    leaves = docs.select(mixing.domain_of(F.col("source")).alias("domain"), "lang", "source", mixing.words(F.col("text")).alias("n")).groupBy("domain", "lang", "source").agg(F.sum("n").alias("supply"))
+    want = {r["source"]: r["target"] for r in mixing.targets(leaves, percent, epochs).collect()}
+    kept = mixing.selected(docs, percent, epochs)
+    assert kept.dtypes == docs.dtypes
+    got = defaultdict(int)
+    for r in kept.collect():
+        got[r["source"]] += len(r["text"].split())
+        assert r["n_chars"] == len(r["text"])
+    assert {k: v for k, v in got.items() if v} == {k: v for k, v in want.items() if v}
+
+
 def test_mixing_sql(spark, tmp_path):
     rows = [r for r in texts() if r[0] is not None]
     frame(spark, rows).dropDuplicates(["doc_id"]).write.parquet(str(tmp_path / "documents.parquet"))
@@ -305,6 +321,13 @@ def test_rewrite_touches_affected_shards(spark, tmp_path):
     assert written.count() == 4 and {r["shard"] for r in written.collect()} == {0, 3}
 
 
+def test_many_equal_rows_are_parted(spark, monkeypatch):
+    """Rows of one id and text share a cell, which still becomes several shards."""
+    monkeypatch.setattr(packing.shards, "__defaults__", (3000,))
+    got = packing.pack(frame(spark, [(None, "the same text " * 20, "en")] * 200)).collect()
+    assert len({r["sequence_id"] >> 32 for r in got}) > 3 and sum(r["length"] for r in got) == 200 * got[0]["doc_tokens"]
+
+
 def test_pipeline_stages(spark, tmp_path, tokenizer):
     rows = [r for r in texts(120) if r[0] is not None]
     frame(spark, rows).dropDuplicates(["doc_id"]).write.parquet(str(tmp_path / "documents.parquet"))

@@ -236,3 +236,21 @@ def test_ledger_sql(spark, tmp_path):
     got = ledger.query(spark, str(tmp_path)).orderBy("doc_id").toPandas()
     assert got[sorted(got.columns)].astype(object).equals(want[sorted(want.columns)].astype(object))
     assert F is not None
+
+
+def test_more_labels_than_a_model_has(spark, monkeypatch):
+    """The languages with most documents are learned; counts are those of a plain loop."""
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 3)
+    monkeypatch.setattr(language, "COUNTED", 2)
+    rows = [(i, f"abc x{i}", f"l{i % 40}" if i % 3 else ("en" if i % 2 else "de")) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    assert len(model.languages) == 3 and {"en", "de"} <= set(model.languages)
+    learned = [(t, lang) for (i, t, lang) in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    plain = np.zeros((3, language.BUCKETS))
+    for t, lang in learned:
+        if lang in model.languages:
+            for g in language.grams(language.prepared(t)):
+                np.add.at(plain[model.languages.index(lang)], g, 1)
+    want = np.log((plain + 0.5) / (plain + 0.5).sum(axis=1, keepdims=True))
+    assert np.allclose(model.matrix.T, want)
