@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import discard, materialize
+from ..sources.shared import discard, materialize, shared_root, small_batches
 
-__all__ = ["discard", "fresh", "join_salted", "materialize", "small_batches", "table", "utf8"]
+__all__ = ["discard", "fresh", "join_salted", "materialize", "shared_root", "small_batches", "table", "utf8"]
 
 #: Bytes that separate words: space and the controls 9 to 13. ``bytes.split()`` cuts at exactly these.
 SPACES = " \t\n\x0b\x0c\r"
@@ -48,9 +48,3 @@ def join_salted(rows: DataFrame, keyed: DataFrame, key: list[str]) -> DataFrame:
 def utf8(text: Column) -> Column:
     """The UTF-8 bytes of a text; null counts as empty."""
     return F.coalesce(text, F.lit("")).cast("binary")
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Bound an Arrow batch by rows as well as bytes, since one document may be megabytes long."""
-    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "2000"), ("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))):
-        spark.conf.set(key, value)

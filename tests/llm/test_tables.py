@@ -297,10 +297,23 @@ def test_flow_moves_the_fewest_bytes(seed):
     assert sum(takes) == sum(c[2] - stay[c[0], c[1]] for c in cells)
 
 
+def fewest_bytes(rows, n):
+    """Bytes that have to move, for rows (old shard, size): smallest first, and the dearest last rows spared."""
+    floor, extra = divmod(len(rows), n)
+    must, last = 0, []
+    for shard in {s for s, _ in rows}:
+        sizes = sorted(z for s, z in rows if s == shard)
+        over = len(sizes) if shard >= n else len(sizes) - floor
+        must += sum(sizes[: max(over, 0)])
+        if shard < n and over > 0:
+            last.append(sizes[over - 1])
+    return must - sum(sorted(last)[-extra:] if extra else [])
+
+
 @pytest.mark.parametrize("block_rows", [3, 50_000])
 def test_resharding(spark, monkeypatch, block_rows):
     monkeypatch.setattr(resharding, "BLOCK_ROWS", block_rows)
-    rows = texts(200)
+    rows = [*texts(200), *[(None, "again", "en")] * 30]
     got = resharding.reshard(frame(spark, rows)).collect()
     assert sorted((str(r["doc_id"]), r["size"], r["text_crc32"]) for r in got) == sorted((str(i), len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t, _ in rows)
     slots = defaultdict(list)
@@ -309,16 +322,40 @@ def test_resharding(spark, monkeypatch, block_rows):
         assert r["moved"] == (r["shard"] != r["old_shard"])
     assert sorted(slots) == list(range(40)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+    assert sum(r["size"] for r in got if r["moved"]) == fewest_bytes([(r["old_shard"], r["size"]) for r in got], 40)
     assert resharding.reshard(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("old_shards,new_shards", [(7, 5), (5, 5), (3, 8), (1, 4)])
+def test_the_fewest_bytes_move(spark, old_shards, new_shards):
+    rng = random.Random(old_shards)
+    docs = frame(spark, [(i, "x" * int(rng.paretovariate(0.7) * 20) if i % 9 else "same", "en") for i in range(150)])
+    got = resharding.reshard(docs, resharding.old_shard(old_shards), new_shards).collect()
+    assert sum(r["size"] for r in got if r["moved"]) == fewest_bytes([(r["old_shard"], r["size"]) for r in got], new_shards)
+    count = defaultdict(int)
+    for r in got:
+        count[r["shard"]] += 1
+    assert max(count.values()) - min(count.values()) <= 1 and len(count) == new_shards
+
+
 def test_rewrite_touches_affected_shards(spark, tmp_path):
-    docs = spark.createDataFrame([(i, "t" * (i % 7)) for i in range(8)], "doc_id long, text string")
+    kinds = "doc_id long, text string, shard string, slot int, size string, moved long, old_shard string, text_crc32 int, row string"
+    docs = spark.createDataFrame([(i, "t" * (i % 7), f"s{i}", i, "z", 1, "o", 2, "r") for i in range(8)], kinds)
     old = F.when(F.col("doc_id") < 4, 0).when(F.col("doc_id") < 6, 1).otherwise(2)
-    touched = resharding.rewrite(docs, str(tmp_path / "out"), old, 4)
-    assert sorted(r["shard"] for r in touched.collect()) == [0, 3]
+    placed = resharding.rewrite(docs, str(tmp_path / "out"), old, 4).collect()
+    assert sorted((r["doc_id"], r["old_shard"]) for r in placed) == [(i, 0 if i < 4 else 1 if i < 6 else 2) for i in range(8)]
     written = spark.read.parquet(str(tmp_path / "out"))
     assert written.count() == 4 and {r["shard"] for r in written.collect()} == {0, 3}
+    assert sorted(tuple(r["row"]) for r in written.collect()) == sorted(tuple(r) for r in docs.where("doc_id < 4").collect())
+
+
+def test_resharding_query(spark):
+    """The registered query: every document once, from the files that were written."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    got = resharding.query(spark, "/root/testdata/sf0.01").collect()
+    want = {r["doc_id"]: (len(r["text"].encode()) + 16, zlib.crc32(r["text"].encode())) for r in docs}
+    assert {r["doc_id"]: (r["size"], r["text_crc32"]) for r in got} == want and len(got) == len(docs)
+    assert sum(r["size"] for r in got if r["moved"]) == fewest_bytes([(r["old_shard"], r["size"]) for r in got], 40)
 
 
 def test_many_equal_rows_are_parted(spark, monkeypatch):
