@@ -72,44 +72,26 @@ def is_binary(content: Column) -> Column:
 
 # Patterns of secrets, by name; byte patterns, so classes and cases are ASCII's.
 SECRETS = {
-    "private_key": rb"-----BEGIN (?:RSA |EC |OPENSSH |DSA )?PRIVATE KEY-----",
-    "aws_key": rb"(?<![A-Z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Z0-9])",
-    "github_token": rb"(?<![A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{36,255}",
-    "github_pat": rb"github_pat_[A-Za-z0-9_]{20,255}",
-    "slack_token": rb"xox[baprs]-[A-Za-z0-9-]{10,}",
-    "assigned": rb"(?i)(?:api[_-]?key|client[_-]?secret|access[_-]?token|auth[_-]?token|password|passwd)\s*[:=]\s*['\"]?[A-Za-z0-9_./+=-]{8,}",
-}
-#: Wider ones; a match counts where none of its name above overlaps it.
-MORE_SECRETS = {
-    "aws_key": rb"AKIA[0-9A-Z]{16}",
-    "github_token": rb"gh[pousr]_[A-Za-z0-9]{36,255}",
-    "private_key": rb"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----",
-    "bearer": rb"[Bb]earer [A-Za-z0-9._~+/-]{20,}",
-    "assigned": rb"(?:token|secret|password|api_key) ?[=:] ?[\"'][^\"'\s]{8,}[\"']",
+    "private-key-header": rb"-----BEGIN (?:RSA |EC |OPENSSH |DSA )?PRIVATE KEY-----",
+    "aws-access-key": rb"(?<![A-Z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Z0-9])",
+    "github-token": rb"(?<![A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{36,255}",
+    "github-fine-grained-token": rb"github_pat_[A-Za-z0-9_]{20,255}",
+    "slack-token": rb"xox[baprs]-[A-Za-z0-9-]{10,}",
+    "assigned-secret": rb"(?i)(?:api[_-]?key|client[_-]?secret|access[_-]?token|auth[_-]?token|password|passwd)\s*[:=]\s*['\"]?[A-Za-z0-9_./+=-]{8,}",
 }
+#: Findings that a document reports at most, unless all are asked for.
 MOST_SECRETS = 1000
 
 
 def find_secrets(data: bytes, most: int | None = None) -> tuple[list[tuple[str, int]], bool]:
     """Name and line of every match by place, and whether there were more than ``most``; the first are kept by pattern."""
-    found, spans = [], {}
-    for name, pattern in SECRETS.items():
-        spans[name] = [m.span() for m in re.finditer(pattern, data)]
-        found += [(s, name) for s, _ in spans[name]]
-    for name, pattern in MORE_SECRETS.items():
-        taken, at = spans.get(name, []), 0
-        for m in re.finditer(pattern, data):
-            while at < len(taken) and taken[at][1] <= m.start():
-                at += 1
-            if at == len(taken) or taken[at][0] >= m.end():
-                found.append((m.start(), name))
-    cut = most is not None and len(found) > most
+    found = [(m.start(), name) for name, pattern in SECRETS.items() for m in re.finditer(pattern, data)]
     rows, line, before = [], 1, 0
     for at, name in sorted(found[:most]):
         line += data.count(b"\n", before, at)
         before = at
         rows.append((name, line))
-    return rows, cut
+    return rows, most is not None and len(found) > most
 
 
 @F.arrow_udf(T.BinaryType())
@@ -117,8 +99,8 @@ def _redact(texts: pa.Array) -> pa.Array:
     out = []
     for t in texts:
         data = t.as_py()
-        for pattern in [*SECRETS.values(), *MORE_SECRETS.values()] if data is not None else ():
-            data = re.sub(pattern, b"[redacted]", data)
+        for name, pattern in SECRETS.items() if data is not None else ():
+            data = re.sub(pattern, f"[REDACTED:{name}]".encode(), data)
         out.append(data)
     return pa.array(out, pa.binary())
 
@@ -143,7 +125,7 @@ def secrets(rows: DataFrame, text: str = "text", most: int | None = MOST_SECRETS
 
 
 def redacted(text: Column) -> Column:
-    """The text with every secret replaced."""
+    """The text with every secret replaced by its name, pattern by pattern."""
     return _redact(text.cast("binary")).cast("string")
 
 

@@ -334,43 +334,74 @@ def q28_digests(spark, sf_dir):
 Q28 = "SELECT doc_id, sha256(text) AS sha256 FROM documents"
 
 
-def q29_secrets(spark, sf_dir):
+# Each text with a line after it that holds a secret of one kind, or something just short of one. Spark and DuckDB read it alike.
+_HASH = "md5(CAST(doc_id AS VARCHAR(20)))"
+_SEEDED = f"""concat(text, chr(10), CASE doc_id % 8 WHEN 0 THEN concat('AKIA', upper(substr({_HASH}, 1, 16)), ' ASIA', upper(substr({_HASH}, 3, 16)))
+  WHEN 1 THEN concat('ASIA', upper(substr({_HASH}, 1, 16)), 'X') WHEN 2 THEN concat('ghp_', {_HASH}, {_HASH}, chr(10), 'gho_', {_HASH}, 'abcdef') WHEN 3 THEN concat('github_pat_', {_HASH})
+  WHEN 4 THEN concat('xoxb-', {_HASH}, ' xoxs-123') WHEN 5 THEN concat('Password : "', {_HASH}, '"', chr(10), 'api-key', chr(10), '=', {_HASH}, ' client_secret=', {_HASH})
+  WHEN 6 THEN '-----BEGIN RSA PRIVATE KEY-----' ELSE concat('xghp_', {_HASH}, {_HASH}, ' passwd=short') END)"""
+
+
+def _seeded(spark, sf_dir) -> DataFrame:
     small_batches(spark)
-    return reports.secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), most=None).select("doc_id", "kind", "line")
+    return table(spark, sf_dir, "documents").select("doc_id", F.expr(_SEEDED).alias("text"))
 
 
-#: What the SQL of q29 and q30 was written with: narrower than the queries, and only the first match of each (see the README).
-_SQL_SECRETS = {
-    "aws_key": "AKIA[0-9A-Z]{16}",
-    "github_token": "gh[pousr]_[A-Za-z0-9]{36,255}",
-    "private_key": "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----",
-    "slack_token": "xox[baprs]-[A-Za-z0-9-]{10,72}",
-    "bearer": "[Bb]earer [A-Za-z0-9._~+/-]{20,}",
-    "assigned": "(?:token|secret|password|api_key) ?[=:] ?[\"'][^\"'\\s]{8,}[\"']",
+def q29_secrets(spark, sf_dir):
+    return reports.secrets(_seeded(spark, sf_dir), most=None).select("doc_id", "kind", "line")
+
+
+# The same patterns without looking around: a key is a whole run of its letters, a token may take the character before it.
+_RUN = "[A-Z0-9]+"
+_KEY = "(AKIA|ASIA)[A-Z0-9]{16}"
+_TOKEN = "(^|[^A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{36,255}"
+_PLAIN = {
+    "private-key-header": "-----BEGIN (RSA |EC |OPENSSH |DSA )?PRIVATE KEY-----",
+    "github-fine-grained-token": "github_pat_[A-Za-z0-9_]{20,255}",
+    "slack-token": "xox[baprs]-[A-Za-z0-9-]{10,}",
+    "assigned-secret": "(?i)(api[_-]?key|client[_-]?secret|access[_-]?token|auth[_-]?token|password|passwd)[\\x09-\\x0D ]*[:=][\\x09-\\x0D ]*[''\"]?[A-Za-z0-9_./+=-]{8,}",
 }
+_MARK = "chr(1) || chr(2)"
+
+
+def _secrets_sql() -> str:
+    """Matches and what lies between them, for each pattern; a match's line follows from the line ends before it."""
+    parts = [
+        f"SELECT doc_id, '{name}' AS kind, regexp_extract_all(text, '{pattern}') AS m, string_split(regexp_replace(text, '{pattern}', {_MARK}, 'g'), {_MARK}) AS s FROM docs"
+        for name, pattern in [("aws-access-key", _RUN), ("github-token", _TOKEN), *_PLAIN.items()]
+    ]
+    ends = "coalesce(list_sum(list_transform({}, lambda x: len(x) - len(replace(x, chr(10), '')))), 0)"
+    return f"""
+WITH docs AS (SELECT doc_id, {_SEEDED} AS text FROM documents),
+h AS ({" UNION ALL ".join(parts)}),
+e AS (SELECT doc_id, kind, m, s, unnest(generate_series(1, len(m))) AS i FROM h WHERE len(m) > 0)
+SELECT doc_id, kind, CAST(1 + {ends.format("s[1:i]")} + {ends.format("m[1:i-1]")} + (CASE WHEN starts_with(m[i], chr(10)) THEN 1 ELSE 0 END) AS BIGINT) AS line
+FROM e WHERE kind <> 'aws-access-key' OR regexp_full_match(m[i], '{_KEY}')
+"""
 
 
-Q29 = (
-    "WITH p AS (SELECT * FROM (VALUES "
-    + ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in _SQL_SECRETS.items())
-    + """) t(kind, pattern)),
-h AS (SELECT doc_id, kind, text, regexp_extract(text, pattern) AS found FROM documents, p WHERE regexp_matches(text, pattern))
-SELECT doc_id, kind, CAST(1 + len(string_split(substr(text, 1, strpos(text, found) - 1), chr(10))) - 1 AS BIGINT) AS line FROM h
-"""
-)
+Q29 = _secrets_sql()
 
 
 def q30_redacted_texts(spark, sf_dir):
-    small_batches(spark)
-    docs = table(spark, sf_dir, "documents")
+    docs = _seeded(spark, sf_dir)
     return docs.select("doc_id", F.sha2(reports.redacted(F.col("text")).cast("binary"), 256).alias("sha256"))
 
 
 def _redacted_sql() -> str:
-    text = "text"
-    for pattern in _SQL_SECRETS.values():
-        text = "regexp_replace({}, '{}', '[redacted]', 'g')".format(text, pattern.replace("'", "''"))
-    return f"SELECT doc_id, sha256({text}) AS sha256 FROM documents"
+    def plain(text: str, name: str) -> str:
+        return f"regexp_replace({text}, '{_PLAIN[name]}', '[REDACTED:{name}]', 'g')"
+
+    token = f"regexp_replace(t, '{_TOKEN}', '\\1[REDACTED:github-token]', 'g')"
+    rest = plain(plain(plain(token, "github-fine-grained-token"), "slack-token"), "assigned-secret")
+    key = f"CASE WHEN regexp_full_match(m[i], '{_KEY}') THEN '[REDACTED:aws-access-key]' ELSE m[i] END"
+    return f"""
+WITH docs AS (SELECT doc_id, {_SEEDED} AS text FROM documents),
+a AS (SELECT doc_id, {plain("text", "private-key-header")} AS t FROM docs),
+r AS (SELECT doc_id, t, regexp_extract_all(t, '{_RUN}') AS m, string_split(regexp_replace(t, '{_RUN}', {_MARK}, 'g'), {_MARK}) AS s FROM a),
+k AS (SELECT doc_id, array_to_string(list_transform(generate_series(1, len(m)), lambda i: s[i] || {key}), '') || s[len(m) + 1] AS t FROM r)
+SELECT doc_id, sha256({rest}) AS sha256 FROM k
+"""
 
 
 Q30 = _redacted_sql()
