@@ -1,8 +1,9 @@
 """URL filtering by a tree of path templates, below fixed host rules.
 
 For each host the paths form a tree of segments. A segment that looks like a number, a hash or a date is generalised by
-its look; a node with many children of few pages each has all of them generalised. Sibling branches whose labelled
-purity is statistically alike then merge into one template. A template is rejected when its labelled purity, smoothed
+its look; a node with many children of few pages each has all of them generalised, level by level, as long as a node has
+pages enough for that. Then, from the deepest level up, sibling branches that go on alike and whose labelled purity is
+statistically alike merge into one template. A template is rejected when its labelled purity, smoothed
 towards the whole table's, is mostly bad. Everything is sums by key, so a host with most pages is no bottleneck.
 """
 
@@ -16,8 +17,8 @@ from .base import materialize, table
 #: (rule, verdict); a rule is a host and a path joined.
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
 
-#: Segments that are levels of the tree; those after them are one generalised tail.
-DEPTH = 4
+#: Levels that the SQL goes down and merges; the operator has no such limit.
+SQL_LEVELS = 8
 #: A node with more children than this, of at most so many pages each on average, has them generalised.
 MOST_CHILDREN, FEW_PAGES = 16, 4
 #: Branches merge when their bad share is within so many standard errors of what they share.
@@ -61,38 +62,51 @@ def templates(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """
     label = labels.where("label_id IS NOT NULL").groupBy("label_id").agg(F.max("bad").alias("bad"))
     tree = pages.join(label, pages["page_id"] == F.col("label_id"), "left").drop("label_id")
-    cut = F.split(F.substring("path", 2, 1 << 30), "/")
-    segment = [F.get(cut, i) for i in range(DEPTH)]
-    tree = tree.withColumns({f"segment{i}": F.when(segment[i].isNotNull(), _look(segment[i])) for i in range(DEPTH)})
-    tree = tree.withColumn("tail", F.when(F.size(cut) > DEPTH, F.lit("/{tail}")).otherwise("")).withColumn("template", F.lit(""))
-    for i in range(DEPTH):
-        name = f"segment{i}"
-        children = tree.where(F.col(name).isNotNull()).groupBy("host", "template", name).agg(F.count("*").alias("n"))
-        wide = children.groupBy("host", "template").agg(F.count("*").alias("c"), F.sum("n").alias("n")).where((F.col("c") > MOST_CHILDREN) & (F.col("n") <= FEW_PAGES * F.col("c")))
+    tree = tree.withColumn("cut", F.transform(F.split(F.substring("path", 2, 1 << 30), "/"), _look)).withColumn("template", F.lit(""))
+    tree = materialize(tree, "segments")
+    level = 0
+    while True:
+        here = tree.where(F.size("cut") > level)
+        children = here.groupBy("host", "template", F.get("cut", F.lit(level)).alias("segment")).agg(F.count("*").alias("n"))
+        nodes = materialize(children.groupBy("host", "template").agg(F.count("*").alias("c"), F.sum("n").alias("n")), "nodes")
+        largest = nodes.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first()["n"]  # one number
+        if largest <= MOST_CHILDREN:  # from here on no node can have too many children
+            break
+        wide = nodes.where((F.col("c") > MOST_CHILDREN) & (F.col("n") <= FEW_PAGES * F.col("c")))
         wide = wide.select(F.col("host").alias("wide_host"), F.col("template").alias("wide_template"))
         at_wide = (tree["host"] == F.col("wide_host")) & (tree["template"] == F.col("wide_template"))
-        step = F.when(F.col(name).isNull(), "").otherwise(F.concat(F.lit("/"), F.when(F.col("wide_host").isNotNull(), F.lit("*")).otherwise(F.col(name))))
-        tree = tree.join(wide, at_wide, "left").withColumn("template", F.concat("template", step)).drop("wide_host", "wide_template", name)
-    return materialize(tree.select("page_id", "host", "path", F.concat("template", "tail").alias("template"), "bad"), "templates")
+        segment = F.when(F.col("wide_host").isNotNull(), F.lit("*")).otherwise(F.get("cut", F.lit(level)))
+        step = F.when(F.size("cut") > level, F.concat(F.lit("/"), segment)).otherwise("")
+        tree = materialize(tree.join(wide, at_wide, "left").withColumn("template", F.concat("template", step)).drop("wide_host", "wide_template"), "tree")
+        level += 1
+    rest = F.when(F.size("cut") > level, F.concat(F.lit("/"), F.array_join(F.slice("cut", level + 1, F.size("cut")), "/"))).otherwise("")
+    return materialize(tree.select("page_id", "host", "path", F.concat("template", rest).alias("template"), "bad"), "templates")
 
 
 def merged(tree: DataFrame) -> DataFrame:
     """``host, template, branch, n_labelled, n_bad`` for each template of a host.
 
-    Siblings have the same host and the same segments but the first. Their labels are pooled; a branch whose bad share
-    lies within ``ALIKE`` standard errors of the pooled one is alike, and those alike are one branch (first segment ``*``).
-    A branch without labels is like its siblings.
+    From the deepest level up: siblings have the same host and the same segments but that of the level. Their labels are
+    pooled; one whose bad share lies within ``ALIKE`` standard errors of the pooled one is alike, and those alike become
+    one branch (``*`` at the level), which goes up with the labels of all. A branch without labels is like its siblings;
+    one without siblings stays as it is.
     """
     own = tree.groupBy("host", "template").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("b"))
-    own = own.withColumn("branch", F.regexp_replace("template", "^/[^/]+", "/*"))
-    pool = own.groupBy("host", "branch").agg(F.sum("n").alias("pool_n"), F.sum("b").alias("pool_b"))
-    # (b/n - B/N)^2 <= ALIKE^2 * (B/N) * (1 - B/N) / n, in whole numbers
-    n, b, of_n, of_b = (F.col(c).cast("double") for c in ("n", "b", "pool_n", "pool_b"))  # no overflow in a large table
-    apart = F.pow(b * of_n - of_b * n, F.lit(2))
-    alike = apart <= ALIKE * ALIKE * of_b * (of_n - of_b) * n
-    own = own.join(pool, ["host", "branch"]).withColumn("joined", F.when(alike, F.col("branch")).otherwise(F.col("template")))
-    both = own.groupBy("host", "joined").agg(F.sum("n").alias("n_labelled"), F.sum("b").alias("n_bad"))
-    return own.select("host", "template", "joined").join(both, ["host", "joined"]).select("host", "template", F.col("joined").alias("branch"), F.col("n_labelled").cast("long"), F.col("n_bad").cast("long"))
+    own = materialize(own.withColumn("branch", F.col("template")), "branches")
+    deepest = own.agg(F.coalesce(F.max(F.size(F.split("template", "/"))), F.lit(0)).alias("n")).first()["n"]  # one number
+    for at in range(deepest, 1, -1):  # the first part of a template is empty
+        part = F.split("branch", "/")
+        starred = F.array_join(F.concat(F.slice(part, 1, at - 1), F.array(F.lit("*")), F.slice(part, at + 1, F.size(part))), "/")
+        sums = own.groupBy("host", "branch").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
+        sums = sums.withColumn("star", F.when(F.size(part) >= at, starred).otherwise(F.col("branch")))
+        pool = sums.groupBy("host", "star").agg(F.sum("n").alias("pool_n"), F.sum("b").alias("pool_b"), F.count("*").alias("members"))
+        # (b/n - B/N)^2 <= ALIKE^2 * (B/N) * (1 - B/N) / n, in whole numbers
+        n, b, of_n, of_b = (F.col(c).cast("double") for c in ("n", "b", "pool_n", "pool_b"))  # no overflow in a large table
+        alike = F.pow(b * of_n - of_b * n, F.lit(2)) <= ALIKE * ALIKE * of_b * (of_n - of_b) * n
+        moved = sums.join(pool, ["host", "star"]).where((F.col("members") > 1) & alike & (F.col("star") != F.col("branch"))).select("host", "branch", "star")
+        own = materialize(own.join(moved, ["host", "branch"], "left").select("host", "template", "n", "b", F.coalesce("star", "branch").alias("branch")), "branches")
+    both = own.groupBy("host", "branch").agg(F.sum("n").cast("long").alias("n_labelled"), F.sum("b").cast("long").alias("n_bad"))
+    return own.select("host", "template", "branch").join(both, ["host", "branch"]).select("host", "template", "branch", "n_labelled", "n_bad")
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:
@@ -120,7 +134,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]] = RU
 def page_labels(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """Labels of pages: those of the document whose number ends the path. Bad is of low quality, or toxic."""
     _, path = parts(F.col("url"))
-    number = F.regexp_extract(path, "/([0-9]{1,18})(?:[.][a-z]+)?/?$", 1).try_cast("long")
+    number = F.regexp_extract(path, "/([0-9]{1,19})(?:[.][a-z]+)?/?$", 1).try_cast("long")
     shown = pages.select("page_id", number.alias("shown")).where("shown IS NOT NULL")
     marks = labels.select(F.col("doc_id").alias("shown"), F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0).alias("bad"))
     return shown.join(marks, "shown").select(F.col("page_id").alias("label_id"), "bad")
@@ -139,6 +153,16 @@ t{i + 1} AS (SELECT t.* REPLACE (t.tpl || CASE WHEN len(s) <= {i} THEN '' WHEN k
      FROM {last} t LEFT JOIN k{i} k ON k.host = t.host AND k.tpl = t.tpl),"""
 
 
+def _merge_sql(at: int) -> str:
+    last = f"m{at + 1}"
+    return f"""
+s{at} AS (SELECT host, branch, sum(n) AS n, sum(b) AS b, string_split(branch, '/') AS part FROM {last} GROUP BY host, branch),
+x{at} AS (SELECT *, CASE WHEN len(part) >= {at} THEN array_to_string(list_concat(part[1:{at - 1}], ['*'], part[{at + 1}:]), '/') ELSE branch END AS star FROM s{at}),
+p{at} AS (SELECT host, star, sum(n) AS pn, sum(b) AS pb, count(*) AS members FROM x{at} GROUP BY host, star),
+v{at} AS (SELECT host, branch, star FROM x{at} JOIN p{at} USING (host, star) WHERE members > 1 AND (b * pn - pb * n) * (b * pn - pb * n) <= {ALIKE * ALIKE} * pb * (pn - pb) * n),
+m{at} AS (SELECT m.* REPLACE (coalesce(star, m.branch) AS branch) FROM {last} m LEFT JOIN v{at} v ON v.host = m.host AND v.branch = m.branch),"""
+
+
 def _sql() -> str:
     look = " ".join(f"WHEN regexp_matches(x, '{p}') THEN '{n}'" for p, n in LOOKS)
     fits = []
@@ -150,18 +174,17 @@ def _sql() -> str:
 WITH p AS (SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)([^?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '^([^/?#]*)([^?#]*)', 2) AS path FROM p),
 lab AS (SELECT page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM h JOIN labels l
-        ON l.doc_id = TRY_CAST(regexp_extract(path, '/([0-9]{{1,18}})(?:[.][a-z]+)?/?$', 1) AS BIGINT) GROUP BY page_id),
+        ON l.doc_id = TRY_CAST(regexp_extract(path, '/([0-9]{{1,19}})(?:[.][a-z]+)?/?$', 1) AS BIGINT) GROUP BY page_id),
 t0 AS (SELECT h.page_id, host, path, bad, '' AS tpl, list_transform(string_split(substr(path, 2), '/'), lambda x: CASE {look} ELSE x END) AS s FROM h LEFT JOIN lab ON lab.page_id = h.page_id),
-{''.join(_level_sql(i) for i in range(DEPTH))}
-t AS (SELECT page_id, host, path, bad, CASE {' '.join(fits)} END AS rule, tpl || CASE WHEN len(s) > {DEPTH} THEN '/{{tail}}' ELSE '' END AS tpl FROM t{DEPTH}),
-own AS (SELECT host, tpl, regexp_replace(tpl, '^/[^/]+', '/*') AS branch, count(bad) AS n, coalesce(sum(bad), 0) AS b FROM t GROUP BY host, tpl),
-pool AS (SELECT host, branch, sum(n) AS pn, sum(b) AS pb FROM own GROUP BY host, branch),
-j AS (SELECT own.*, CASE WHEN (b * pn - pb * n) * (b * pn - pb * n) <= {ALIKE * ALIKE} * pb * (pn - pb) * n THEN own.branch ELSE tpl END AS joined FROM own JOIN pool USING (host, branch)),
-m AS (SELECT host, joined, sum(n) AS n_labelled, sum(b) AS n_bad FROM j GROUP BY host, joined),
+{''.join(_level_sql(i) for i in range(SQL_LEVELS))}
+t AS (SELECT page_id, host, path, bad, CASE {' '.join(fits)} END AS rule, tpl FROM t{SQL_LEVELS}),
+m{SQL_LEVELS + 2} AS (SELECT host, tpl, tpl AS branch, count(bad) AS n, coalesce(sum(bad), 0) AS b FROM t GROUP BY host, tpl),
+{''.join(_merge_sql(at) for at in range(SQL_LEVELS + 1, 1, -1))}
+m AS (SELECT host, branch, sum(n) AS n_labelled, sum(b) AS n_bad FROM m2 GROUP BY host, branch),
 w AS (SELECT greatest(count(bad), 1) AS aln, coalesce(sum(bad), 0) AS alb FROM t),
-o AS (SELECT page_id, t.host, path, rule, m.joined AS template, n_labelled, n_bad,
+o AS (SELECT page_id, t.host, path, rule, m.branch AS template, n_labelled, n_bad,
         100 * (n_bad * aln + {SMOOTHING} * alb) >= {REJECT_PERCENT} * (n_labelled + {SMOOTHING}) * aln AS reject
-      FROM t JOIN j ON j.host = t.host AND j.tpl = t.tpl JOIN m ON m.host = j.host AND m.joined = j.joined, w)
+      FROM t JOIN m2 ON m2.host = t.host AND m2.tpl = t.tpl JOIN m ON m.host = m2.host AND m.branch = m2.branch, w)
 SELECT page_id, host, path, rule, CASE rule {said} ELSE CASE WHEN reject THEN 'block' ELSE 'allow' END END AS verdict, template,
        CAST(n_labelled AS BIGINT) AS n_labelled, CAST(n_bad AS BIGINT) AS n_bad FROM o
 """
