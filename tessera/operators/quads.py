@@ -56,6 +56,12 @@ def summary(quads: DataFrame) -> DataFrame:
     return quads.groupBy("doc_id", *_PARTS).agg(F.count("*").alias("n"))
 
 
+def canonical(quads: DataFrame) -> DataFrame:
+    """Quads with ``position`` in the canonical order of their document: by subject, predicate, object and graph, repeated ones kept."""
+    order = Window.partitionBy("doc_id").orderBy("s_kind", "s", "p", "o_kind", "o", "o_datatype", "o_lang", "g_kind", "g")
+    return quads.withColumn("position", F.row_number().over(order) - 1)
+
+
 def with_progress(quads: DataFrame) -> DataFrame:
     """Quads with the running totals that budgets look at: ``emitted`` and ``kept_bytes`` up to each."""
     size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in ("s", "p", "o", "o_datatype", "o_lang", "g")), F.lit(0))

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.sources.shared import materialize
+
 
 def corpus_report(outcomes: DataFrame, expected: DataFrame | None = None) -> DataFrame:
     """One row for a corpus: outcomes counted by expectation, and sums and maxima of sizes and structure.
@@ -129,6 +131,35 @@ def redacted(text: Column) -> Column:
     return _redact(text.cast("binary")).cast("string")
 
 
+def checksum_problems(files: DataFrame, listed: DataFrame) -> DataFrame:
+    """``path, problem`` where ``files(path, content)`` and the digests ``listed(path, sha256)`` differ.
+
+    ``missing`` is listed only, ``unlisted`` isn't, ``mismatch`` has another digest, ``repeated`` is listed more than once.
+    Contents aren't moved: their digests are.
+    """
+    own = files.select("path", F.sha2("content", 256).alias("own"))
+    told = listed.groupBy("path").agg(F.min("sha256").alias("sha256"), F.count("*").alias("n"))
+    problem = F.when(F.col("own").isNull(), "missing").when(F.col("sha256").isNull(), "unlisted").when(F.col("n") > 1, "repeated").when(F.col("own") != F.col("sha256"), "mismatch")
+    return own.join(told, "path", "full").select("path", problem.alias("problem")).where("problem IS NOT NULL")
+
+
+def closure(links: DataFrame, roots: DataFrame, most: int | None = None) -> DataFrame:
+    """``node, steps``: what can be reached from ``roots(node)`` over ``links(child, parent)``, with the fewest steps.
+
+    A round follows the links of what the round before found first, so cycles end. More than ``most`` nodes are an error.
+    """
+    found = materialize(roots.select(F.col("node").cast("long").alias("node")).distinct().withColumn("steps", F.lit(0).cast("long")), "closure")
+    last, steps = found, 0
+    while not last.isEmpty():
+        if most is not None and found.count() > most:
+            raise ValueError(f"more than {most} nodes are reached")
+        steps += 1
+        ahead = links.join(last, F.col("child") == F.col("node")).select(F.col("parent").cast("long").alias("node")).distinct()
+        last = materialize(ahead.join(found, "node", "left_anti").withColumn("steps", F.lit(steps).cast("long")), "closure")
+        found = found.unionAll(last)
+    return found
+
+
 def pointer(values: DataFrame, path: str) -> DataFrame:
     """The values a JSON Pointer names, one for each document that has it: a join for each step."""
     at = values.where("value_id = 0")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import projection, quads, reports
 from tessera.options import ReadOptions
-from tessera.plans import workload
+from tessera.plans import cases, workload
 from tessera.plans.corpus import Corpus
 from tessera.sources.documents import from_text, stress_documents
 from tessera.sources.shared import small_batches
@@ -456,9 +456,14 @@ def q34_stress(spark, sf_dir):
     return cases.select("doc_id", "name", "family", "expected_quads", "expected_stage").join(made.select("doc_id", "outcome", "stage", "emitted_rdf_quads", "total_values", "max_nesting_depth"), "doc_id")
 
 
+def _named(first: str) -> dict:
+    return {n: x for n, x in {**globals(), **vars(cases)}.items() if n[0] == first and n[1:3].isdigit()}
+
+
 def queries() -> dict[str, Callable]:
-    return {name: f for name, f in globals().items() if name[0] == "q" and name[1:3].isdigit()}
+    return _named("q")
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: globals()[sql] for name in queries() if (sql := "Q" + name[1:3]) in globals()}
+    sql = _named("Q")
+    return {name: sql["Q" + name[1:3]] for name in queries() if "Q" + name[1:3] in sql}

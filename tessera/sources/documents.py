@@ -32,7 +32,7 @@ def read_folder(spark: SparkSession, path: str, reject_symlinks: bool = False) -
             if any(os.path.islink(os.path.join(folder, f)) for f in files):
                 raise ValueError("a document is a symbolic link")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", PATTERN).load(path)
-    return files.select(F.xxhash64("path").alias("doc_id"), "path", "content", "length").dropDuplicates(["path"])
+    return files.select(F.xxhash64("path").alias("doc_id"), "path", "content", "length")  # a listing has each path once
 
 
 def from_text(rows: DataFrame, doc_id: str, text: str) -> DataFrame:
