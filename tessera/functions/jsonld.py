@@ -18,6 +18,7 @@ from typing import Any, NamedTuple
 from tessera.functions.iri import is_absolute_iri, resolve
 
 RDF, XSD = "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "http://www.w3.org/2001/XMLSchema#"
+_LANG_STRING, _STRING = RDF + "langString", XSD + "string"
 # The keywords of JSON-LD 1.1.
 KEYWORDS = frozenset(
     "@base @container @context @default @direction @graph @id @import @included @index @json @language @list @nest @none @prefix @propagate @protected @reverse @set @type @value @version @vocab".split()
@@ -407,8 +408,12 @@ class Reader:
     def values(self, subject, predicate, definition, value, ctx, graph, back, usable) -> Iterator[Quad]:
         if isinstance(value, list) and not isinstance(value, Members):
             plain = usable and not back and not (definition and definition.type == "@json")
+            datatype, language = self.text_kind(definition, ctx)
+            simple, new = plain and datatype is not None, tuple.__new__  # the tuples of many strings, made directly
             for each in value:
-                if plain and isinstance(each, (str, bool)):
+                if simple and type(each) is str:
+                    yield new(Quad, (subject, predicate, new(Term, ("literal", each, datatype, language)), graph))
+                elif plain and isinstance(each, (str, bool)):
                     term = self.scalar(definition, each, ctx)
                     if term is not None:
                         yield Quad(subject, predicate, term, graph)
@@ -483,10 +488,17 @@ class Reader:
             return self.resource(expand_iri(value, ctx, relative=True))
         if kind == "@vocab":
             return self.resource(expand_iri(value, ctx, relative=True, vocab=True))
-        if datatype:
-            return Term("literal", value, datatype)
+        return Term("literal", value, *self.text_kind(definition, ctx))
+
+    def text_kind(self, definition: Definition | None, ctx: Context) -> tuple[str | None, str | None]:
+        """Data type and language of a string under a definition; no type where it stands for a resource."""
+        kind = definition.type if definition else None
+        if kind in ("@id", "@vocab"):
+            return None, None
+        if kind not in (None, "@none"):
+            return kind, None
         language = definition.language if definition and definition.has_language else ctx.language
-        return Term("literal", value, RDF + "langString", language) if language else Term("literal", value, XSD + "string")
+        return (_LANG_STRING, language) if language else (_STRING, None)
 
     def value_object(self, keys: list, ctx: Context) -> Term | None:
         given = {k: v for k, _, v in keys}
@@ -536,13 +548,16 @@ def term_bytes(quad: Quad) -> int:
     return total + (_size(graph.value) if graph else 0)
 
 
-def to_quads(content: bytes, base: str, most_quads: int, most_bytes: int) -> tuple[str | None, int, int, list[Quad]]:
-    """Failure, quads emitted, bytes of terms kept, and the quads (none if it failed).
+def to_quads(content: bytes, base: str, most_quads: int, most_bytes: int, with_quads: bool = True) -> tuple[str | None, int, int, list[Quad]]:
+    """Failure, quads emitted, bytes of terms kept, and the quads (none if it failed, or they aren't asked for).
 
     The quad that breaks a budget counts as emitted; its bytes do not. The number of quads is looked at first.
     """
-    emitted = kept = 0
+    emitted = kept = base_size = 0
     quads: list[Quad] = []
+    keep = quads.append if with_quads else None
+    sizes: dict[str | None, int] = {None: 0}
+    subject_then = predicate_then = graph_then = None
     limit = sys.getrecursionlimit()
     sys.setrecursionlimit(max(limit, 20_000))
     try:
@@ -550,11 +565,20 @@ def to_quads(content: bytes, base: str, most_quads: int, most_bytes: int) -> tup
             emitted += 1
             if emitted > most_quads:
                 return "RdfQuadLimit", emitted, kept, []
-            size = term_bytes(quad)
+            subject, predicate, (kind, value, datatype, language), graph = quad
+            if subject is not subject_then or predicate is not predicate_then or graph is not graph_then:  # mostly the same as before
+                base_size = _size(subject.value) + _size(predicate) + (_size(graph.value) if graph else 0)
+                subject_then, predicate_then, graph_then = subject, predicate, graph
+            size = base_size + (len(value) if value.isascii() else len(value.encode()))
+            if kind == "literal":
+                if datatype not in sizes:
+                    sizes[datatype] = _size(datatype)
+                size += sizes[datatype] + (_size(language) if language else 0)
             if kept + size > most_bytes:
                 return "RetainedRdfTermBytesLimit", emitted, kept, []
             kept += size
-            quads.append(quad)
+            if keep:
+                keep(quad)
     except (JsonLdError, RecursionError):
         return "JsonLd", emitted, kept, []
     finally:

@@ -15,35 +15,39 @@ from tessera.options import ReadOptions
 
 _PARTS = ["s_kind", "s", "p", "o_kind", "o", "o_datatype", "o_lang", "g_kind", "g"]
 _QUAD = pa.struct([("seq", pa.int32()), *[(p, pa.string()) for p in _PARTS]])
-SCHEMA = "doc_id long, failure string, emitted_rdf_quads long, retained_rdf_term_bytes long, quads array<struct<seq: int, " + ", ".join(f"{p}: string" for p in _PARTS) + ">>"
+SCHEMA = "doc_id long, failure string, emitted_rdf_quads long, retained_rdf_term_bytes long"
+QUADS_SCHEMA = SCHEMA + ", quads array<struct<seq: int, " + ", ".join(f"{p}: string" for p in _PARTS) + ">>"
+_NAMES = ["doc_id", "failure", "emitted_rdf_quads", "retained_rdf_term_bytes"]
 
 
-def _reader(settings: dict):
+def _reader(settings: dict, with_quads: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         options = ReadOptions(**settings)
+        limits = (options.max_rdf_quads, options.max_retained_rdf_term_bytes, with_quads)
         for batch in batches:
             for start in range(0, batch.num_rows, 64):
                 part = batch.slice(start, 64)
-                done = [to_quads(c.as_py(), i.as_py(), options.max_rdf_quads, options.max_retained_rdf_term_bytes) for c, i in zip(part["content"], part["document_iri"])]
+                done = [to_quads(c.as_py(), i.as_py(), *limits) for c, i in zip(part["content"], part["document_iri"])]
+                told = [part["doc_id"], *[pa.array([d[i] for d in done], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))]]
+                if not with_quads:
+                    yield pa.RecordBatch.from_arrays(told, _NAMES)
+                    continue
                 ends, cells = [0], []
                 for *_, quads in done:
                     ends.append(ends[-1] + len(quads))
                     cells += [(n, s[0], s[1], p, *o, "default", None) if g is None else (n, s[0], s[1], p, *o, g[0], g[1]) for n, (s, p, o, g) in enumerate(quads)]
                 columns = list(zip(*cells)) or [()] * 10
                 rows = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _QUAD)], fields=list(_QUAD))
-                yield pa.RecordBatch.from_arrays(
-                    [part["doc_id"], *[pa.array([d[i] for d in done], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)],
-                    ["doc_id", "failure", "emitted_rdf_quads", "retained_rdf_term_bytes", "quads"],
-                )
+                yield pa.RecordBatch.from_arrays([*told, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)], [*_NAMES, "quads"])
 
     return run
 
 
-def semantic(admitted: DataFrame, scans: DataFrame, options: ReadOptions) -> DataFrame:
-    """One row for each document that scanned well and has an IRI: its failure, progress, and all quads as one array."""
+def semantic(admitted: DataFrame, scans: DataFrame, options: ReadOptions, with_quads: bool = True) -> DataFrame:
+    """One row for each document that scanned well and has an IRI: its failure, progress, and (``with_quads``) all quads as one array."""
     good = scans.where("failure IS NULL").select(F.col("doc_id").alias("good_id"))
     ready = admitted.where("document_iri IS NOT NULL AND content IS NOT NULL").join(good, F.col("doc_id") == F.col("good_id"), "left_semi")
-    return ready.select(F.col("doc_id").cast("long").alias("doc_id"), "content", "document_iri").mapInArrow(_reader(asdict(options)), SCHEMA)
+    return ready.select(F.col("doc_id").cast("long").alias("doc_id"), "content", "document_iri").mapInArrow(_reader(asdict(options), with_quads), QUADS_SCHEMA if with_quads else SCHEMA)
 
 
 def quad_rows(done: DataFrame) -> DataFrame:

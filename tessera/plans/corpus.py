@@ -76,16 +76,21 @@ class Corpus:
     def semantic(self) -> DataFrame:
         return materialize(quads.semantic(self.admitted, self.scans, self.options), "semantic")
 
+    @cached_property
+    def _judged(self) -> DataFrame:
+        """The semantic outcomes; quads are emitted and counted, but not handed on unless they were asked for before."""
+        return self.semantic if "semantic" in self.__dict__ else materialize(quads.semantic(self.admitted, self.scans, self.options, with_quads=False), "judged")
+
     @cached_property
     def quads(self) -> DataFrame:
         return quads.quad_rows(self.semantic)
 
     @cached_property
     def composed_outcomes(self) -> DataFrame:
-        return ingest.outcomes(self.admitted, self.scans, self.semantic)
+        return ingest.outcomes(self.admitted, self.scans, self._judged)
 
     def _composed(self, rows: DataFrame) -> DataFrame:
-        passed = self.semantic.where("failure IS NULL").select("doc_id")
+        passed = self._judged.where("failure IS NULL").select("doc_id")
         return rows.join(passed, "doc_id", "left_semi")
 
     composed_nodes = property(lambda self: self._composed(self.nodes))
