@@ -111,13 +111,13 @@ def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def read_edges(hasher: Hasher, words: list[bytes], asked: list[np.ndarray]) -> list[np.ndarray]:
-    """Arcs of a document, read at its coordinates: anchor, hash of the words, first, size, source node, end node, own.
+    """Arcs of a document, read at its coordinates: two hashes of all its words, first, size, source node, end node, own.
 
-    ``asked`` are segments: anchor, first, last, repeated, verify. A repeated one is an arc; the windows of others are. With
+    ``asked`` are segments: first, last, repeated, verify. A repeated one is an arc; the windows of others are. With
     ``verify``, the windows of a repeated one are read too, as partners of others' windows (``own`` is false).
     """
-    once = np.unique(asked[1], return_index=True)[1]  # a row that is there twice asks twice
-    anchor, first, last, repeated, verify = (x[once] for x in asked)
+    once = np.unique(asked[0], return_index=True)[1]  # a row that is there twice asks twice
+    first, last, repeated, verify = (x[once] for x in asked)
     count = np.where(verify | ~repeated, last - first + 1, 0)
     each = np.repeat(np.arange(len(first)), count)
     inside = np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)
@@ -132,20 +132,20 @@ def read_edges(hasher: Hasher, words: list[bytes], asked: list[np.ndarray]) -> l
     sums = hasher.sums(words)
     nodes = (hasher.spans(sums, x, x + WINDOW - 1).view(np.int64) for x in (at, at + size))
     own = np.r_[np.ones(int(repeated.sum()), bool), ~repeated[each]]
-    return [np.r_[anchor[repeated], anchor[each]], of.view(np.int64), at, size, *nodes, own]
+    return [hasher.spans(sums, at, at + size + WINDOW - 1).view(np.int64), of.view(np.int64), at, size, *nodes, own]
 
 
-_EDGES = {"anchor": pa.int64(), "words": pa.int64(), "first": pa.int32(), "size": pa.int32(), "source_node": pa.int64(), "end_node": pa.int64(), "own": pa.bool_()}
+_EDGES = {"sums": pa.int64(), "words": pa.int64(), "first": pa.int32(), "size": pa.int32(), "source_node": pa.int64(), "end_node": pa.int64(), "own": pa.bool_()}
 
 
 def _find_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hasher = Hasher()
     for b in batches:
         cuts, asked = b["spans"].offsets.to_numpy(), b["spans"].values
-        fields = [asked.field(i).to_numpy(zero_copy_only=False) for i in range(5)]
+        fields = [asked.field(i).to_numpy(zero_copy_only=False) for i in range(4)]
         for i in range(b.num_rows):
             part = [x[cuts[i] : cuts[i + 1]] for x in fields]
-            found = read_edges(hasher, (b["text"][i].as_py() or b"").split(), [part[0], *(x.astype(np.int64) for x in part[1:3]), *part[3:]])
+            found = read_edges(hasher, (b["text"][i].as_py() or b"").split(), [*(x.astype(np.int64) for x in part[:2]), *part[2:]])
             columns = [pa.array(x, kind) for x, kind in zip(found, _EDGES.values())]
             of = [pa.array([b[c][i].as_py()] * len(found[0]), pa.int64()) for c in ("doc_id", "text_key")]
             yield pa.RecordBatch.from_arrays([*of, *columns], ["doc_id", "text_key", *_EDGES])
@@ -235,21 +235,21 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     state = state.select("anchor", "context", (F.col("n") > 1).alias("repeated"), "of", F.coalesce("branches", F.lit(False)).alias("branches"))
     # A repeated segment needs the windows of its first document only, as partners for others.
     verify = F.col("branches") & (~F.col("repeated") | F.col("of").eqNullSafe(F.col("doc_id")))
-    placed = found.join(state, ["anchor", "context"]).select("doc_id", "text_key", "anchor", "first", "last", "repeated", verify.alias("verify"))
+    placed = found.join(state, ["anchor", "context"]).select("doc_id", "text_key", "first", "last", "repeated", verify.alias("verify"))
     placed = materialize(placed, "placed")
     discard(found)  # all that follows reads the placed segments
     discard(contexts)
 
     # Source coordinates: the arcs, read from the text again.
-    ask = placed.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("anchor", "first", "last", "repeated", "verify")).alias("spans"))
+    ask = placed.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("first", "last", "repeated", "verify")).alias("spans"))
     ask = ask.select(F.col("doc_id").alias("ask_id"), F.col("text_key").alias("ask_key"), "spans")
     asked = rows.join(ask, rows["doc_id"].eqNullSafe(F.col("ask_id")) & (rows["text_key"] == F.col("ask_key")))
-    kinds = "doc_id long, text_key long, anchor long, words long, first int, size int, source_node long, end_node long, own boolean"
+    kinds = "doc_id long, text_key long, sums long, words long, first int, size int, source_node long, end_node long, own boolean"
     edges = materialize(asked.select("doc_id", "text_key", "text", "spans").mapInArrow(_find_edges, kinds), "edges")
     discard(placed)
     # A first source coordinate as one number, so that the sums stay in a hash table: 40 bits for the document, 24 for the place.
     source = F.shiftleft(F.xxhash64("doc_id", "text_key"), 24).bitwiseOR(F.col("first").cast("long"))
-    same = ["anchor", "words", "size"]
+    same = ["sums", "words", "size"]
     arcs = edges.groupBy(*same).agg(F.count("*").alias("n"), F.max("own").alias("own"), F.min("source_node").alias("source_node"), F.min("end_node").alias("end_node"), F.min(source).alias("source"))
     place = (F.shiftright("source", 24).alias("doc"), F.col("source").bitwiseAND(F.lit((1 << 24) - 1)).cast("int").alias("first"))
     arcs = materialize(arcs.where("n > 1 AND own").select(F.xxhash64(*same).alias("id"), *same, "n", "source_node", "end_node", *place), "arcs")
