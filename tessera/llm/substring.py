@@ -7,8 +7,8 @@ edges that occur at least twice are in the graph. They are found as follows, so
   with one anchor is a segment. Equal windows have equal anchors at equal offsets, so nothing that repeats is missed.
 * A segment that occurs twice as a whole is a path of repeated edges, kept as one arc. Where an anchor has several
   segments, the path branches, and the windows of those that occur once are arcs of their own.
-* Arcs are read again at their source coordinates, where their words get a second hash; only arcs whose words agree in
-  both hashes (64 bits each, of unlike kinds) count as repeated.
+* Arcs are read again at their source coordinates; only arcs whose words agree in two hashes of unlike kinds (64 bits each,
+  over all words) count as repeated.
 
 Then ``paths`` compacts: a node with one arc in and one arc out doesn't branch, and its two arcs are one path. Arcs that
 follow each other at their first source coordinates are joined at once; what crosses documents is joined by doubling
