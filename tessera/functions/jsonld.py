@@ -9,15 +9,18 @@ inline contexts (objects and lists of them, at any node), term definitions with
 from __future__ import annotations
 
 import json
+import re
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from decimal import Decimal
 from typing import Any, NamedTuple
 
 from tessera.functions.iri import is_absolute_iri, resolve
+from tessera.functions.scanner import COLUMNS, scan
+from tessera.options import ReadOptions
 
 RDF, XSD = "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "http://www.w3.org/2001/XMLSchema#"
+_ROW = [name for name, _ in COLUMNS]
 _LANG_STRING, _STRING = RDF + "langString", XSD + "string"
 # The keywords of JSON-LD 1.1.
 KEYWORDS = frozenset(
@@ -81,8 +84,26 @@ class Context:
 
 
 def read(content: bytes) -> Any:
-    """The document with numbers as spelled and objects as ordered members."""
-    return json.loads(content, object_pairs_hook=Members, parse_int=Number, parse_float=Number)
+    """The document with numbers as spelled and objects as ordered members; any depth."""
+    try:
+        return json.loads(content, object_pairs_hook=Members, parse_int=Number, parse_float=Number)
+    except RecursionError:
+        return _read_deep(content)
+
+
+def _read_deep(content: bytes) -> Any:
+    """The same from the rows of a scan, which come parents first."""
+    most = len(content) + 1
+    limits = ReadOptions(max_json_nesting_depth=most, max_json_object_members=most, max_json_values=most, max_decoded_member_name_bytes=most)
+    made: list[Any] = []
+    for row in scan(content, limits).rows:
+        at = dict(zip(_ROW, row))
+        kind, text = at["kind"], at["text"]
+        value = Members() if kind == "object" else [] if kind == "array" else Number(text) if kind == "number" else text if kind == "string" else at["flag"]
+        made.append(value)
+        if at["parent_id"] is not None:
+            made[at["parent_id"]].append((at["name"], value) if at["parent_kind"] == "object" else value)
+    return made[0]
 
 
 def _keyword_like(name: str) -> bool:
@@ -248,25 +269,31 @@ def process(active: Context, local: Any) -> Context:
     return ctx
 
 
-def double(number: Decimal) -> str:
-    """Canonical spelling of a double, kept for values no machine number holds."""
-    sign, digits, exponent = number.as_tuple()
-    text = "".join(map(str, digits)).lstrip("0") or "0"
-    power = exponent + len(text) - 1 if text != "0" else 0
-    text = text.rstrip("0") or "0"
-    return f"{'-' if sign else ''}{text[0]}.{text[1:] or '0'}E{power}"
+_SPELLING = re.compile(r"(-?)([0-9]+)(?:\.([0-9]+))?(?:[eE]([+-]?[0-9]+))?")
 
 
 def number_term(spelling: str, datatype: str | None) -> Term:
-    value = Decimal(spelling)
-    whole = value.adjusted() < 21 and value == value.to_integral_value() if value else True
-    if whole and datatype != XSD + "double":
-        return Term("literal", str(int(value)), datatype or XSD + "integer")
-    return Term("literal", double(value), datatype or XSD + "double")
+    """The literal of a number, worked out on its digits: a whole one below 10^21 is an integer, others are doubles."""
+    sign, whole, part, power = _SPELLING.fullmatch(spelling).groups(default="")
+    digits = (whole + part).lstrip("0")
+    kept = digits.rstrip("0")
+    exponent = int(power or 0) - len(part) + len(digits) - len(kept) if kept else 0
+    leading = exponent + len(kept) - 1 if kept else 0
+    if exponent >= 0 and leading < 21 and datatype != XSD + "double":
+        return Term("literal", f"{sign}{kept}{'0' * exponent}" if kept else "0", datatype or XSD + "integer")
+    return Term("literal", f"{sign}{kept[:1] or '0'}.{kept[1:] or '0'}E{leading}", datatype or XSD + "double")
+
+
+#: What a part of a document gives: quads, and parts below it.
+Parts = Iterator["Quad | Parts"]
 
 
 class Reader:
-    """Quads of one document. Blank nodes are numbered in the order they are met."""
+    """Quads of one document. Blank nodes are numbered in the order they are met.
+
+    The parts of a document give quads and the parts below them, which ``quads`` runs on a stack of its own, so depth isn't
+    bounded and a quad is handed on once, however deep it lies.
+    """
 
     def __init__(self, base: str):
         self.base, self.blanks, self.names = base, 0, {}
@@ -289,11 +316,23 @@ class Reader:
         return Term("iri", iri) if is_absolute_iri(iri) else None
 
     def quads(self, document: Any) -> Iterator[Quad]:
+        running: list[Parts] = [self.whole(document)]
+        while running:
+            for made in running[-1]:
+                if type(made) is Quad:
+                    yield made
+                else:
+                    running.append(made)
+                    break
+            else:
+                running.pop()
+
+    def whole(self, document: Any) -> Parts:
         ctx = Context(self.base, self.base)
         for item in document if isinstance(document, list) and not isinstance(document, Members) else [document]:
-            yield from self.top(item, ctx, None)
+            yield self.top(item, ctx, None)
 
-    def top(self, item: Any, ctx: Context, graph: Term | None) -> Iterator[Quad]:
+    def top(self, item: Any, ctx: Context, graph: Term | None) -> Parts:
         if isinstance(item, Members):
             inner, keys = self.keys(item, ctx, None)
             if any(k == "@value" for k, _, _ in keys):
@@ -301,18 +340,18 @@ class Reader:
             if any(k in ("@set", "@list") for k, _, _ in keys):
                 for k, _, value in keys:
                     if k in ("@set", "@list"):
-                        yield from self.top(value, inner, graph)
+                        yield self.top(value, inner, graph)
                 return
             if {k for k, _, _ in keys} <= {"@graph", "@context", None} and any(k == "@graph" for k, _, _ in keys):
                 for k, _, value in keys:
                     if k == "@graph":
-                        yield from self.top(value, inner, graph)
+                        yield self.top(value, inner, graph)
                 return
             subject = self.subject(keys, inner)
-            yield from self.node(subject, keys, inner, graph)
+            yield self.node(subject, keys, inner, graph)
         elif isinstance(item, list):
             for each in item:
-                yield from self.top(each, ctx, graph)
+                yield self.top(each, ctx, graph)
 
     def keys(self, item: Members, ctx: Context, scoped: Definition | None) -> tuple[Context, list[tuple[str | None, str, Any]]]:
         """The node's own context, and its members with expanded names."""
@@ -350,7 +389,7 @@ class Reader:
                 return self.resource(expand_iri(value, ctx, relative=True))
         return self.blank()
 
-    def node(self, subject: Term | None, keys: list, ctx: Context, graph: Term | None) -> Iterator[Quad]:
+    def node(self, subject: Term | None, keys: list, ctx: Context, graph: Term | None) -> Parts:
         for key, name, value in keys:
             definition = ctx.terms.get(name)
             many = value if isinstance(value, list) and not isinstance(value, Members) else [value]
@@ -363,18 +402,18 @@ class Reader:
                         yield Quad(subject, RDF + "type", kind, graph)
             elif key == "@graph":
                 for each in many:
-                    yield from self.top(each, ctx, subject)
+                    yield self.top(each, ctx, subject)
             elif key == "@included":
                 for each in many:
                     if not isinstance(each, Members):
                         raise JsonLdError("invalid @included value")
-                    yield from self.top(each, ctx, graph)
+                    yield self.top(each, ctx, graph)
             elif key == "@nest":
                 for each in many:
                     if not isinstance(each, Members):
                         raise JsonLdError("invalid @nest value")
                     inner, more = self.keys(each, ctx, definition)
-                    yield from self.node(subject, more, inner, graph)
+                    yield self.node(subject, more, inner, graph)
             elif key == "@reverse":
                 if not isinstance(value, Members):
                     raise JsonLdError("invalid @reverse value")
@@ -382,13 +421,13 @@ class Reader:
                 for k, n, v in more:
                     if k in KEYWORDS:
                         raise JsonLdError("invalid reverse property map")
-                    yield from self.links(subject, k, ctx.terms.get(n), v, ctx, graph, True)
+                    yield self.links(subject, k, ctx.terms.get(n), v, ctx, graph, True)
             elif key in ("@value", "@list", "@set", "@language"):
                 raise JsonLdError(f"misplaced {key}")
             elif key not in KEYWORDS:
-                yield from self.links(subject, key, definition, value, ctx, graph, bool(definition and definition.reverse))
+                yield self.links(subject, key, definition, value, ctx, graph, bool(definition and definition.reverse))
 
-    def links(self, subject: Term | None, predicate: str, definition: Definition | None, value: Any, ctx: Context, graph: Term | None, back: bool) -> Iterator[Quad]:
+    def links(self, subject: Term | None, predicate: str, definition: Definition | None, value: Any, ctx: Context, graph: Term | None, back: bool) -> Parts:
         containers = definition.containers if definition else ()
         usable = subject is not None and is_absolute_iri(predicate)
         if "@list" in containers and not (isinstance(value, Members) and value.get("@list") is not None):
@@ -403,9 +442,9 @@ class Reader:
             value = out
         elif "@index" in containers and isinstance(value, Members):
             value = [v for _, vs in value for v in (vs if isinstance(vs, list) and not isinstance(vs, Members) else [vs])]
-        yield from self.values(subject, predicate, definition, value, ctx, graph, back, usable)
+        yield self.values(subject, predicate, definition, value, ctx, graph, back, usable)
 
-    def values(self, subject, predicate, definition, value, ctx, graph, back, usable) -> Iterator[Quad]:
+    def values(self, subject, predicate, definition, value, ctx, graph, back, usable) -> Parts:
         if isinstance(value, list) and not isinstance(value, Members):
             plain = usable and not back and not (definition and definition.type == "@json")
             datatype, language = self.text_kind(definition, ctx)
@@ -418,14 +457,14 @@ class Reader:
                     if term is not None:
                         yield Quad(subject, predicate, term, graph)
                 else:
-                    yield from self.values(subject, predicate, definition, each, ctx, graph, back, usable)
+                    yield self.values(subject, predicate, definition, each, ctx, graph, back, usable)
             return
         if isinstance(value, Members):
             inner, keys = self.keys(value, ctx, definition)
             if any(k == "@set" for k, _, _ in keys):
                 for k, _, v in keys:
                     if k == "@set":
-                        yield from self.values(subject, predicate, definition, v, inner, graph, back, usable)
+                        yield self.values(subject, predicate, definition, v, inner, graph, back, usable)
                 return
         term, rest = self.term(definition, value, ctx, graph)
         if term is not None and usable:
@@ -435,21 +474,22 @@ class Reader:
                 yield Quad(term, predicate, subject, graph)
             else:
                 yield Quad(subject, predicate, term, graph)
-        yield from rest
+        if rest is not None:
+            yield rest
 
-    def term(self, definition: Definition | None, value: Any, ctx: Context, graph: Term | None) -> tuple[Term | None, Iterator[Quad]]:
+    def term(self, definition: Definition | None, value: Any, ctx: Context, graph: Term | None) -> tuple[Term | None, Parts | None]:
         """The object a value stands for, and the quads below it."""
         if value is None:
-            return None, iter(())
+            return None, None
         kind = definition.type if definition else None
         if kind == "@json":
-            return Term("literal", json.dumps(_plain(value), separators=(",", ":"), sort_keys=True, ensure_ascii=False), RDF + "JSON"), iter(())
+            return Term("literal", _json_text(value), RDF + "JSON"), None
         if not isinstance(value, Members):
-            return self.scalar(definition, value, ctx), iter(())
+            return self.scalar(definition, value, ctx), None
         inner, keys = self.keys(value, ctx, definition)
         names = {k for k, _, _ in keys}
         if "@value" in names:
-            return self.value_object(keys, inner), iter(())
+            return self.value_object(keys, inner), None
         if "@list" in names:
             if names - {"@list", "@index"}:
                 raise JsonLdError("invalid set or list object")
@@ -458,21 +498,22 @@ class Reader:
         subject = self.subject(keys, inner)
         return subject, self.node(subject, keys, inner, graph)
 
-    def collection(self, items: list, definition: Definition | None, ctx: Context, graph: Term | None) -> tuple[Term, Iterator[Quad]]:
+    def collection(self, items: list, definition: Definition | None, ctx: Context, graph: Term | None) -> tuple[Term, Parts | None]:
         flat: list = []
         for item in items:  # a list inside is a list of its own; a set inside is flattened by its reader
             if item is not None:
                 flat.append(Members([("@list", item)]) if isinstance(item, list) and not isinstance(item, Members) else item)
         if not flat:
-            return Term("iri", RDF + "nil"), iter(())
+            return Term("iri", RDF + "nil"), None
         cells = [self.blank() for _ in flat]
 
-        def body() -> Iterator[Quad]:
+        def body() -> Parts:
             for i, item in enumerate(flat):
                 term, rest = self.term(definition, item, ctx, graph)
                 if term is not None:
                     yield Quad(cells[i], RDF + "first", term, graph)
-                yield from rest
+                if rest is not None:
+                    yield rest
                 yield Quad(cells[i], RDF + "rest", cells[i + 1] if i + 1 < len(cells) else Term("iri", RDF + "nil"), graph)
 
         return cells[0], body()
@@ -506,7 +547,7 @@ class Reader:
             raise JsonLdError("invalid value object")
         value, language = given["@value"], given.get("@language")
         if given.get("@type") == "@json":
-            return Term("literal", json.dumps(_plain(value), separators=(",", ":"), sort_keys=True, ensure_ascii=False), RDF + "JSON")
+            return Term("literal", _json_text(value), RDF + "JSON")
         if isinstance(value, list):
             raise JsonLdError("invalid value object value")
         if value is None:
@@ -527,12 +568,26 @@ class Reader:
         return Term("literal", value, datatype or XSD + "string")
 
 
-def _plain(value: Any) -> Any:
-    if isinstance(value, Members):
-        return {n: _plain(v) for n, v in value}
-    if isinstance(value, Number):
-        return float(value) if any(c in value for c in ".eE") else int(value)
-    return [_plain(v) for v in value] if isinstance(value, list) else value
+def _json_text(value: Any) -> str:
+    """JSON text of a value, members by name; any depth."""
+    out: list[str] = []
+    waiting: list[tuple[bool, Any]] = [(False, value)]
+    while waiting:
+        is_text, v = waiting.pop()
+        if is_text:
+            out.append(v)
+        elif isinstance(v, list):
+            pairs = [(json.dumps(n, ensure_ascii=False) + ":", x) for n, x in sorted(v, key=lambda m: m[0])] if isinstance(v, Members) else [("", x) for x in v]
+            start, end = "{}" if isinstance(v, Members) else "[]"
+            out.append(start)
+            waiting.append((True, end))
+            for i in range(len(pairs) - 1, -1, -1):
+                waiting += [(False, pairs[i][1]), (True, ("," if i else "") + pairs[i][0])]
+        elif isinstance(v, Number):
+            out.append(json.dumps(float(v)) if any(c in v for c in ".eE") else "0" if v == "-0" else str(v))
+        else:
+            out.append(json.dumps(v, ensure_ascii=False))
+    return "".join(out)
 
 
 def _size(text: str) -> int:
@@ -558,8 +613,9 @@ def to_quads(content: bytes, base: str, most_quads: int, most_bytes: int, with_q
     keep = quads.append if with_quads else None
     sizes: dict[str | None, int] = {None: 0}
     subject_then = predicate_then = graph_then = None
-    limit = sys.getrecursionlimit()
-    sys.setrecursionlimit(max(limit, 20_000))
+    limit, most_digits = sys.getrecursionlimit(), sys.get_int_max_str_digits()
+    sys.setrecursionlimit(max(limit, 20_000 + len(content)))  # terms that rest on each other; calls between Python functions take no C stack
+    sys.set_int_max_str_digits(0)
     try:
         for quad in Reader(base).quads(read(content)):
             emitted += 1
@@ -579,8 +635,9 @@ def to_quads(content: bytes, base: str, most_quads: int, most_bytes: int, with_q
             kept += size
             if keep:
                 keep(quad)
-    except (JsonLdError, RecursionError):
+    except JsonLdError:
         return "JsonLd", emitted, kept, []
     finally:
         sys.setrecursionlimit(limit)
+        sys.set_int_max_str_digits(most_digits)
     return None, emitted, kept, quads

@@ -84,3 +84,36 @@ def test_absolute_iris(iri, good):
 @pytest.mark.parametrize(("reference", "target"), [("g:h", "g:h"), ("g", "http://a/b/c/g"), ("./g/", "http://a/b/c/g/"), ("/g", "http://a/g"), ("//g", "http://g"), ("?y", "http://a/b/c/d;p?y"), ("#s", "http://a/b/c/d;p?q#s"), ("", "http://a/b/c/d;p?q"), ("..", "http://a/b/"), ("../../../g", "http://a/g"), ("/./g", "http://a/g"), ("g.", "http://a/b/c/g."), ("./../g", "http://a/b/g"), ("g;x=1/../y", "http://a/b/c/y"), ("g?y/./x", "http://a/b/c/g?y/./x")])
 def test_resolution(reference, target):
     assert resolve("http://a/b/c/d;p?q", reference) == target
+
+
+DEEP = 60_000
+
+
+def test_depth_is_not_bounded():
+    nodes = b"".join(b'{"@id":"https://e.test/%d","https://e.test/p":' % i for i in range(DEEP)) + b'{"@id":"https://e.test/end"}' + b"}" * DEEP
+    failure, emitted, _, _ = to_quads(nodes, "https://e.test/d", 1 << 40, 1 << 40, False)
+    assert (failure, emitted) == (None, DEEP)
+    sets = b'{"@id":"https://e.test/s","https://e.test/p":' + b"[" * DEEP + b"7" + b"]" * DEEP + b"}"
+    assert to_quads(sets, "https://e.test/d", 9, 1 << 40)[3][0].object.value == "7"
+    lists = b'{"@id":"https://e.test/s","https://e.test/p":{"@list":' + b"[" * DEEP + b"]" * DEEP + b"}}"
+    assert to_quads(lists, "https://e.test/d", 1 << 40, 1 << 40, False)[:2] == (None, 1 + 2 * (DEEP - 1))
+    literal = b'{"@id":"https://e.test/s","https://e.test/p":{"@type":"@json","@value":' + b"[" * DEEP + b'{"b":1.50,"a":-0}' + b"]" * DEEP + b"}}"
+    assert to_quads(literal, "https://e.test/d", 9, 1 << 40)[3][0].object.value == "[" * DEEP + '{"a":0,"b":1.5}' + "]" * DEEP
+
+
+def test_terms_may_rest_on_many_others():
+    terms = ",".join(f'"t{i}":{{"@id":"t{i + 1}:x","@prefix":true}}' for i in range(5000))
+    content = f'{{"@context":{{{terms},"t5000":"https://e.test/"}},"@id":"https://e.test/s","t0:y":1}}'.encode()
+    assert to_quads(content, "https://e.test/d", 9, 1 << 40)[3][0].predicate == "https://e.test/" + "x" * 5000 + "y"
+
+
+@pytest.mark.parametrize(
+    "spelling, value, kind",
+    [
+        ("1e99999999999999999999", "1.0E99999999999999999999", "double"), ("0e99999999999999999999", "0", "integer"), ("1e400", "1.0E400", "double"), ("-0.0", "0", "integer"),
+        ("1.50e3", "1500", "integer"), ("12.50", "1.25E1", "double"), ("1e20", "1" + "0" * 20, "integer"), ("1e21", "1.0E21", "double"), ("-120", "-120", "integer"), ("0.012", "1.2E-2", "double"),
+    ],
+)
+def test_numbers_by_their_spelling(spelling, value, kind):
+    quads = to_quads(f'{{"@id":"https://e.test/s","https://e.test/p":{spelling}}}'.encode(), "https://e.test/d", 9, 1 << 40)[3]
+    assert (quads[0].object.value, quads[0].object.datatype.split("#")[1]) == (value, kind)
