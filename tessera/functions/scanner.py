@@ -39,9 +39,9 @@ _AFTER_NUMBER = frozenset(b".eE0123456789")
 
 
 class Failure(Exception):
-    def __init__(self, kind: str, offset: int):
+    def __init__(self, kind: str, offset: int, why: str | None = None):
         super().__init__(kind)
-        self.kind, self.offset = kind, offset
+        self.kind, self.offset, self.why = kind, offset, why
 
 
 @dataclass
@@ -54,6 +54,7 @@ class Scan:
     total_values: int = 0
     decoded_member_name_bytes: int = 0
     failure: str | None = None
+    why: str | None = None
     position: tuple[int, int, int] | None = None
 
 
@@ -72,16 +73,16 @@ def _bad_string(content: bytes, at: int) -> Failure:
         """Code unit of an escape whose ``u`` is at ``u``, and where it ends."""
         for j in range(u + 1, u + 5):
             if j >= n:
-                raise Failure(SYNTAX, n)
+                raise Failure(SYNTAX, n, "invalid Unicode escape")
             if content[j] not in b"0123456789abcdefABCDEF":
-                raise Failure(SYNTAX, j)
+                raise Failure(SYNTAX, j, "invalid Unicode escape")
         return int(content[u + 1 : u + 5], 16), u + 5
 
     try:
         while i < n:
             c = content[i]
             if c < 0x20:
-                return Failure(SYNTAX, i)
+                return Failure(SYNTAX, i, "control character in string")
             if c == 0x22:
                 break
             if c != 0x5C:
@@ -89,37 +90,37 @@ def _bad_string(content: bytes, at: int) -> Failure:
                 continue
             escape = i
             if i + 1 >= n or content[i + 1] not in b'"\\/bfnrtu':
-                return Failure(SYNTAX, i + 1)
+                return Failure(SYNTAX, i + 1, "invalid string escape")
             if content[i + 1] != 0x75:
                 i += 2
                 continue
             code, i = unit(i + 1)
             if 0xDC00 <= code <= 0xDFFF:
-                return Failure(SYNTAX, escape)
+                return Failure(SYNTAX, escape, "lone leading surrogate in hex escape")
             if 0xD800 <= code <= 0xDBFF:
                 if content[i : i + 2] != b"\\u":
-                    return Failure(SYNTAX, escape)
+                    return Failure(SYNTAX, escape, "unexpected end of hex escape")
                 pair = i
                 code, i = unit(i + 1)
                 if not 0xDC00 <= code <= 0xDFFF:
-                    return Failure(SYNTAX, pair)
+                    return Failure(SYNTAX, pair, "lone leading surrogate in hex escape")
     except Failure as found:
         return found
-    return Failure(SYNTAX, n)
+    return Failure(SYNTAX, n, "unterminated string")
 
 
 def _bad_number(content: bytes, at: int) -> Failure:
     """Where the number that begins at ``at`` goes wrong: after its longest good part and what promises more."""
     m = _NUMBER.match(content, at)
     if not m:
-        return Failure(SYNTAX, at + 1)
+        return Failure(SYNTAX, at + 1, "expected a digit")
     end, c = m.end(), content[m.end() : m.end() + 1]
     has_exponent = b"e" in m[0].lower()
     if c == b"." and b"." not in m[0] and not has_exponent:
-        end += 1
-    elif c in b"eE" and not has_exponent:
-        end = _EXPONENT.match(content, end).end()
-    return Failure(SYNTAX, end)
+        return Failure(SYNTAX, end + 1, "expected a digit after decimal point")
+    if c in b"eE" and not has_exponent:
+        return Failure(SYNTAX, _EXPONENT.match(content, end).end(), "expected an exponent digit")
+    return Failure(SYNTAX, end, "leading zero in number" if c.isdigit() else None)  # None: a whole number, then something else
 
 
 def _string(content: bytes, at: int) -> tuple[str, int]:
@@ -135,6 +136,17 @@ def _string(content: bytes, at: int) -> tuple[str, int]:
     return text, m.end()
 
 
+def _quoted(name: str) -> str:
+    """A name in quotes, with what can't be printed escaped."""
+    known = {'"': '\\"', "\\": "\\\\", "\t": "\\t", "\r": "\\r", "\n": "\\n", "\0": "\\0"}
+    return '"' + "".join(known.get(c) or (c if c.isprintable() else f"\\u{{{ord(c):x}}}") for c in name) + '"'
+
+
+def _after(top: _Frame | None) -> str:
+    """What is said of something that can't follow a value."""
+    return "trailing characters" if top is None else "expected ',' or ']'" if top.names is None else "expected ',' or '}'"
+
+
 class _Frame:
     __slots__ = ("binds", "count", "id", "level", "names", "node", "objects", "owner", "row", "slot", "spot")
 
@@ -154,7 +166,7 @@ def _walk(content: bytes, limits: ReadOptions, out: Scan) -> None:
         if closed or not first and not stack:
             if not stack:
                 if at != n:
-                    raise Failure(SYNTAX, at)
+                    raise Failure(SYNTAX, at, _after(None))
                 return
             top = stack[-1]
             c = content[at] if at < n else -1
@@ -169,12 +181,12 @@ def _walk(content: bytes, limits: ReadOptions, out: Scan) -> None:
                 stack.pop()
                 continue
             else:
-                raise Failure(SYNTAX, at)
+                raise Failure(SYNTAX, at, _after(top))
         top = stack[-1] if stack else None
         if top is not None and top.names is not None:
             key = at
             if at >= n or content[at] != 0x22:
-                raise Failure(SYNTAX, at)
+                raise Failure(SYNTAX, at, "expected an object member name")
             if top.count + 1 > limits.max_json_object_members:
                 raise Failure(MEMBERS, key)
             name, at = _string(content, at)
@@ -183,12 +195,12 @@ def _walk(content: bytes, limits: ReadOptions, out: Scan) -> None:
             if size > limits.max_decoded_member_name_bytes:
                 raise Failure(NAME_BYTES, key)
             if name in top.names:
-                raise Failure(DUPLICATE, key)
+                raise Failure(DUPLICATE, key, f"duplicate object member {_quoted(name)}")
             top.names.add(name)
             out.decoded_member_name_bytes = size
             at = _SPACE.match(content, at).end()
             if at >= n or content[at] != 0x3A:
-                raise Failure(SYNTAX, at)
+                raise Failure(SYNTAX, at, "expected ':'")
             at = _SPACE.match(content, at + 1).end()
         else:
             name = name_start = name_end = None
@@ -199,7 +211,7 @@ def _walk(content: bytes, limits: ReadOptions, out: Scan) -> None:
                 out.max_object_members = top.count
         # a value begins here
         if at >= n or content[at] not in _STARTS:
-            raise Failure(SYNTAX, at)
+            raise Failure(SYNTAX, at, "expected a JSON value")
         if out.total_values + 1 > limits.max_json_values:
             raise Failure(VALUES, at)
         out.total_values += 1
@@ -217,12 +229,14 @@ def _walk(content: bytes, limits: ReadOptions, out: Scan) -> None:
         elif c in _WORDS:
             word, kind, flag = _WORDS[c]
             if not content.startswith(word, at):
-                raise Failure(SYNTAX, at)
+                raise Failure(SYNTAX, at, "invalid JSON literal")
             at += len(word)
         else:
             m = _NUMBER.match(content, at)
             if not m or m.end() < n and content[m.end()] in _AFTER_NUMBER:
-                raise _bad_number(content, at)
+                wrong = _bad_number(content, at)
+                wrong.why = wrong.why or _after(top)
+                raise wrong
             kind, at = "number", m.end()
             text = m[0].decode()
         # its place in the tree and in the graph
@@ -269,11 +283,11 @@ def scan(content: bytes, limits: ReadOptions) -> Scan:
     try:
         content.decode()
     except UnicodeDecodeError as wrong:
-        out.failure, out.position = UTF8, position(content, wrong.start)
+        out.failure, out.position, out.why = UTF8, position(content, wrong.start), f"invalid UTF-8 at byte offset {wrong.start}"
         return out
     try:
         _walk(content, limits, out)
     except Failure as found:
-        out.failure, out.position = found.kind, position(content, found.offset)
+        out.failure, out.position, out.why = found.kind, position(content, found.offset), found.why
         out.rows = []
     return out

@@ -36,6 +36,9 @@ MESSAGES = {
     "RetainedRdfTermBytesLimit": "retained RDF term bytes exceed the configured limit",
 }
 
+#: What is said of a failure in a document of others; a fixed text.
+REDACTED = "external parse failure (diagnostic redacted)"
+
 
 def admitted(documents: DataFrame, options: ReadOptions) -> DataFrame:
     """``doc_id, content, document_iri, length, admitted``: content is null where the input is too long.
@@ -98,6 +101,43 @@ def _scanner(settings: dict, with_values: bool):
     return run
 
 
+DIAGNOSTIC_SCHEMA = "doc_id long, message string, err_offset long, err_line long, err_column long, pointer string, term string"
+
+
+def _describer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        contents = batch["content"].to_pylist()
+        for first, n in _groups([len(c) for c in contents]):
+            part, ids = contents[first : first + n], batch["doc_id"].slice(first, n)
+            most = max(map(len, part)) + 1
+            free = ReadOptions(max_json_nesting_depth=most, max_json_object_members=most, max_json_values=most, max_decoded_member_name_bytes=most)
+            rows = []
+            for i in sorted(set(range(n)) - set(scan_many(part, free, False).good.tolist())):
+                done = scan(part[i], free)
+                if done.failure:
+                    rows.append((ids[i].as_py(), done.why, *done.position))
+            told = list(zip(*rows)) or [()] * 5
+            columns = [pa.array(told[0], pa.int64()), pa.array(told[1], pa.string()), *[pa.array(c, pa.int64()) for c in told[2:]]]
+            yield pa.RecordBatch.from_arrays([*columns, *[pa.nulls(len(rows), pa.string())] * 2], ["doc_id", "message", "err_offset", "err_line", "err_column", "pointer", "term"])
+
+
+def diagnostics(documents: DataFrame) -> DataFrame:
+    """``message`` and place of what is wrong with each document that isn't JSON with unique members; no limits hold here.
+
+    The message describes what was expected or found; a string's first fault is named. Null contents are empty ones.
+    ``pointer`` and ``term`` are for diagnostics of later stages and null here.
+    """
+    content = F.coalesce("content", F.lit(b"")).alias("content")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), content).mapInArrow(_describer, DIAGNOSTIC_SCHEMA)
+
+
+def redacted_diagnostics(found: DataFrame, external: Column) -> DataFrame:
+    """Diagnostics that say nothing of documents which belong to others: one message, no place, pointer or term."""
+    hide = F.coalesce(external, F.lit(True))
+    places = {c: F.when(~hide, F.col(c)) for c in ("err_offset", "err_line", "err_column", "pointer", "term")}
+    return found.withColumns({"message": F.when(hide, REDACTED).otherwise(F.col("message")), **places})
+
+
 def _ready(taken: DataFrame) -> DataFrame:
     return taken.where("admitted").select(F.col("doc_id").cast("long").alias("doc_id"), "content")
 

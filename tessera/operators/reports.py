@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,6 +35,23 @@ def corpus_report(outcomes: DataFrame, expected: DataFrame | None = None) -> Dat
     )
 
 
+def optional_sums(rows: DataFrame, by: list[str], measures: list[str]) -> DataFrame:
+    """Sums of measures that may not have been taken, by group: null where none was, which differs from 0."""
+    return rows.groupBy(*by).agg(*[F.sum(m).alias(m) for m in measures])
+
+
+def write_json(report: DataFrame, path: str) -> None:
+    """Write each row of a report as indented JSON and a newline; null columns are written, so that a report has all its names."""
+    lines = report.select(F.to_json(F.struct("*"), {"pretty": "true", "ignoreNullFields": "false"}).alias("value"))
+    lines.write.text(path)
+
+
+def read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Reports that ``write_json`` wrote, under the schema they had."""
+    text = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", r"(?<=\n\})\n")).alias("value")).where("trim(value) <> ''")
+    return text.select(F.from_json("value", schema).alias("r")).select("r.*")
+
+
 def distribution(runs: DataFrame, by: list[str], value: str = "value") -> DataFrame:
     """Median, minimum and maximum of a measure for each group."""
     return runs.groupBy(*by).agg(F.median(value).alias("median"), F.min(value).alias("minimum"), F.max(value).alias("maximum"))

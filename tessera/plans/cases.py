@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import projection, quads, reports
-from tessera.operators.ingest import MESSAGES
+from tessera.operators.ingest import MESSAGES, REDACTED, diagnostics, redacted_diagnostics
 from tessera.options import ReadOptions
 from tessera.plans.corpus import Corpus
+from tessera.sources.shared import scratch
 
 
 def _table(spark, sf_dir: str, name: str) -> DataFrame:
@@ -264,3 +265,79 @@ WITH RECURSIVE r(node, steps) AS (SELECT p_partkey, 0 FROM part WHERE p_partkey
   UNION SELECT unnest([node // 2, node // 3]), steps + 1 FROM r WHERE node > 1)
 SELECT CAST(node AS BIGINT) AS node, CAST(min(steps) AS BIGINT) AS steps FROM r WHERE node > 0 OR steps = 0 GROUP BY node
 """
+
+
+# Fixed values: (document, message, offset, line, column) of what is wrong with a document, without limits.
+DESCRIBED = [
+    (b'[[[[[[1]]]]],{"a":[1,2.50e3,-0]}]', None, None, None, None),
+    (b'{"\x80":0}', "invalid UTF-8 at byte offset 2", 2, 0, 2),
+    (b"", "expected a JSON value", 0, 0, 0),
+    (b"[1,]", "expected a JSON value", 3, 0, 3),
+    (b"[1 2]", "expected ',' or ']'", 3, 0, 3),
+    (b"[1.5.2]", "expected ',' or ']'", 4, 0, 4),
+    (b'{"a":1 "b":2}', "expected ',' or '}'", 7, 0, 7),
+    (b'{"a":1,}', "expected an object member name", 7, 0, 7),
+    (b'{"a"\n 1}', "expected ':'", 6, 1, 1),
+    (b"{}\n\n{}", "trailing characters", 4, 2, 0),
+    (b"1.5.2", "trailing characters", 3, 0, 3),
+    (b"[tru]", "invalid JSON literal", 1, 0, 1),
+    (b"[01]", "leading zero in number", 2, 0, 2),
+    (b"[-]", "expected a digit", 2, 0, 2),
+    (b"[1.]", "expected a digit after decimal point", 3, 0, 3),
+    (b"[1e+]", "expected an exponent digit", 4, 0, 4),
+    (b'["a', "unterminated string", 3, 0, 3),
+    (b'["\\x"]', "invalid string escape", 3, 0, 3),
+    (b'["\\u00g0"]', "invalid Unicode escape", 6, 0, 6),
+    (b'["a\tb"]', "control character in string", 3, 0, 3),
+    (b'{"x":0,"\\u0078":1}', 'duplicate object member "x"', 7, 0, 7),
+]
+
+
+def _described(spark, sf_dir: str) -> DataFrame:
+    number = F.pmod("p_partkey", F.lit(len(DESCRIBED))).cast("int")
+    content = F.element_at(F.array(*[F.unhex(F.lit(c.hex())) for c, *_ in DESCRIBED]), number + 1)
+    return diagnostics(_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), content.alias("content")))
+
+
+def _quote(x: object) -> str:
+    return _text(x.replace("'", "''") if isinstance(x, str) else x)
+
+
+_DESCRIBED = f"""WITH f AS (SELECT * FROM (VALUES {", ".join("(" + ", ".join(map(_quote, (i, *told))) + ")" for i, (_, *told) in enumerate(DESCRIBED))}) t(i, message, err_offset, err_line, err_column)),
+d AS (SELECT p_partkey AS doc_id, message, CAST(err_offset AS BIGINT) AS err_offset, CAST(err_line AS BIGINT) AS err_line, CAST(err_column AS BIGINT) AS err_column FROM part JOIN f ON i = p_partkey % {len(DESCRIBED)} WHERE message IS NOT NULL)"""
+
+
+def q48_descriptions(spark, sf_dir):
+    """What is wrong with each document, in words, and where."""
+    return _described(spark, sf_dir).select("doc_id", "message", "err_offset", "err_line", "err_column")
+
+
+Q48 = f"{_DESCRIBED} SELECT * FROM d"
+
+
+def q49_redacted_descriptions(spark, sf_dir):
+    """The same, where every third document belongs to others."""
+    return redacted_diagnostics(_described(spark, sf_dir), F.col("doc_id") % 3 == 0).select("doc_id", "message", "err_offset", "err_line", "err_column")
+
+
+Q49 = f"""{_DESCRIBED} SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '{REDACTED}' ELSE message END AS message, CASE WHEN doc_id % 3 <> 0 THEN err_offset END AS err_offset,
+  CASE WHEN doc_id % 3 <> 0 THEN err_line END AS err_line, CASE WHEN doc_id % 3 <> 0 THEN err_column END AS err_column FROM d"""
+
+
+def q50_optional_sums(spark, sf_dir):
+    """Sums of times that some groups of runs haven't taken."""
+    lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", F.when(F.col("l_linestatus") == "F", F.col("l_linenumber")).cast("long").alias("scan"), F.when(F.col("l_returnflag") == "R", F.col("l_linenumber")).cast("long").alias("json_ld"))
+    return reports.optional_sums(lines, ["l_orderkey"], ["scan", "json_ld"])
+
+
+Q50 = """SELECT l_orderkey, CAST(sum(CASE WHEN l_linestatus = 'F' THEN l_linenumber END) AS BIGINT) AS scan, CAST(sum(CASE WHEN l_returnflag = 'R' THEN l_linenumber END) AS BIGINT) AS json_ld FROM lineitem GROUP BY 1"""
+
+
+def q51_report_file(spark, sf_dir):
+    """The report of expected failures, written as JSON and read again."""
+    report, path = q36_expected_failures(spark, sf_dir), scratch(spark, "report")
+    reports.write_json(report, path)
+    return reports.read_json(spark, path, report.schema)
+
+
+Q51 = Q36

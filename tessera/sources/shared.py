@@ -22,19 +22,26 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A free path in a new folder below the shared one; the folder goes when the application ends."""
+    folder = f"{shared_root(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(target)  # what isn't there yet can't be marked
+    files.deleteOnExit(target)
+    return folder + "/table"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back.
 
     This cuts lineage: a lost executor costs the tasks it ran, never the work before the cut. What is read later is
-    pruned to the columns and row groups it needs. The files go when the application ends.
+    pruned to the columns and row groups it needs.
     """
-    spark = df.sparkSession
-    path = f"{shared_root(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     made = spark.read.schema(df.schema).parquet(path)
-    made._written_at = target
+    made._written_at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
     return made
 
 

@@ -7,7 +7,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tessera.functions.scanner import scan
+from tessera.operators.ingest import diagnostics
 from tessera.options import ReadOptions
+from tessera.plans.cases import DESCRIBED
 
 OPTIONS = ReadOptions()
 
@@ -103,3 +105,18 @@ def test_tokens_are_the_source(value):
             assert json.loads(content[r[11] : r[12]]) == r[9]
         if r[6] is not None:
             assert json.loads(content[r[7] : r[8]]) == r[6]
+
+
+def test_faults_are_described():
+    for content, *told in DESCRIBED:
+        found = scan(content, ReadOptions())
+        assert [found.why, *(found.position or (None,) * 3)] == told, content
+    assert scan(b'{"a\\"\\n\\u0001":0,"a\\"\\n\\u0001":0}', ReadOptions()).why == r'duplicate object member "a\"\n\u{1}"'
+
+
+def test_diagnostics_know_no_limits(spark):
+    deep = b"[" * 5000 + b"]" * 5000
+    rows = spark.createDataFrame([(0, bytearray(deep)), (1, bytearray(deep[:-1])), (2, None)], "doc_id long, content binary")
+    found = {r["doc_id"]: (r["message"], r["err_offset"]) for r in diagnostics(rows).collect()}
+    assert found == {1: ("expected ',' or ']'", 9999), 2: ("expected a JSON value", 0)}
+    assert diagnostics(rows.limit(0)).count() == 0
