@@ -144,6 +144,6 @@ def fingerprints(docs: DataFrame, keep_media: bool = False) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     found = fingerprints(table(spark, sf_dir, "documents"))
-    coded = F.concat_ws(",", F.transform(F.arrays_zip("times", "prints"), lambda p: F.concat_ws(":", p["times"].cast("string"), p["prints"].cast("string"))))
-    feature = F.concat_ws(" ", F.size("prints").cast("string"), F.sha2(coded.cast("binary"), 256))
+    coded = F.transform(F.arrays_zip("times", "prints"), lambda p: F.concat_ws(":", p["times"].cast("string"), p["prints"].cast("string")))
+    feature = F.array_join(coded, ",")  # every print with its time, none left out
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
