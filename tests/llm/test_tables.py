@@ -133,6 +133,46 @@ def test_windows_take_neighbours_while_there_are_any():
     assert len(list(index.all_neighbours(0, unused))) == 399
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_filling_matches_plain_bm25(monkeypatch, seed):
+    """Windows filled by scoring every pair of documents anew."""
+    monkeypatch.setattr(packing, "WINDOW", 256)
+    monkeypatch.setattr(packing, "ASK", 1000)
+    monkeypatch.setattr(packing, "RETURNED", 1000)
+    rng = np.random.default_rng(seed)
+    docs = [rng.choice(200, p=(w := rng.dirichlet(np.full(200, 0.05))) / w.sum(), size=rng.integers(5, 120)).astype(np.uint16) for _ in range(60)]
+    idf = np.r_[rng.uniform(0.5, 6, 200), np.ones((1 << 16) - 200)]
+    mean = float(np.mean([len(d) for d in docs]))
+
+    def score(a, b):
+        total = 0.0
+        for t in set(docs[a].tolist()) & set(docs[b].tolist()):
+            tf = int((docs[b] == t).sum())
+            total += np.float32(idf[t] * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(docs[b]) / mean)))
+        return total
+
+    left = {i: len(d) for i, d in enumerate(docs)}
+    plain, lead = [], None
+    while left:
+        first = lead if lead is not None else min(left)
+        near = sorted((j for j in left if j != first), key=lambda j: (-round(score(first, j), 5), j))
+        window, room, lead = [], 256, None
+        for j in [first, *near]:
+            used = min(room, left[j])
+            window.append((j, len(docs[j]) - left[j], used))
+            room -= used
+            left[j] -= used
+            if left[j]:
+                lead = j
+            else:
+                del left[j]
+            if not room:
+                break
+        plain.append(window)
+    got = packing.pack_shard(np.array([len(d) for d in docs]), packing.Index(docs, idf, mean))
+    assert got[: len(plain) - 1] == plain[:-1]
+
+
 def test_terms_past_the_first_are_asked():
     seed = np.arange(200, dtype=np.uint16)
     index = packing.Index([seed, np.array([5000] * 9, np.uint16), np.array([199] * 9, np.uint16)], np.r_[np.linspace(9, 1, 200), np.ones((1 << 16) - 200)], 70.0)

@@ -5,6 +5,7 @@ import hashlib
 import re
 import wave
 import zlib
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -53,6 +54,30 @@ def test_language_scores_match_a_plain_sum(spark):
         assert score == pytest.approx(float(1 / np.exp(total - total.max()).sum()), abs=1e-6)
 
 
+def test_counts_of_the_model_match_a_plain_count(spark):
+    rows = texts(80)
+    model = language.fit(frame(spark, rows))
+    counts, documents = collections.defaultdict(collections.Counter), collections.Counter()
+    for i, text, lang in rows:
+        if i is None or lang is None or not text or not re.search(r"[^\W\d_]", text) or zlib.crc32(str(i).encode()) % 4 == 2:
+            continue
+        documents[lang] += 1
+        points = [ord(c) for c in language.prepared(text)]
+        for n in language.LENGTHS:
+            for at in range(len(points) - n + 1):
+                h = n
+                for p in points[at : at + n]:
+                    h = (h + p) * 0x9E3779B97F4A7C15 % 2**64
+                    h ^= h >> 29
+                counts[lang][h % language.BUCKETS] += 1
+    assert model.languages == sorted(documents)
+    for column, lang in enumerate(model.languages):
+        total = sum(counts[lang].values()) + language.BUCKETS / 2
+        plain = np.array([np.log((counts[lang][b] + 0.5) / total) for b in range(language.BUCKETS)])
+        assert np.allclose(model.matrix[:, column], plain)
+        assert model.prior[column] == pytest.approx(np.log(documents[lang] / sum(documents.values())))
+
+
 def test_language_without_labels_or_rows(spark):
     none = frame(spark, [(1, "some text", None)])
     assert [r["lang_pred"] for r in language.identify(none).collect()] == ["und"]
@@ -174,6 +199,67 @@ def test_reliabilities_find_the_good_labelers():
     assert np.mean((np.array([found[c] for c in code]) > 0.5) == truth) > 0.95
 
 
+def slow_em(counts, rounds=50):
+    """The same expectation-maximisation, pattern by pattern."""
+    votes = {p: [p // 3**i % 3 for i in range(pii.LABELERS)] for p in counts}
+    truth = {}
+    for p, v in votes.items():
+        cast = [x for x in v if x != pii.ABSTAIN]
+        truth[p] = min(0.95, max(0.05, (cast.count(pii.YES) + 0.5) / (len(cast) + 1)))
+    for _ in range(rounds):
+        like = {}
+        for side in (0, 1):
+            weight = {p: counts[p] * (truth[p] if side == 0 else 1 - truth[p]) for p in counts}
+            prior = (sum(weight.values()) + 1) / (sum(counts.values()) + 2)
+            rate = []
+            for i in range(pii.LABELERS):
+                yes = sum(w for p, w in weight.items() if votes[p][i] == pii.YES)
+                cast = sum(w for p, w in weight.items() if votes[p][i] != pii.ABSTAIN)
+                rate.append((yes + (3 if side == 0 else 1)) / (cast + 4))
+            for p, v in votes.items():
+                x = prior
+                for r, y in zip(rate, v):
+                    x *= 1 if y == pii.ABSTAIN else r if y == pii.YES else 1 - r
+                like.setdefault(p, []).append(x)
+        truth = {p: a / (a + b) for p, (a, b) in like.items()}
+    return truth
+
+
+def test_spans_match_plain_em_and_classifier(spark):
+    rows = [(i, t, g) for i, t, g in texts(50)]
+    rows += [(600 + i, f'mail jo{i} at host dot com, token = "{hashlib.sha1(str(i).encode()).hexdigest()}"; Dr. Mary Smith, account 4111111111111{i:03d}', "en") for i in range(40)]
+    found = {i: pii.scan(t or "") for i, t, _ in rows}
+    each = [c for cs in found.values() for c in cs]
+    truth = {k: slow_em(collections.Counter(c["votes"] for c in each if c["kind"] == k)) for k in {c["kind"] for c in each}}
+    for k, by_vote in truth.items():
+        assert pii.reliabilities(collections.Counter(c["votes"] for c in each if c["kind"] == k)) == pytest.approx(by_vote, abs=1e-6)
+    yes, no, of = collections.Counter(), collections.Counter(), collections.Counter()
+    for c in each:
+        p = round(truth[c["kind"]][c["votes"]], 6)
+        of[c["kind"], 1] += p
+        of[c["kind"], 0] += 1 - p
+        for f in c["features"]:
+            yes[c["kind"], f] += p
+            no[c["kind"], f] += 1 - p
+    odds = {}
+    for i, cs in found.items():
+        for c in cs:
+            k = c["kind"]
+            total = np.log((of[k, 1] + 1) / (of[k, 0] + 1))
+            for f in c["features"]:
+                total += np.log((yes[k, f] + 0.5) / (of[k, 1] + 1)) - np.log((no[k, f] + 0.5) / (of[k, 0] + 1))
+            odds[i, k, c["start"], c["end"]] = np.inf if c["base"] else total - np.log(pii.LEAST / (1 - pii.LEAST))
+    got = {r["doc_id"]: r["spans"] for r in pii.find(frame(spark, rows)).collect()}
+    added = 0
+    for i, cs in found.items():
+        wanted = {(c["kind"], c["start"], c["end"]) for c in cs if odds[i, c["kind"], c["start"], c["end"]] > 1e-3}
+        unsure = {(c["kind"], c["start"], c["end"]) for c in cs if abs(odds[i, c["kind"], c["start"], c["end"]]) <= 1e-3}
+        told = {(pii.KINDS.index(k), int(s), int(e)) for k, s, e in (x.split(":") for x in filter(None, got[i].split(",")))}
+        assert told - unsure == wanted - unsure
+        added += sum(not c["base"] and (c["kind"], c["start"], c["end"]) in told for c in cs)
+    assert added >= 40
+
+
 @pytest.mark.parametrize("size", [0, 1, 575, 576, 577, 5000, 3_000_000])
 def test_payload_round_trip(size):
     data = bytes(i * 37 % 251 for i in range(size))
@@ -214,6 +300,45 @@ def test_fingerprints_of_a_tone():
     assert len(prints) == len(when) and (np.diff(when) >= 0).all()
 
 
+def slow_prints(payload):
+    """(time, print) by sums over samples and loops over peaks."""
+    turn = np.exp(-2j * np.pi * np.outer(np.arange(media.FRAME // 2 + 1), np.arange(media.FRAME)) / media.FRAME)
+    bell = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(media.FRAME) / (media.FRAME - 1))
+    found, start = [], 0
+    while True:
+        frame_ = [payload[i] - 128 if i < len(payload) else 0 for i in range(start, start + media.FRAME)]
+        loud = np.abs(turn @ (bell * frame_))
+        for lo, hi in zip(media.BANDS, media.BANDS[1:]):
+            best = max(range(lo, hi), key=lambda b: (round(float(loud[b]), 3), -b))
+            if loud[best] > media.STANDS_OUT * loud.mean():
+                found.append((start // media.HOP, best))
+        if start + media.FRAME >= len(payload):
+            break
+        start += media.HOP
+    out = []
+    for i, (t, b) in enumerate(found):
+        out += [(t, b << 12 | c << 4 | (u - t)) for u, c in found[i + 1 : i + 1 + media.PARTNERS] if u - t <= media.REACH]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_prints_match_plain_sums(seed):
+    rng = np.random.default_rng(seed)
+    text = bytes(rng.integers(97, 123, int(rng.integers(1, 4000))).astype(np.uint8))
+    prints, when = media.pairs(*media.peaks(media.padded(text)))
+    assert list(zip(when.tolist(), prints.tolist())) == slow_prints(media.padded(text))
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no test tables here")
+def test_media_features_hold_every_print(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").limit(12).collect()
+    by_id = {r["doc_id"]: r for r in media.query(spark, "/root/testdata/sf0.001").collect()}
+    for i, text in rows:
+        data = (text or "").encode()
+        assert by_id[i]["feature"] == ",".join(f"{t}:{p}" for t, p in slow_prints(media.padded(data)))
+        assert by_id[i]["n_bytes"] == len(data) and by_id[i]["payload_sha256"] == hashlib.sha256(media.padded(data)).hexdigest()
+
+
 def test_media_query(spark):
     rows = texts()
     got = media.fingerprints(frame(spark), keep_media=True).collect()
