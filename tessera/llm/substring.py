@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -35,16 +36,21 @@ KMER = 10
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-#: Words whose hash a worker remembers.
-_REMEMBERED = 300_000
+#: Bytes hashed at once; a longer word goes through xxhash.
+_PIECE = 1 << 20
+#: Arcs after which a batch is handed on.
+_HELD = 1 << 15
 
 
-class _WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _REMEMBERED:
-            self.clear()
-        found = self[word] = xxhash.xxh64_intdigest(word)
-        return found
+_IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+def cut(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a text start and end, in bytes."""
+    outside = np.ones(1, bool)
+    space = np.concatenate([outside, _IS_SPACE[np.frombuffer(data, np.uint8)], outside])
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    return edges[::2], edges[1::2]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -57,7 +63,6 @@ class Hasher:
     """Hashes of all spans of a document's words, from running sums of a polynomial modulo 2**64."""
 
     def __init__(self) -> None:
-        self.known = _WordHash()
         self.powers = self.inverses = np.ones(1, np.uint64)
 
     def _grow(self, n: int) -> None:
@@ -66,17 +71,42 @@ class Hasher:
             self.powers = np.cumprod(np.r_[np.uint64(1), np.full(n - 1, _BASE, np.uint64)])
             self.inverses = np.cumprod(np.r_[np.uint64(1), np.full(n - 1, _INVERSE, np.uint64)])
 
-    def sums(self, words: list[bytes]) -> np.ndarray:
-        self._grow(len(words) + 1)
-        each = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
-        return np.concatenate([np.zeros(1, np.uint64), np.cumsum(each * self.powers[: len(words)])])
+    def words(self, data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """A hash of each word: the same sums over its bytes, which count from 1 as a byte 0 is one as well."""
+        raw, out, at = np.frombuffer(data, np.uint8), np.empty(len(starts), np.uint64), 0
+        while at < len(starts):
+            low = int(starts[at])
+            to = max(at + 1, int(np.searchsorted(ends, low + _PIECE, "right")))
+            n = int(ends[to - 1]) - low
+            if n > _PIECE:
+                out[at] = xxhash.xxh64_intdigest(data[low : low + n])
+            else:
+                self._grow(n + 1)
+                sums = self._sums(raw[low : low + n].astype(np.uint64) + np.uint64(1))
+                a = starts[at:to] - low
+                out[at:to] = (sums[ends[at:to] - low] - sums[a]) * self.inverses[a]
+            at = to
+        return _mix(out)
+
+    def _sums(self, each: np.ndarray) -> np.ndarray:
+        self._grow(len(each) + 1)
+        sums = np.zeros(len(each) + 1, np.uint64)
+        np.cumsum(each * self.powers[: len(each)], out=sums[1:])
+        return sums
+
+    def sums(self, words: list[bytes] | np.ndarray) -> np.ndarray:
+        """Running sums over a document's words or their hashes."""
+        if not isinstance(words, np.ndarray):
+            data = b" ".join(words)
+            words = self.words(data, *cut(data))
+        return self._sums(words)
 
     def spans(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return _mix((sums[end] - sums[start]) * self.inverses[start])
 
 
-def anchors(hasher: Hasher, words: list[bytes], window: int = WINDOW, k: int = KMER):
-    """Anchors of a document: hash, context hash, first and last start of the windows each one is the anchor of."""
+def anchors(hasher: Hasher, words: list[bytes] | np.ndarray, window: int = WINDOW, k: int = KMER):
+    """Anchors of a document, given its words or their hashes: hash, context hash, first and last start of the windows each one is the anchor of."""
     n = len(words) - window + 1
     if n < 1:
         none = np.zeros(0, np.uint64)
@@ -97,10 +127,31 @@ def anchors(hasher: Hasher, words: list[bytes], window: int = WINDOW, k: int = K
     return kmers[where], _mix(context ^ (shape * np.uint64(_BASE))), first, last
 
 
+def _hashed(hasher: Hasher, texts: pa.Array) -> Iterator[np.ndarray]:
+    """Hashes of the words of each text, worked out for many short texts at once."""
+    part, size = [], 0
+
+    def told() -> Iterator[np.ndarray]:
+        data = b" ".join(part)
+        starts, ends = cut(data)
+        each = hasher.words(data, starts, ends)
+        bounds = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in part)]))
+        return (each[i:j] for i, j in zip(bounds[:-1], bounds[1:]))
+
+    for t in texts:
+        part.append(t.as_py() or b"")
+        size += len(part[-1])
+        if size >= _PIECE:
+            yield from told()
+            part, size = [], 0
+    if part:
+        yield from told()
+
+
 def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hasher = Hasher()
     for b in batches:
-        found = [anchors(hasher, (t.as_py() or b"").split()) for t in b["text"]]
+        found = [anchors(hasher, words) for words in _hashed(hasher, b["text"])]
         count = np.array([len(f[0]) for f in found], np.int64)
         rows = pa.array(np.repeat(np.arange(len(count)), count))
         h, c, first, last = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(4))
@@ -124,12 +175,10 @@ def read_edges(hasher: Hasher, words: list[bytes], asked: list[np.ndarray]) -> l
     size = np.r_[(last - first + 1)[repeated], np.ones(len(each), np.int64)]
     at = np.r_[first[repeated], first[each] + inside]
     joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = np.r_[0, ends[:-1]][at].tolist()
-    ends = (ends - 1)[at + size + WINDOW - 2].tolist()
-    digest = xxhash.xxh3_64_intdigest
-    of = np.fromiter([digest(joined[s:e]) for s, e in zip(starts, ends)], np.uint64, len(at))
-    sums = hasher.sums(words)
+    starts, ends = cut(joined)
+    sums = hasher.sums(hasher.words(joined, starts, ends))
+    digest, view = xxhash.xxh3_64_digest, memoryview(joined)
+    of = np.frombuffer(b"".join([digest(view[s:e]) for s, e in zip(starts[at].tolist(), ends[at + size + WINDOW - 2].tolist())]), "<u8")
     nodes = (hasher.spans(sums, x, x + WINDOW - 1).view(np.int64) for x in (at, at + size))
     own = np.r_[np.ones(int(repeated.sum()), bool), ~repeated[each]]
     return [hasher.spans(sums, at, at + size + WINDOW - 1).view(np.int64), of.view(np.int64), at, size, *nodes, own]
@@ -138,17 +187,30 @@ def read_edges(hasher: Hasher, words: list[bytes], asked: list[np.ndarray]) -> l
 _EDGES = {"sums": pa.int64(), "words": pa.int64(), "first": pa.int32(), "size": pa.int32(), "source_node": pa.int64(), "end_node": pa.int64(), "own": pa.bool_()}
 
 
+def _edge_batch(of: list[tuple], found: list[list[np.ndarray]]) -> pa.RecordBatch:
+    """The arcs of some documents, given (doc_id, text_key) of each."""
+    rows = pa.array(np.repeat(np.arange(len(of)), [len(f[0]) for f in found]))
+    keys = [pa.array(k, pa.int64()).take(rows) for k in zip(*of)]
+    columns = [pa.array(np.concatenate(x), kind) for x, kind in zip(zip(*found), _EDGES.values())]
+    return pa.RecordBatch.from_arrays([*keys, *columns], ["doc_id", "text_key", *_EDGES])
+
+
 def _find_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hasher = Hasher()
+    of, found, held = [], [], 0
     for b in batches:
         cuts, asked = b["spans"].offsets.to_numpy(), b["spans"].values
         fields = [asked.field(i).to_numpy(zero_copy_only=False) for i in range(4)]
         for i in range(b.num_rows):
             part = [x[cuts[i] : cuts[i + 1]] for x in fields]
-            found = read_edges(hasher, (b["text"][i].as_py() or b"").split(), [*(x.astype(np.int64) for x in part[:2]), *part[2:]])
-            columns = [pa.array(x, kind) for x, kind in zip(found, _EDGES.values())]
-            of = [pa.array([b[c][i].as_py()] * len(found[0]), pa.int64()) for c in ("doc_id", "text_key")]
-            yield pa.RecordBatch.from_arrays([*of, *columns], ["doc_id", "text_key", *_EDGES])
+            found.append(read_edges(hasher, (b["text"][i].as_py() or b"").split(), [*(x.astype(np.int64) for x in part[:2]), *part[2:]]))
+            of.append((b["doc_id"][i].as_py(), b["text_key"][i].as_py()))
+            held += len(found[-1][0])
+            if held >= _HELD:
+                yield _edge_batch(of, found)
+                of, found, held = [], [], 0
+    if of:
+        yield _edge_batch(of, found)
 
 
 def _doubled(links: DataFrame) -> DataFrame:
@@ -211,7 +273,7 @@ def remove_spans(text: bytes, spans: list[tuple[int, int]], window: int = WINDOW
         change[first] += 1
         change[last + window] -= 1
     gone = np.cumsum(change[:-1]) > 0
-    return len(words), int(gone.sum()), b" ".join([w for w, x in zip(words, gone.tolist()) if not x])
+    return len(words), int(gone.sum()), b" ".join(compress(words, (~gone).tolist()))
 
 
 def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -347,3 +348,20 @@ def test_words_decide():
 def test_removing_spans():
     assert substring.remove_spans(b"a b c d", [(0, 0), (1, 1)], 2) == (4, 3, b"d")
     assert substring.sha256_hex(b"") == hashlib.sha256(b"").hexdigest()
+
+
+@pytest.mark.parametrize("piece", [8, 64, 1 << 20])
+def test_words_are_hashed_alike_wherever_they_stand(monkeypatch, piece):
+    """Pieces and neighbours don't matter, and other words have other hashes."""
+    monkeypatch.setattr(substring, "_PIECE", piece)
+    rng = random.Random(piece)
+    known = ["a", "aa", "a\0", "\0", "\0a", "é", "word", "worde", "x" * 9, "x" * 10, "x" * 200] + [f"w{i}" for i in range(300)]
+    texts_ = [b"", b" \t\n", *(rng.choice([" ", "\n", " \t "]).join(rng.choices(known, k=rng.randint(0, 90))).encode() for _ in range(60))]
+    found = {}
+    for text, each in zip(texts_, substring._hashed(substring.Hasher(), pa.array(texts_, pa.binary()))):
+        words = text.split()
+        starts, ends = substring.cut(text)
+        assert [text[s:e] for s, e in zip(starts.tolist(), ends.tolist())] == words and len(each) == len(words)
+        for word, h in zip(words, each.tolist()):
+            assert found.setdefault(word, h) == h
+    assert len(set(found.values())) == len(found)
