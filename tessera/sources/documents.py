@@ -20,10 +20,22 @@ def reject_links(path: str) -> None:
         at = os.path.dirname(at)
 
 
-def read_folder(spark: SparkSession, path: str, reject_symlinks: bool = False) -> DataFrame:
+def require_unique(documents: DataFrame) -> DataFrame:
+    """The documents, unless two have one ``doc_id``, which would mix their values in every join: that raises.
+
+    Only the ids are read and dealt out.
+    """
+    shared = documents.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).collect()
+    if shared:
+        raise ValueError(f"{shared[0]['n']} documents have the doc_id {shared[0]['doc_id']}")
+    return documents
+
+
+def read_folder(spark: SparkSession, path: str, reject_symlinks: bool = False, check_ids: bool = True) -> DataFrame:
     """``doc_id, path, content, length`` of all documents below a folder, each path once, numbered by path's hash.
 
-    ``path`` is whatever Spark's readers open. Links can be told apart on a local file system only, so
+    Two paths of one hash (to be expected from some 10^9 files on) raise; ``check_ids`` looks for them, from the listing
+    alone. ``path`` is whatever Spark's readers open. Links can be told apart on a local file system only, so
     ``reject_symlinks`` looks at that.
     """
     if reject_symlinks:
@@ -32,7 +44,8 @@ def read_folder(spark: SparkSession, path: str, reject_symlinks: bool = False) -
             if any(os.path.islink(os.path.join(folder, f)) for f in files):
                 raise ValueError("a document is a symbolic link")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", PATTERN).load(path)
-    return files.select(F.xxhash64("path").alias("doc_id"), "path", "content", "length")  # a listing has each path once
+    documents = files.select(F.xxhash64("path").alias("doc_id"), "path", "content", "length")  # a listing has each path once
+    return require_unique(documents) if check_ids else documents
 
 
 def from_text(rows: DataFrame, doc_id: str, text: str) -> DataFrame:

@@ -207,6 +207,14 @@ def test_folders_and_streams(spark, tmp_path):
     assert sorted(r["outcome"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["Admission", "Success", "Syntax"]
 
 
+def test_documents_that_share_an_id_are_refused(spark):
+    one = spark.createDataFrame([(1, bytearray(b"{}")), (2, bytearray(b"[]"))], "doc_id long, content binary")
+    assert documents.require_unique(one).count() == 2
+    with pytest.raises(ValueError, match="2 documents have the doc_id 2"):
+        documents.require_unique(one.unionAll(one.where("doc_id = 2")))
+    assert documents.require_unique(one.limit(0)).count() == 0
+
+
 def test_options():
     assert ReadOptions().max_json_values == 65_536
     assert IRI not in repr(ReadOptions(document_iri=IRI))
