@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import discard, materialize, shared_root, small_batches
 
-__all__ = ["discard", "fresh", "join_salted", "materialize", "shared_root", "small_batches", "table", "utf8"]
+__all__ = ["discard", "fresh", "held", "join_salted", "materialize", "shared_root", "small_batches", "table", "utf8"]
 
 #: Bytes that separate words: space and the controls 9 to 13. ``bytes.split()`` cuts at exactly these.
 SPACES = " \t\n\x0b\x0c\r"
@@ -16,6 +20,25 @@ MASK64 = (1 << 64) - 1
 #: Parts that the rows of a hot key are dealt to.
 SALTS = 64
 
+_HELD: dict[str, dict] = {}
+
+
+def held(owner: str) -> dict:
+    """What an operator's kernels remember in this worker from task to task.
+
+    Workers outlive the stage they were made for, and an executor's limit counts all of them. So what other operators
+    remember is dropped, and memory that is free goes back to the system.
+    """
+    if owner not in _HELD:
+        _HELD.clear()
+        _HELD[owner] = {}
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+        if trim:
+            trim(0)
+    return _HELD[owner]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, through Spark's reader alone so that any store works."""

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import fresh, materialize, small_batches, table
+from .base import fresh, held, materialize, small_batches, table
 
 BUCKETS = 1 << 14
 LENGTHS = (1, 2, 3)
@@ -161,6 +161,7 @@ def predict(docs: DataFrame, model: Model, into: str = "lang_found") -> DataFram
 
     @F.arrow_udf(T.StructType().add("name", T.StringType()).add("score", T.DoubleType()))
     def found(texts: pa.Array) -> pa.Array:
+        held("language")
         names, scores = shared.value.predict(texts.to_pylist())
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["name", "score"])
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .base import materialize, small_batches, table, utf8
+from .base import held, materialize, small_batches, table, utf8
 
 VOCABULARY = "word_bpe_49k.json"
 WINDOW = 4096
@@ -37,8 +37,6 @@ K1, B = 1.2, 0.75
 #: Bytes of words whose ids a worker remembers, at 100 more for each word.
 REMEMBERED = 48 << 20
 
-_READ: dict[str, Callable] = {}
-
 
 # The split of the vocabulary's own file, and characters whose lower case is the same letter by letter everywhere
 # and which no normal form changes. Words of others go through the tokenizer as they are.
@@ -116,9 +114,10 @@ class Reader(dict):
 def reader(vocabulary: str) -> Reader:
     """One reader for each worker and vocabulary, with what it remembers."""
     key = f"{len(vocabulary)}:{zlib.crc32(vocabulary.encode())}"
-    if key not in _READ:
-        _READ[key] = Reader(vocabulary)
-    return _READ[key]
+    known = held("packing")
+    if key not in known:
+        known[key] = Reader(vocabulary)
+    return known[key]
 
 
 def ids_crc32(ids: np.ndarray) -> int:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import fresh, join_salted, materialize, small_batches, utf8
+from .base import fresh, held, join_salted, materialize, small_batches, utf8
 from .components import components
 from .gray import near_links
 
@@ -39,6 +39,8 @@ LINKED_BITS = 4
 PIVOTS = 2
 #: Bytes of shingles of the members that a task indexes.
 ASK_BYTES = 32 << 20
+#: Bytes of an Arrow batch: texts, sets of shingles and pairs of those. Each task holds a few on either side of its worker.
+BATCH_BYTES = 4 << 20
 
 
 def shingle_set(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -84,6 +86,7 @@ _SKETCH = T.StructType().add("node", T.LongType()).add("fp", T.LongType()).add("
 def _sketch_udf(shingle: int):
     @F.arrow_udf(_SKETCH)
     def run(texts: pa.Array) -> pa.Array:
+        held("similar")
         node, fp, keys = [], [], []
         for t in texts:
             hashes = shingle_set(t.as_py() or b"", shingle)
@@ -100,6 +103,7 @@ def _sketch_udf(shingle: int):
 def _shingles_udf(shingle: int):
     @F.arrow_udf(T.BinaryType())
     def run(texts: pa.Array) -> pa.Array:
+        held("similar")
         return pa.array([shingle_set(t.as_py() or b"", shingle).tobytes() for t in texts], pa.binary())
 
     return run
@@ -108,6 +112,7 @@ def _shingles_udf(shingle: int):
 def _alike_udf(percent: int):
     @F.arrow_udf(T.BooleanType())
     def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        held("similar")
         sets = lambda x: (np.frombuffer(v.as_py(), np.uint64) for v in x)
         return pa.array([alike(u, v, percent) for u, v in zip(sets(a), sets(b))], pa.bool_())
 
@@ -153,6 +158,7 @@ def _settle(percent: int) -> Callable:
     """Answer partitions sorted by group, slice and kind: members that ask (kind 0), then all members (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("similar")
         at, asks, index = None, [], None
         for b in batches:
             links = []
@@ -222,7 +228,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     ids alone has a null component. Other columns are not read. An empty table gives an empty result. Candidates are those
     of the module's first lines; no group's pairs are listed, no member is left out.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, BATCH_BYTES)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key"), utf8(F.col(text_col)).alias("text"))
     read = materialize(rows.select("doc_id", "text_key", _sketch_udf(shingle)("text").alias("made")).select("doc_id", "text_key", "made.*"), "sketches")
     source = F.min(F.struct("text_key", "doc_id"))

@@ -55,7 +55,7 @@ def discard(made: DataFrame) -> None:
     made.sparkSession.sparkContext._jvm.System.gc()
 
 
-def small_batches(spark: SparkSession) -> None:
+def small_batches(spark: SparkSession, most_bytes: int = 32 << 20) -> None:
     """Bound an Arrow batch by rows as well as bytes, since one document may be megabytes long."""
-    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "2000"), ("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))):
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "2000"), ("spark.sql.execution.arrow.maxBytesPerBatch", str(most_bytes))):
         spark.conf.set(key, value)

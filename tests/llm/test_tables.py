@@ -9,12 +9,13 @@ from collections import defaultdict
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tessera.llm import mixing, packing, pii, resharding, urls
+from tessera.llm import mixing, packing, pii, resharding, similar, urls
 
 from .cases import frame, texts
 from .test_dedup import slow_similar
@@ -54,6 +55,21 @@ def test_ids_are_the_tokenizers(tokenizer):
         assert read.ids(text.encode()).tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 2], text
 
 
+def test_a_worker_lets_go_of_what_other_operators_remember(spark):
+    read = packing.reader(VOCABULARY)
+    assert packing.reader(VOCABULARY) is read and read.ids(b"some words").size and len(read)
+    assert similar._shingles_udf(5).func(pa.array([b"a b", None]))[1].as_py() == b""
+    again = packing.reader(VOCABULARY)
+    assert again is not read and not len(again)
+    similar._sketch_udf(5).func(pa.array([b"a b"]))
+    assert packing.reader(VOCABULARY) is not again
+
+
+def test_near_duplicates_cut_batches_small(spark):
+    similar.one_of_each(frame(spark)).count()
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
+
+
 def test_readers_forget(monkeypatch, tokenizer):
     monkeypatch.setattr(packing, "REMEMBERED", 500)
     read = packing.Reader(VOCABULARY)
