@@ -18,6 +18,7 @@ from tessera.options import ReadOptions
 
 _ARROW = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
 _METRICS = ["max_nesting_depth", "max_object_members", "total_values", "decoded_member_name_bytes"]
+PLACES = ["err_offset", "err_line", "err_column"]
 SCAN_SCHEMA = "doc_id long, failure string, err_offset long, err_line long, err_column long, " + ", ".join(f"{m} long" for m in _METRICS)
 VALUE_SCHEMA = "doc_id long, " + ", ".join(f"{n} {t}" for n, t in [*COLUMNS, *SUMMARY])
 
@@ -77,7 +78,7 @@ def _value_batch(ids: pa.Array, counts: np.ndarray, columns: list[pa.Array]) ->
     return pa.RecordBatch.from_arrays([of, *columns, *summaries(columns, counts)], ["doc_id", *(n for n, _ in [*COLUMNS, *SUMMARY])])
 
 
-def _scanner(settings: dict, with_values: bool):
+def scanner(settings: dict, with_values: bool):
     """Rows of the documents' scans, or (``with_values``) of the values of those that scanned well."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,12 +145,28 @@ def _ready(taken: DataFrame) -> DataFrame:
 
 def scanned(taken: DataFrame, options: ReadOptions) -> DataFrame:
     """One row for each admitted document: its failure and place, or its metrics."""
-    return _ready(taken).mapInArrow(_scanner(asdict(options), False), SCAN_SCHEMA)
+    return _ready(taken).mapInArrow(scanner(asdict(options), False), SCAN_SCHEMA)
 
 
 def json_values(taken: DataFrame, options: ReadOptions) -> DataFrame:
     """One row for each JSON value of the documents that scan well, in pre-order by ``value_id``."""
-    return _ready(taken).mapInArrow(_scanner(asdict(options), True), VALUE_SCHEMA)
+    return _ready(taken).mapInArrow(scanner(asdict(options), True), VALUE_SCHEMA)
+
+
+def _told(rows: DataFrame, failed: Column, extra: list[Column]) -> DataFrame:
+    """The outcome of each row, whose first failure is ``failed``, with its stage and message."""
+    outcome = F.coalesce(failed, F.lit("Success"))
+    stage, message = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for kind, text in MESSAGES.items():
+        message = F.when(outcome == kind, text).otherwise(message)
+    json_kinds = list(MESSAGES)[:7]
+    stage = F.when(outcome == "Admission", "Input").when(outcome.isin(json_kinds), "Json").when(outcome != "Success", "JsonLd")
+    return rows.select("doc_id", "length", outcome.alias("outcome"), stage.alias("stage"), message.alias("message"), *PLACES, F.col("admitted").alias("source_retained"), *_METRICS, *extra)
+
+
+def _first_failure(with_semantic: bool) -> Column:
+    failed = F.when(~F.col("admitted"), "Admission").otherwise(F.col("failure"))
+    return F.coalesce(failed, F.when(F.col("document_iri").isNull(), "MissingDocumentIri"), F.col("semantic_failure")) if with_semantic else failed
 
 
 def outcomes(taken: DataFrame, scans: DataFrame, semantic: DataFrame | None = None) -> DataFrame:
@@ -158,18 +175,14 @@ def outcomes(taken: DataFrame, scans: DataFrame, semantic: DataFrame | None = No
     Stages go in order: admission, UTF-8, JSON, the document IRI, then JSON-LD and its budgets. Without ``semantic`` (the
     last two aren't asked for) the outcome is that of the scan alone.
     """
-    metrics = ["err_offset", "err_line", "err_column", *_METRICS]
-    all_rows = taken.join(scans.select(F.col("doc_id").alias("scan_id"), "failure", *metrics), F.col("doc_id") == F.col("scan_id"), "left")
-    failed = F.when(~F.col("admitted"), "Admission").otherwise(F.col("failure"))
+    all_rows = taken.join(scans.select(F.col("doc_id").alias("scan_id"), "failure", *PLACES, *_METRICS), F.col("doc_id") == F.col("scan_id"), "left")
     extra: list[Column] = [F.lit(None).cast("long").alias("emitted_rdf_quads"), F.lit(None).cast("long").alias("retained_rdf_term_bytes")]
     if semantic is not None:
         all_rows = all_rows.join(semantic.select(F.col("doc_id").alias("semantic_id"), F.col("failure").alias("semantic_failure"), "emitted_rdf_quads", "retained_rdf_term_bytes"), F.col("doc_id") == F.col("semantic_id"), "left")
-        failed = F.coalesce(failed, F.when(F.col("document_iri").isNull(), "MissingDocumentIri"), F.col("semantic_failure"))
         extra = [F.col("emitted_rdf_quads"), F.col("retained_rdf_term_bytes")]
-    outcome = F.coalesce(failed, F.lit("Success"))
-    stage, message = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for kind, text in MESSAGES.items():
-        message = F.when(outcome == kind, text).otherwise(message)
-    json_kinds = list(MESSAGES)[:7]
-    stage = F.when(outcome == "Admission", "Input").when(outcome.isin(json_kinds), "Json").when(outcome != "Success", "JsonLd")
-    return all_rows.select("doc_id", "length", outcome.alias("outcome"), stage.alias("stage"), message.alias("message"), *metrics[:3], F.col("admitted").alias("source_retained"), *metrics[3:], *extra)
+    return _told(all_rows, _first_failure(semantic is not None), extra)
+
+
+def judged_outcomes(judged: DataFrame) -> DataFrame:
+    """The same of documents whose scan and semantic outcome are in one row (``quads.judged``)."""
+    return _told(judged, _first_failure(True), [F.col("emitted_rdf_quads"), F.col("retained_rdf_term_bytes")])

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.jsonld import to_quads
+from tessera.operators import ingest
 from tessera.options import ReadOptions
 
 _PARTS = ["s_kind", "s", "p", "o_kind", "o", "o_datatype", "o_lang", "g_kind", "g"]
@@ -50,6 +51,52 @@ def semantic(admitted: DataFrame, scans: DataFrame, options: ReadOptions, with_q
     return ready.select(F.col("doc_id").cast("long").alias("doc_id"), "content", "document_iri").mapInArrow(_reader(asdict(options), with_quads), QUADS_SCHEMA if with_quads else SCHEMA)
 
 
+_SCAN = [f.split() for f in ingest.SCAN_SCHEMA.split(", ")[1:]]
+_ADMITTED = "doc_id long, length long, admitted boolean, document_iri string"
+_JUDGED = f"{_ADMITTED}, {', '.join(map(' '.join, _SCAN))}, semantic_failure string, emitted_rdf_quads long, retained_rdf_term_bytes long"
+_ARROW = {"long": pa.int64(), "string": pa.string()}
+
+
+def _judge(settings: dict, with_content: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        options, scan = ReadOptions(**settings), ingest.scanner(settings, False)
+        limits = (options.max_rdf_quads, options.max_retained_rdf_term_bytes, False)
+        for batch in batches:
+            for start in range(0, batch.num_rows, ingest.GROUP):
+                part = batch.slice(start, ingest.GROUP)
+                n, contents, iris = part.num_rows, part["content"].to_pylist(), part["document_iri"].to_pylist()
+                there = [i for i, c in enumerate(contents) if c is not None]
+                told = {c: [None] * n for c, _ in _SCAN}
+                scanned = [False] * n
+                for rows in scan([pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), part["content"].take(pa.array(there, pa.int64()))], ["doc_id", "content"])]):
+                    at = rows["doc_id"].to_pylist()
+                    for c, _ in _SCAN:
+                        for i, v in zip(at, rows[c].to_pylist()):
+                            told[c][i] = v
+                    for i in at:
+                        scanned[i] = told["failure"][i] is None
+                done = [to_quads(contents[i], iris[i], *limits) if scanned[i] and iris[i] is not None else None for i in range(n)]
+                columns = [pa.array(told[c], _ARROW[t]) for c, t in _SCAN]
+                columns += [pa.array([d and d[k] for d in done], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))]
+                names = [c for c, _ in _SCAN] + ["semantic_failure", *_NAMES[2:]]
+                if with_content:
+                    columns.append(pa.array([contents[i] if d and d[0] is None else None for i, d in enumerate(done)], pa.binary()))
+                    names.append("content")
+                own = ["doc_id", "length", "admitted", "document_iri"]
+                yield pa.RecordBatch.from_arrays([*[part[c] for c in own], *columns], [*own, *names])
+
+    return run
+
+
+def judged(admitted: DataFrame, options: ReadOptions, with_content: bool = False) -> DataFrame:
+    """One row for each document, with what its scan and its semantic reading came to, from one reading of its bytes.
+
+    Quads are emitted and counted, but not handed on. ``with_content`` keeps the bytes of the documents that pass.
+    """
+    taken = admitted.select(F.col("doc_id").cast("long").alias("doc_id"), "length", "admitted", "document_iri", "content")
+    return taken.mapInArrow(_judge(asdict(options), with_content), _JUDGED + (", content binary" if with_content else ""))
+
+
 def quad_rows(done: DataFrame) -> DataFrame:
     """One row for each quad of the documents that passed, in order by ``seq``; repeated quads stay."""
     return done.where("failure IS NULL").select("doc_id", F.explode("quads").alias("q")).select("doc_id", "q.*")

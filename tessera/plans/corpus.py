@@ -78,8 +78,13 @@ class Corpus:
 
     @cached_property
     def _judged(self) -> DataFrame:
-        """The semantic outcomes; quads are emitted and counted, but not handed on unless they were asked for before."""
-        return self.semantic if "semantic" in self.__dict__ else materialize(quads.semantic(self.admitted, self.scans, self.options, with_quads=False), "judged")
+        """Scan and semantic outcome of each document; quads are emitted and counted, but not handed on."""
+        return self._kept if "_kept" in self.__dict__ else materialize(quads.judged(self.admitted, self.options), "judged")
+
+    @cached_property
+    def _kept(self) -> DataFrame:
+        """The same with the bytes of the documents that pass."""
+        return materialize(quads.judged(self.admitted, self.options, with_content=True), "kept")
 
     @cached_property
     def quads(self) -> DataFrame:
@@ -87,15 +92,26 @@ class Corpus:
 
     @cached_property
     def composed_outcomes(self) -> DataFrame:
-        return ingest.outcomes(self.admitted, self.scans, self._judged)
+        if "semantic" in self.__dict__:
+            return ingest.outcomes(self.admitted, self.scans, self.semantic)
+        return ingest.judged_outcomes(self._judged).withColumn("doc_id", F.col("doc_id").cast(self.admitted.schema["doc_id"].dataType))
+
+    @cached_property
+    def _passing(self) -> Corpus:
+        """The documents that pass, which alone are projected. Their bytes were kept as they were judged."""
+        made = Corpus.__new__(Corpus)
+        made.options, made.admitted = self.options, self._kept.where("content IS NOT NULL").select(*self.admitted.columns)
+        return made
 
-    def _composed(self, rows: DataFrame) -> DataFrame:
-        passed = self._judged.where("failure IS NULL").select("doc_id")
-        return rows.join(passed, "doc_id", "left_semi")
+    def _composed(self, name: str) -> DataFrame:
+        if "json_values" not in self.__dict__:
+            return getattr(self._passing, name)
+        passed = self.semantic.where("failure IS NULL") if "semantic" in self.__dict__ else self._judged.where("emitted_rdf_quads IS NOT NULL AND semantic_failure IS NULL")
+        return getattr(self, name).join(passed.select("doc_id"), "doc_id", "left_semi")
 
-    composed_nodes = property(lambda self: self._composed(self.nodes))
-    composed_edges = property(lambda self: self._composed(self.edges))
-    composed_findings = property(lambda self: self._composed(self.findings))
+    composed_nodes = property(lambda self: self._composed("nodes"))
+    composed_edges = property(lambda self: self._composed("edges"))
+    composed_findings = property(lambda self: self._composed("findings"))
 
     def source_text(self, rows: DataFrame) -> DataFrame:
         """``rows`` with ``source``: the exact bytes from ``tok_start`` to ``tok_end``, as text."""

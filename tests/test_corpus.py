@@ -129,6 +129,21 @@ def test_composed_tables_leave_failed_documents_out(made):
     assert made.register(made.nodes.sparkSession, "t_")[0] == "t_outcomes"
 
 
+def test_composed_tables_come_from_one_reading_of_passing_documents(spark):
+    contents = [*CASES.values(), b'{"\x80":0}', b"", b"[" + b" " * 5000 + b"]", None, b'{"@id":"a"}']
+    rows = [(i, c and bytearray(c), None if i == len(contents) - 1 else IRI) for i, c in enumerate(contents)]
+    docs, options = spark.createDataFrame(rows, "doc_id int, content binary, document_iri string"), ReadOptions(max_input_bytes=4000, max_rdf_quads=12)
+    one, apart = Corpus(docs, options), Corpus(docs, options)
+    assert apart.semantic.count() and apart.json_values.count()  # every document is scanned, read and projected by itself
+    told = lambda df: sorted(map(str, df.collect()))
+    for name in ("composed_nodes", "composed_edges", "composed_findings", "composed_outcomes"):
+        assert told(getattr(one, name)) == told(getattr(apart, name)) != [], name
+        assert getattr(one, name).dtypes == getattr(apart, name).dtypes
+    assert told(Corpus(docs, options).composed_outcomes) == told(apart.composed_outcomes)
+    assert {r["outcome"] for r in one.composed_outcomes.collect()} == {"Success", "Admission", "InvalidUtf8", "Syntax", "JsonLd", "RdfQuadLimit", "MissingDocumentIri"}
+    assert not {"scans", "semantic", "json_values"} & set(vars(one))  # no document that fails was scanned for its values
+
+
 def test_quads_as_sets_and_multisets(spark):
     one = Corpus(documents.from_values(spark, [b'{"@id":"https://e.test/s","https://e.test/p":["v","v","w"]}']), ReadOptions(document_iri=IRI)).quads
     two = Corpus(documents.from_values(spark, [b'{"https://e.test/p":["w","v"],"@id":"https://e.test/s"}']), ReadOptions(document_iri=IRI)).quads
