@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import fresh, held, join_salted, materialize, small_batches, utf8
+from .base import discard, fresh, held, join_salted, materialize, small_batches, utf8
 from .components import components
 from .gray import near_links
 
@@ -204,8 +204,11 @@ def _edges(members: DataFrame, linked: DataFrame, shingles: DataFrame, percent:
         held = now.join(tops, "grp").where((F.col("label") != F.col("pivot.label")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("pivot.fp"))) <= RADIUS))
         pairs = held.select(F.least("node", "pivot.node").alias("u"), F.greatest("node", "pivot.node").alias("v"))
         new = checked(pairs if turn else pairs.unionAll(linked))
+        done = [edges, now] if turn else []
         edges = materialize(edges.unionAll(new) if turn else new, "alike")
         now = _labelled(members, edges)
+        for table in done:
+            discard(table)
 
     sized = now.join(shingles, "node").withColumn("bytes", F.octet_length("shingles"))
     count = now.groupBy("grp", "label").agg(F.count("*").alias("n"))
@@ -237,8 +240,9 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
 
     each = nodes.select("node", "fp", F.explode("bands").alias("grp"))
     size = each.groupBy("grp").agg(F.count("*").alias("size")).where("size > 1")
-    members = materialize(each.join(size, "grp"), "members")
-    members = materialize(members.join(members.groupBy("node").agg(F.sum("size").alias("weight")), "node").drop("size"), "weighed")
+    sized = materialize(each.join(size, "grp"), "members")
+    members = materialize(sized.join(sized.groupBy("node").agg(F.sum("size").alias("weight")), "node").drop("size"), "weighed")
+    discard(sized)
 
     of = nodes.groupBy("fp").agg(F.min("node").alias("node"), F.count("*").alias("n"))
     links = near_links(of.select("fp"), LINKED_BITS)
@@ -255,7 +259,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     root = components(_edges(members, linked, shingles, percent)).withColumnRenamed("node", "rooted")
     labelled = nodes.select("node", "n", "least_id").join(root, nodes["node"] == F.col("rooted"), "left").select("node", "n", "least_id", F.coalesce("root", "node").alias("root"))
     least = labelled.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    classes = labelled.join(least, "root").select("node", "n", "component_id")
+    classes = materialize(labelled.join(least, "root").select("node", "n", "component_id"), "classes")  # read three times
     return join_salted(read.select("doc_id", "node"), classes, ["node"]).select("doc_id", "component_id")
 
 

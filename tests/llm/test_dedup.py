@@ -1,6 +1,7 @@
 """SimHash classes and repeated spans against brute force."""
 
 import hashlib
+import itertools
 import random
 
 import numpy as np
@@ -9,6 +10,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tessera.llm import base, components, gray, similar, simhash, substring
 
@@ -237,6 +239,32 @@ def test_components(spark, pairs):
     assert {r["node"]: r["root"] for r in got.collect()} == {x: parent[x] for x in linked}
 
 
+def test_components_by_rounds(spark, monkeypatch):
+    """A path, a star around its largest node and a clique, more than one task's worth of them, against the same in one task."""
+    draw = random.Random(5)
+    path, leaves = draw.sample(range(-900, 900), 300), range(2000, 2200)
+    pairs = [*zip(path, path[1:]), *((5000, x) for x in leaves), *itertools.combinations(range(-2000, -1980), 2), (7, 7)] * 2
+    draw.shuffle(pairs)
+    want = dict.fromkeys(path, min(path)) | dict.fromkeys([*leaves, 5000], 2000) | dict.fromkeys(range(-2000, -1980), -2000)
+    edges = spark.createDataFrame(pairs, "u long, v long").repartition(7)
+    assert {r["node"]: r["root"] for r in components.components(edges).collect()} == want
+    monkeypatch.setattr(components, "TASK_EDGES", 20)
+    got = components.components(edges).collect()
+    assert len(got) == len(want) and {r["node"]: r["root"] for r in got} == want
+
+
+def test_small_components_cost_few_tasks(spark):
+    """The driver remembers each task; a round over a small table had ten exchanges with one for each partition."""
+    edges = base.materialize(spark.range(64).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v")).coalesce(2), "path")
+    context = spark.sparkContext
+    context.setJobGroup("small components", "")
+    assert components.components(edges).agg(F.max("root")).first()[0] == 0
+    context.setJobGroup("other", "")
+    status = context.statusTracker()
+    stages = [status.getStageInfo(s) for j in status.getJobIdsForGroup("small components") for s in status.getJobInfo(j).stageIds]
+    assert sum(s.numTasks for s in stages if s) <= 24
+
+
 def slow_removal(texts_, window):
     docs = [(t or "").encode().split() for t in texts_]
     where = {}
