@@ -244,7 +244,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     members = materialize(sized.join(sized.groupBy("node").agg(F.sum("size").alias("weight")), "node").drop("size"), "weighed")
     discard(sized)
 
-    of = nodes.groupBy("fp").agg(F.min("node").alias("node"), F.count("*").alias("n"))
+    of = materialize(nodes.groupBy("fp").agg(F.min("node").alias("node"), F.count("*").alias("n")), "prints")  # read eight times
     links = near_links(of.select("fp"), LINKED_BITS)
     far = links.join(of.select(F.col("fp").alias("u"), F.col("node").alias("a")), "u").join(of.select(F.col("fp").alias("v"), F.col("node").alias("b")), "v")
     same = nodes.join(of.where("n > 1").select("fp", F.col("node").alias("first")), "fp").where("node > first")
